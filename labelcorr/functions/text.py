@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The 29 Unicode whitespace code points, as the body of a regex
-# character class. Java's \s knows six of them only.
-WHITESPACE = (
-    r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
+# The 29 Unicode whitespace code points as a regex character class: (?U)\s, which
+# tests the character type, and the four separators it leaves out. Plain \s knows
+# six of them, and a list of ranges is several times slower in Java.
+WHITESPACE = r"[\s\x{1c}-\x{1f}]"
+NOT_WHITESPACE = r"[^\s\x{1c}-\x{1f}]"
+UNICODE = "(?U)"
 NBSP = "\u00a0"
 
 
@@ -30,13 +30,13 @@ def drop_urls(text: Column) -> Column:
     The substring test works on the bytes, so the regex only decodes texts
     that hold a link.
     """
-    cleaned = F.regexp_replace(text, f"http[^{WHITESPACE}]+", "")
+    cleaned = F.regexp_replace(text, f"{UNICODE}http{NOT_WHITESPACE}+", "")
     return F.when(F.contains(text, F.lit("http")), cleaned).otherwise(text)
 
 
 def squeeze_space(text: Column) -> Column:
     """Turn every run of whitespace into one space and trim both ends."""
-    return F.btrim(F.regexp_replace(text, f"[{WHITESPACE}]+", " "))
+    return F.btrim(F.regexp_replace(text, f"{UNICODE}{WHITESPACE}+", " "))
 
 
 def normalize_text(text: Column, enabled: bool = True) -> Column:

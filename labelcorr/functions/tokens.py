@@ -17,7 +17,7 @@ WORD_GAPS = "[^a-z0-9]+"
 
 def tokenize(text: Column, gaps: str = WORD_GAPS) -> Column:
     """Lower-cased words between the ``gaps`` pattern."""
-    return F.filter(F.split(F.lower(text), gaps), lambda token: token != "")
+    return F.array_remove(F.split(F.lower(text), gaps), "")
 
 
 def add_special_tokens(tokens: Column, max_len: int = MAX_LEN) -> Column:

@@ -27,22 +27,30 @@ def dense_matrix(
 ) -> DataFrame:
     """``(given, pred, n)`` with every cell present, zeros filled.
 
-    The cells come from one constant array, and the counts kept are at most
-    one per cell, so that side of the join is broadcast.
+    The counts, a row per pair, are folded into one row with a sum per cell.
+    A join with the cells would filter the labels, and Spark moves that filter
+    below the counting: a model would score every post once more to be filtered.
     """
-    grid = [
-        F.struct(F.lit(g).alias("given"), F.lit(p).alias("pred"))
-        for g in given_classes
-        for p in pred_classes
+    cells, sums = {}, []
+    for i, g in enumerate(given_classes):
+        for j, p in enumerate(pred_classes):
+            cells[g, p] = f"_n{i}_{j}"
+            in_cell = (F.col("given") == g) & (F.col("pred") == p)
+            sums.append(F.sum(F.when(in_cell, F.col("n"))).alias(cells[g, p]))
+    return counts.agg(*sums).select(_cells(cells))
+
+
+def _cells(columns: dict[tuple[int, int], str]) -> Column:
+    """One row ``(given, pred, n)`` per cell from a row with a column per cell."""
+    rows = [
+        F.struct(
+            F.lit(given).alias("given"),
+            F.lit(pred).alias("pred"),
+            F.coalesce(F.col(name), F.lit(0)).alias("n"),
+        )
+        for (given, pred), name in columns.items()
     ]
-    cells = counts.sparkSession.range(1).select(F.inline(F.array(*grid)))
-    inside = counts.filter(
-        F.col("given").isin(list(given_classes)) & F.col("pred").isin(list(pred_classes))
-    )
-    kept = inside.groupBy("given", "pred").agg(F.sum("n").alias("n"))
-    return cells.join(F.broadcast(kept), ["given", "pred"], "left").select(
-        "given", "pred", F.coalesce("n", F.lit(0)).alias("n")
-    )
+    return F.inline(F.array(*rows))
 
 
 def distribution_matrix(
@@ -100,18 +108,9 @@ def label_association(
     both = fold(axis_a, a_label, a_classes, "_a").join(
         fold(axis_b, b_label, b_classes, "_b"), key
     )
-    cells = {
-        (i, j): f"_n{i}_{j}" for i in range(len(a_classes)) for j in range(len(b_classes))
-    }
-    sums = both.agg(
-        *[F.sum(F.col(f"_a{i}") * F.col(f"_b{j}")).alias(n) for (i, j), n in cells.items()]
-    )
-    rows = [
-        F.struct(
-            F.lit(a_classes[i]).alias("given"),
-            F.lit(b_classes[j]).alias("pred"),
-            F.coalesce(F.col(name), F.lit(0)).alias("n"),
-        )
-        for (i, j), name in cells.items()
-    ]
-    return conditional_distribution(sums.select(F.inline(F.array(*rows))))
+    cells, sums = {}, []
+    for i, a in enumerate(a_classes):
+        for j, b in enumerate(b_classes):
+            cells[a, b] = f"_n{i}_{j}"
+            sums.append(F.sum(F.col(f"_a{i}") * F.col(f"_b{j}")).alias(cells[a, b]))
+    return conditional_distribution(both.agg(*sums).select(_cells(cells)))

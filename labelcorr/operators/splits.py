@@ -84,7 +84,7 @@ def stratified_kfold(
     passed = F.size(F.filter("_cuts", lambda cut: F.col(key) >= cut))
     return (
         df.join(cuts, F.col(label).eqNullSafe(F.col("_label")), "left")
-        .withColumn(fold_col, passed)
+        .withColumn(fold_col, F.when(F.col("_cuts").isNull(), 0).otherwise(passed))
         .drop("_label", "_cuts")
     )
 
@@ -92,6 +92,8 @@ def stratified_kfold(
 def class_cuts(df: DataFrame, label: str, key: str, folds: int, buckets: int) -> DataFrame:
     """``(_label, _cuts)``: per class the keys that start its second and later folds.
 
+    A class whose rows all fall in the first fold has no row here.
+
     Three narrow passes over label and key: quantiles of the key as bucket
     bounds, a count per class and bucket, and a sort of only those buckets a
     cut falls in, each by itself. Equal-depth buckets keep these sorts even.
@@ -153,16 +155,7 @@ def class_cuts(df: DataFrame, label: str, key: str, folds: int, buckets: int) ->
             F.explode(F.filter("_wanted", lambda w: w["_nth"] == F.col("_row"))).alias("_hit"),
         )
     )
-    cuts = found.groupBy("_label").agg(F.collect_list("_key").alias("_cuts"))
-    # Classes whose rows all fit the first fold have no cut but still a row.
-    return (
-        classes.select(F.col("_label").alias("_class"))
-        .join(cuts, F.col("_class").eqNullSafe(F.col("_label")), "left")
-        .select(
-            F.col("_class").alias("_label"),
-            F.coalesce("_cuts", F.array().cast(cuts.schema["_cuts"].dataType)).alias("_cuts"),
-        )
-    )
+    return found.groupBy("_label").agg(F.collect_list("_key").alias("_cuts"))
 
 
 def _fold_starts(folds: int) -> list[Column]:

@@ -27,18 +27,18 @@ def build_vocabulary(
     counts are folded before the shuffle, so frequent words are no hot keys.
     The top-k keeps at most ``size`` rows per task and only these are numbered.
     """
-    counts = (
-        df.select(F.explode(tokens).alias("token"))
-        .filter(~F.col("token").isin(list(markers)) if markers else F.lit(True))
-        .groupBy("token")
-        .agg(F.count("*").alias("n"))
-    )
+    # The outer form: for the inner one Spark adds a size filter below the
+    # projection, and the texts are cut into words twice.
+    words = df.select(F.explode_outer(tokens).alias("token")).filter("token IS NOT NULL")
+    if markers:
+        words = words.filter(~F.col("token").isin(list(markers)))
+    counts = words.groupBy("token").agg(F.count("*").alias("n"))
     order = [F.col("n").desc(), F.col("token")]
     top = counts.orderBy(*order).limit(size)
     number = F.row_number().over(Window.orderBy(*order)) - 1 + len(markers)
-    words = top.select("token", "n", number.alias("token_id"))
+    numbered = top.select("token", "n", number.alias("token_id"))
     if not markers:
-        return words
+        return numbered
     first = [
         F.struct(
             F.lit(m).alias("token"),
@@ -47,7 +47,7 @@ def build_vocabulary(
         )
         for i, m in enumerate(markers)
     ]
-    return df.sparkSession.range(1).select(F.inline(F.array(*first))).unionByName(words)
+    return df.sparkSession.range(1).select(F.inline(F.array(*first))).unionByName(numbered)
 
 
 def encode_tokens(
@@ -93,8 +93,8 @@ def _join_tokens(
     words = df.select(
         key,
         F.pmod(F.xxhash64(key), F.lit(JOIN_SALTS)).cast("int").alias("_salt"),
-        F.posexplode(tokens).alias("_pos", "token"),
-    )
+        F.posexplode_outer(tokens).alias("_pos", "token"),
+    ).filter("token IS NOT NULL")
     salts = F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1)))
     salted = pairs.withColumn("_salt", salts)
     item = F.struct("_pos", F.coalesce("token_id", F.lit(unknown_id)).alias("_id"))

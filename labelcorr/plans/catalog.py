@@ -168,7 +168,11 @@ def _event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Text cleaning. The test texts hold nothing to clean, so a suffix adds it.
 
 SUFFIX_SQL = "' &amp;' || chr(160) || 'x http://t.co/' || doc_id || chr(12288) || 'end'"
-SPACE_SQL = X.WHITESPACE
+# The 29 whitespace code points, listed.
+SPACE_SQL = (
+    r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
 
 
 def _dirty_text() -> Column:
@@ -176,7 +180,7 @@ def _dirty_text() -> Column:
         F.col("text"),
         F.lit(" &amp;" + X.NBSP + "x http://t.co/"),
         F.col("doc_id").cast("string"),
-        F.lit("　end"),
+        F.lit("\u3000end"),
     )
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -11,7 +12,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,6 +70,22 @@ def classifier(settings: Settings, label: str = "label") -> LogisticRegression:
     )
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` persisted for several passes; what a lost executor held is computed again."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
+def hashed(df: DataFrame, stages: list, *columns: str) -> DataFrame:
+    """Term counts of the texts, the form in which a training set is kept."""
+    tokenizer, counter, _ = stages
+    return counter.transform(tokenizer.transform(df)).select("_tf", *columns)
+
+
 def weighted(df: DataFrame, label: str, weights: Sequence[float]) -> DataFrame:
     return df.withColumn("_weight", class_weight(list(weights), F.col(label)))
 
@@ -80,9 +97,17 @@ def train_classifier(
     text: str = "content",
     label: str = "label",
 ) -> PipelineModel:
-    """Fit a class-weighted multinomial classifier of ``text``."""
-    rows = weighted(df, label, weight_list(df, label, classes))
-    return Pipeline(stages=[*tfidf_features(settings, text), classifier(settings, label)]).fit(rows)
+    """Fit a class-weighted multinomial classifier of ``text``.
+
+    The texts are read and cut into words once; the weights, the IDF and the
+    optimizer work on the kept term counts.
+    """
+    stages = tfidf_features(settings, text)
+    with kept(hashed(df, stages, label)) as counts:
+        idf = stages[2].fit(counts)
+        rows = weighted(idf.transform(counts), label, weight_list(counts, label, classes))
+        fitted = classifier(settings, label).fit(rows)
+    return PipelineModel([*stages[:2], idf, fitted])
 
 
 def select_best(
@@ -95,47 +120,39 @@ def select_best(
 ) -> Choice:
     """Train each candidate and keep the one with the highest micro F1 on ``holdout``.
 
-    The first one wins ties. Candidates with the same feature size share one
-    feature table. A candidate is scored by one aggregate.
+    The first one wins ties. Candidates with the same feature size share the
+    kept term counts of both sets. A candidate is scored by one aggregate.
     """
     weights = weight_list(train, label, classes)
-    rows = weighted(train.select(text, label), label, weights)
     best, tried = None, []
     for size in dict.fromkeys(s.features for s in candidates):
         same = [(i, s) for i, s in enumerate(candidates) if s.features == size]
-        features = Pipeline(stages=tfidf_features(same[0][1], text)).fit(rows)
-        ready = features.transform(rows).select("_features", "_weight", label)
-        checked = features.transform(holdout.select(text, label)).select("_features", label)
-        ready.persist(StorageLevel.MEMORY_AND_DISK)
-        checked.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
+        stages = tfidf_features(same[0][1], text)
+        with (
+            kept(hashed(train, stages, label)) as train_counts,
+            kept(hashed(holdout, stages, label)) as holdout_counts,
+        ):
+            idf = stages[2].fit(train_counts)
+            rows = weighted(idf.transform(train_counts), label, weights)
+            checked = idf.transform(holdout_counts)
             for i, settings in same:
-                fitted = classifier(settings, label).fit(ready)
+                fitted = classifier(settings, label).fit(rows)
                 scored = with_logits(fitted.transform(checked), len(classes))
                 found = evaluate(score_counts(scored, label), weights).first()
                 scores = {
                     "candidate": i,
-                    "f1": found["micro_f1"],
+                    "f1": found["micro_f1"] or 0.0,
                     "loss": found["loss"],
                     "accuracy": found["accuracy"],
                 }
                 tried.append(scores)
-                if _better(scores, best):
-                    best = Choice(PipelineModel([*features.stages, fitted]), weights=weights, **scores)
-        finally:
-            ready.unpersist()
-            checked.unpersist()
+                if best is None or (-scores["f1"], i) < (-best.f1, best.candidate):
+                    model = PipelineModel([*stages[:2], idf, fitted])
+                    best = Choice(model, weights=weights, **scores)
     best.tried = sorted(tried, key=lambda s: s["candidate"])
     return best
 
 
-def _better(scores: dict, best: Choice | None) -> bool:
-    if best is None:
-        return True
-    f1 = scores["f1"] or 0.0
-    return f1 > best.f1 or (f1 == best.f1 and scores["candidate"] < best.candidate)
-
-
 def cross_validate(
     df: DataFrame,
     classes: Sequence[int],
@@ -146,20 +163,26 @@ def cross_validate(
     label: str = "label",
     fold_col: str = "fold",
     parallelism: int = 2,
-) -> CrossValidatorModel:
-    """Choose ``reg`` over the given folds by accuracy, which is micro F1 here."""
-    rows = weighted(df, label, weight_list(df, label, classes))
+) -> tuple[PipelineModel, list[float]]:
+    """Choose ``reg`` over the given folds by accuracy, which is micro F1 here.
+
+    Returns the model fitted on all rows and the mean score of each ``reg``.
+    """
+    stages = tfidf_features(settings, text)
     regression = classifier(settings, label)
-    return CrossValidator(
-        estimator=Pipeline(stages=[*tfidf_features(settings, text), regression]),
-        estimatorParamMaps=ParamGridBuilder().addGrid(regression.regParam, list(regs)).build(),
-        evaluator=MulticlassClassificationEvaluator(
-            labelCol=label, predictionCol="_prediction", metricName="accuracy"
-        ),
-        numFolds=folds,
-        foldCol=fold_col,
-        parallelism=parallelism,
-    ).fit(rows)
+    with kept(hashed(df, stages, label, fold_col)) as counts:
+        rows = weighted(counts, label, weight_list(counts, label, classes))
+        found = CrossValidator(
+            estimator=Pipeline(stages=[stages[2], regression]),
+            estimatorParamMaps=ParamGridBuilder().addGrid(regression.regParam, list(regs)).build(),
+            evaluator=MulticlassClassificationEvaluator(
+                labelCol=label, predictionCol="_prediction", metricName="accuracy"
+            ),
+            numFolds=folds,
+            foldCol=fold_col,
+            parallelism=parallelism,
+        ).fit(rows)
+    return PipelineModel([*stages[:2], *found.bestModel.stages]), list(found.avgMetrics)
 
 
 def with_logits(scored: DataFrame, n_classes: int | None = None) -> DataFrame:

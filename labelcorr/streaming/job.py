@@ -124,13 +124,17 @@ def run_stream(
     """
     scored = score(stream_posts(lines, settings))
 
+    def write_counts(batch: DataFrame, batch_id: int) -> None:
+        # A row per pair of classes: one file is enough.
+        write_batch(batch_counts(batch).coalesce(1), result_path, batch_id)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         if predictions_path is None:
-            write_batch(batch_counts(batch), result_path, batch_id)
+            write_counts(batch, batch_id)
             return
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            write_batch(batch_counts(batch), result_path, batch_id)
+            write_counts(batch, batch_id)
             tested = batch.filter(~F.col("in_train") & ~F.col("corrupt"))
             write_predictions(
                 tested.select("ids", argmax(F.col("logits")).alias("pred")),
