@@ -31,11 +31,18 @@ def holdout_by_file(
     return train, test
 
 
+def mark_split(
+    df: DataFrame, *keys: str, fraction: float = 0.8, seed: int = 42
+) -> DataFrame:
+    """Add ``in_train`` by a hash of the key; rows with the same key stay on one side."""
+    return df.withColumn("in_train", _sampled(keys, fraction, seed))
+
+
 def random_split(
     df: DataFrame, *keys: str, fraction: float = 0.8, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
     """``(train, rest)`` by a hash of the key; every row is in exactly one of them."""
-    chosen = in_sample(*[F.col(k) for k in keys], fraction=fraction, seed=seed)
+    chosen = _sampled(keys, fraction, seed)
     return df.filter(chosen), df.filter(~chosen)
 
 
@@ -57,7 +64,7 @@ def split_rest(
     df: DataFrame, columns: list[str], *keys: str, fraction: float = 0.8, seed: int = 42
 ) -> DataFrame:
     """``test_rest`` of a ``random_split`` on ``columns``: one scan with the sample as a flag."""
-    chosen = in_sample(*[F.col(k) for k in keys], fraction=fraction, seed=seed)
+    chosen = _sampled(keys, fraction, seed)
     seen = df.groupBy(*columns).agg(F.max(chosen).alias("_train"))
     return seen.filter(~F.col("_train")).drop("_train")
 
@@ -158,6 +165,10 @@ def class_cuts(df: DataFrame, label: str, key: str, folds: int, buckets: int) ->
     return found.groupBy("_label").agg(F.collect_list("_key").alias("_cuts"))
 
 
+def _sampled(keys: tuple[str, ...], fraction: float, seed: int) -> Column:
+    return in_sample(*[F.col(k) for k in keys], fraction=fraction, seed=seed)
+
+
 def _fold_starts(folds: int) -> list[Column]:
     """Ranks inside a class at which fold 1, 2, ... start.
 

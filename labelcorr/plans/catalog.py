@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from labelcorr.functions import labels as L
 from labelcorr.functions import text as X
 from labelcorr.functions import tokens as K
-from labelcorr.functions.hashing import in_sample
 from labelcorr.functions.scores import argmax
 from labelcorr.operators import counts as C
 from labelcorr.operators import matrix as M
@@ -479,10 +478,8 @@ FROM documents
 """)
 def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id")
-    train, test = S.random_split(docs, "doc_id")
-    return train.withColumn("side", F.lit("train")).unionByName(
-        test.withColumn("side", F.lit("test"))
-    )
+    side = F.when(F.col("in_train"), "train").otherwise("test").alias("side")
+    return S.mark_split(docs, "doc_id").select("doc_id", side)
 
 
 @query(f"""

@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from labelcorr.functions.hashing import in_sample
 from labelcorr.functions.labels import LENIENT_BIAS_DEFAULT, POLITICAL_BIAS, LabelAxis
 from labelcorr.functions.scores import argmax, cross_entropy
 from labelcorr.functions.text import normalize_text
 from labelcorr.operators.matrix import conditional_distribution, confusion_counts, dense_matrix
 from labelcorr.operators.quality import Weights, evaluate
 from labelcorr.operators.rows import POST_SCHEMA
+from labelcorr.operators.splits import mark_split
 from labelcorr.plans.classify import predict
 from labelcorr.sources.sinks import read_batches, write_batch, write_predictions
 
@@ -51,14 +51,6 @@ def stream_parse(lines: DataFrame, schema: T.StructType = POST_SCHEMA) -> DataFr
     )
 
 
-def stream_split(
-    posts: DataFrame, *keys: str, fraction: float = 0.8, seed: int = 42
-) -> DataFrame:
-    """Add ``in_train`` by a hash of the key; copies of a post stay on one side."""
-    chosen = in_sample(*[F.col(k) for k in keys], fraction=fraction, seed=seed)
-    return posts.withColumn("in_train", chosen)
-
-
 def stream_posts(lines: DataFrame, settings: StreamSettings = StreamSettings()) -> DataFrame:
     """``(ids, content, label, in_train, corrupt)``: parsed, split, cleaned and encoded.
 
@@ -67,7 +59,7 @@ def stream_posts(lines: DataFrame, settings: StreamSettings = StreamSettings())
     parsed = stream_parse(lines, settings.schema)
     parsed = parsed.filter(F.col("corrupt") | F.col("content").isNotNull())
     keys = settings.schema.fieldNames()
-    split = stream_split(parsed, *keys, fraction=settings.train_fraction, seed=settings.seed)
+    split = mark_split(parsed, *keys, fraction=settings.train_fraction, seed=settings.seed)
     label = settings.axis.encode(F.col("account_category"), settings.default)
     return split.select(
         F.xxhash64(*keys).alias("ids"),
