@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelcorr.functions.hashing import in_sample
-from labelcorr.session import broadcast_if_small
+from labelcorr.session import broadcast_if_small, few_rows, kept
 
 MAX_BROADCAST_CLASSES = 10_000
+MAX_PUSHED_RANGES = 64
+BOUNDS_SAMPLE = 0.01
 
 
 def holdout_by_file(
@@ -88,10 +93,12 @@ def stratified_kfold(
     cuts = broadcast_if_small(
         class_cuts(df, label, key, folds, buckets), MAX_BROADCAST_CLASSES
     )
-    passed = F.size(F.filter("_cuts", lambda cut: F.col(key) >= cut))
+    passed = F.lit(0)
+    for i in range(folds - 1):
+        passed = passed + F.when(F.col(key) >= F.get("_cuts", F.lit(i)), 1).otherwise(0)
     return (
         df.join(cuts, F.col(label).eqNullSafe(F.col("_label")), "left")
-        .withColumn(fold_col, F.when(F.col("_cuts").isNull(), 0).otherwise(passed))
+        .withColumn(fold_col, passed)
         .drop("_label", "_cuts")
     )
 
@@ -103,51 +110,32 @@ def class_cuts(df: DataFrame, label: str, key: str, folds: int, buckets: int) ->
 
     Three narrow passes over label and key: quantiles of the key as bucket
     bounds, a count per class and bucket, and a sort of only those buckets a
-    cut falls in, each by itself. Equal-depth buckets keep these sorts even.
+    cut falls in, each by itself. Equal-depth buckets keep these sorts even; any
+    bounds give the same cuts, so a sample is enough for them. The key ranges
+    of these buckets are literals of the last pass, which lets the scan skip
+    row groups.
     """
     rows = df.select(F.col(label).alias("_label"), F.col(key).alias("_key"))
     shares = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(rows.approxQuantile("_key", shares, 0.5 / buckets))) or [0.0]
+    some = rows.sample(BOUNDS_SAMPLE, seed=0)
+    bounds = sorted(set(some.approxQuantile("_key", shares, 0.5 / buckets))) or [0.0]
     bucketed = Bucketizer(
         splits=[-float("inf"), *bounds, float("inf")], inputCol="_key", outputCol="_bucket"
     ).transform(rows)
+    bucketed = bucketed.withColumn("_bucket", F.col("_bucket").cast("int"))
 
-    in_order = Window.partitionBy("_label").orderBy("_bucket")
-    histogram = (
-        bucketed.groupBy("_label", "_bucket")
-        .agg(F.count("*").alias("_n"), F.min("_key").alias("_first"))
-        .withColumn("_end", F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
-    )
-
-    # One row per class, so the window without a partition key is small.
-    earlier = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
-    classes = (
-        histogram.groupBy("_label")
-        .agg(F.sum("_n").alias("_size"), F.min("_first").alias("_first"))
-        .withColumn("_offset", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
-    )
-    targets = classes.select(
-        "_label", F.posexplode(F.array(*_fold_starts(folds))).alias("_cut_no", "_rank")
-    )
-    located = broadcast_if_small(
-        targets.alias("t")
-        .join(
-            histogram.alias("h"),
-            F.col("t._label").eqNullSafe(F.col("h._label"))
-            & (F.col("_rank") >= F.col("_start"))
-            & (F.col("_rank") < F.col("_end")),
-        )
-        .select(
-            F.col("t._label").alias("_at_label"),
-            F.col("_bucket").alias("_at_bucket"),
-            (F.col("_rank") - F.col("_start")).alias("_nth"),
-            "_cut_no",
-        )
-        .groupBy("_at_label", "_at_bucket")
-        .agg(F.collect_list(F.struct("_nth", "_cut_no")).alias("_wanted")),
-        MAX_BROADCAST_CLASSES * folds,
+    histogram = bucketed.groupBy("_label", "_bucket").agg(
+        F.count("*").alias("_n"), F.min("_key").alias("_low"), F.max("_key").alias("_high")
     )
+    with kept(histogram):
+        located = _located_cuts(histogram, folds)
+        few = few_rows(located, MAX_BROADCAST_CLASSES * folds)
+    if few is not None:
+        located = F.broadcast(df.sparkSession.createDataFrame(few, located.schema))
+        if 0 < len(few) <= MAX_PUSHED_RANGES:
+            ranges = [F.col("_key").between(r["_low"], r["_high"]) for r in few]
+            bucketed = bucketed.filter(reduce(or_, ranges))
+    located = located.drop("_low", "_high")
     at = F.col("_label").eqNullSafe(F.col("_at_label")) & (
         F.col("_bucket") == F.col("_at_bucket")
     )
@@ -159,12 +147,40 @@ def class_cuts(df: DataFrame, label: str, key: str, folds: int, buckets: int) ->
         .select(
             "_label",
             "_key",
-            F.explode(F.filter("_wanted", lambda w: w["_nth"] == F.col("_row"))).alias("_hit"),
+            F.explode(F.filter("_wanted", lambda nth: nth == F.col("_row"))).alias("_hit"),
         )
     )
     return found.groupBy("_label").agg(F.collect_list("_key").alias("_cuts"))
 
 
+def _located_cuts(histogram: DataFrame, folds: int) -> DataFrame:
+    """Per class and bucket with a cut: its key range and the ranks at which it is cut."""
+    in_order = Window.partitionBy("_label").orderBy("_bucket")
+    upto = F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = histogram.withColumn("_end", upto).withColumn("_start", F.col("_end") - F.col("_n"))
+
+    # One row per class, so the window without a partition key is small.
+    earlier = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    classes = (
+        histogram.groupBy("_label")
+        .agg(F.sum("_n").alias("_size"), F.min("_low").alias("_first"))
+        .withColumn("_offset", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    )
+    targets = classes.select(
+        F.col("_label").alias("_at_label"), F.explode(F.array(*_fold_starts(folds))).alias("_rank")
+    )
+    inside = (
+        F.col("_at_label").eqNullSafe(F.col("_label"))
+        & (F.col("_rank") >= F.col("_start"))
+        & (F.col("_rank") < F.col("_end"))
+    )
+    return (
+        targets.join(placed, inside)
+        .groupBy("_at_label", F.col("_bucket").alias("_at_bucket"), "_low", "_high")
+        .agg(F.collect_list(F.col("_rank") - F.col("_start")).alias("_wanted"))
+    )
+
+
 def _sampled(keys: tuple[str, ...], fraction: float, seed: int) -> Column:
     return in_sample(*[F.col(k) for k in keys], fraction=fraction, seed=seed)
 

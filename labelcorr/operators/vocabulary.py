@@ -25,7 +25,9 @@ def build_vocabulary(
 
     Markers get the first ids, in the given order and with a NULL count. The
     counts are folded before the shuffle, so frequent words are no hot keys.
-    The top-k keeps at most ``size`` rows per task and only these are numbered.
+    How many tokens have which count tells the lowest count that can be among
+    the ``size`` most frequent. Only tokens from there on are ordered and
+    numbered, which one task can do: ``size`` rows and those tied with the last.
     """
     # The outer form: for the inner one Spark adds a size filter below the
     # projection, and the texts are cut into words twice.
@@ -34,7 +36,15 @@ def build_vocabulary(
         words = words.filter(~F.col("token").isin(list(markers)))
     counts = words.groupBy("token").agg(F.count("*").alias("n"))
     order = [F.col("n").desc(), F.col("token")]
-    top = counts.orderBy(*order).limit(size)
+    from_top = Window.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    lowest = (
+        counts.groupBy("n")
+        .agg(F.count("*").alias("tokens"))
+        .withColumn("upto", F.sum("tokens").over(from_top))
+        .filter(F.col("upto") >= size)
+        .agg(F.coalesce(F.max("n"), F.lit(0)))
+    )
+    top = counts.filter(F.col("n") >= lowest.scalar()).orderBy(*order).limit(size)
     number = F.row_number().over(Window.orderBy(*order)) - 1 + len(markers)
     numbered = top.select("token", "n", number.alias("token_id"))
     if not markers:

@@ -822,7 +822,7 @@ def _run_events(spark: SparkSession, sf_dir: str) -> str:
     garbage = events.filter(F.col("event_type") == "error").select(raw)
     path = scratch_path(spark, "stream")
     feed = lines.unionByName(garbage)
-    feed.write.option("maxRecordsPerFile", 50_000).text(f"{path}/lines")
+    feed.write.option("maxRecordsPerFile", 200_000).text(f"{path}/lines")
     run = job.run_stream(
         posts.replay_stream(spark, f"{path}/lines", max_files=8),
         _remainder_logits,

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -21,6 +19,7 @@ from labelcorr.functions.scores import class_weight
 from labelcorr.functions.tokens import WORD_GAPS
 from labelcorr.operators.counts import weight_list
 from labelcorr.operators.quality import evaluate, score_counts
+from labelcorr.session import kept
 
 
 @dataclass(frozen=True)
@@ -70,16 +69,6 @@ def classifier(settings: Settings, label: str = "label") -> LogisticRegression:
     )
 
 
-@contextmanager
-def kept(df: DataFrame) -> Iterator[DataFrame]:
-    """``df`` persisted for several passes; what a lost executor held is computed again."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield df
-    finally:
-        df.unpersist()
-
-
 def hashed(df: DataFrame, stages: list, *columns: str) -> DataFrame:
     """Term counts of the texts, the form in which a training set is kept."""
     tokenizer, counter, _ = stages

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,14 +45,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` persisted for several passes; what a lost executor held is computed again."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
+def few_rows(df: DataFrame, max_rows: int) -> list[Row] | None:
+    """The rows of ``df`` if there are at most ``max_rows``, else None.
+
+    Fetches at most ``max_rows + 1`` rows.
+    """
+    head = df.limit(max_rows + 1).collect()
+    return head if len(head) <= max_rows else None
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` when it has at most ``max_rows`` rows, else return it as it is.
 
-    The check fetches at most ``max_rows + 1`` rows. The rows fetched become the
-    broadcast side, so ``df`` is not computed twice. A larger ``df`` stays
-    distributed and its join shuffles.
+    The rows fetched for the check become the broadcast side, so ``df`` is not
+    computed twice. A larger ``df`` stays distributed and its join shuffles.
     """
-    head = df.limit(max_rows + 1).collect()
-    if len(head) > max_rows:
+    few = few_rows(df, max_rows)
+    if few is None:
         return df
-    return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
+    return F.broadcast(df.sparkSession.createDataFrame(few, df.schema))

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +20,11 @@ from labelcorr.functions.labels import LENIENT_BIAS_DEFAULT, POLITICAL_BIAS, Lab
 from labelcorr.functions.scores import argmax, cross_entropy
 from labelcorr.functions.text import normalize_text
 from labelcorr.operators.matrix import conditional_distribution, confusion_counts, dense_matrix
-from labelcorr.operators.quality import Weights, evaluate
+from labelcorr.operators.quality import Weights, evaluate, prediction_table
 from labelcorr.operators.rows import POST_SCHEMA
 from labelcorr.operators.splits import mark_split
 from labelcorr.plans.classify import predict
+from labelcorr.session import kept
 from labelcorr.sources.sinks import read_batches, write_batch, write_predictions
 
 
@@ -76,13 +76,18 @@ def stream_predict(posts: DataFrame, model: PipelineModel, n_classes: int) -> Da
     return predict(texts, model, n_classes)
 
 
+def tested(scored: DataFrame) -> DataFrame:
+    """The test posts of a batch, and its unreadable lines."""
+    return scored.filter(F.col("corrupt") | ~F.col("in_train"))
+
+
 def batch_counts(scored: DataFrame) -> DataFrame:
     """``(given, pred, n, nll, corrupt)`` over the test posts of a batch.
 
     Unreadable lines are not scored; they appear as one row without labels,
     with their number in ``corrupt``.
     """
-    rows = scored.filter(F.col("corrupt") | ~F.col("in_train")).select(
+    rows = tested(scored).select(
         F.when(~F.col("corrupt"), F.col("label")).alias("label"),
         F.when(~F.col("corrupt"), argmax(F.col("logits"))).alias("pred"),
         F.when(~F.col("corrupt"), cross_entropy(F.col("logits"), F.col("label"))).alias("nll"),
@@ -124,17 +129,13 @@ def run_stream(
         if predictions_path is None:
             write_counts(batch, batch_id)
             return
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            write_counts(batch, batch_id)
-            tested = batch.filter(~F.col("in_train") & ~F.col("corrupt"))
+        with kept(tested(batch)) as rows:
+            write_counts(rows, batch_id)
             write_predictions(
-                tested.select("ids", argmax(F.col("logits")).alias("pred")),
+                prediction_table(rows.filter(~F.col("corrupt")), "ids"),
                 f"{predictions_path.rstrip('/')}/batch_id={batch_id}",
                 settings.axis.name,
             )
-        finally:
-            batch.unpersist()
 
     writer = scored.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if name:

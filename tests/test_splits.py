@@ -62,6 +62,14 @@ def test_kfold_neither_sorts_nor_shuffles_the_rows(spark):
     assert "Exchange hashpartitioning" not in text and "Sort" not in text
 
 
+def test_last_pass_over_the_keys_is_pushed_to_the_scan(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(5000).withColumn("label", F.col("id") % 3).write.parquet(path)
+    cuts = S.class_cuts(spark.read.parquet(path), "label", "id", 5, 64)
+    text = cuts._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id" in text and "ReadSchema: struct<id:bigint,label:bigint>" in text
+
+
 def test_fold_rows_and_train_counts(spark):
     labels = ["neg"] * 10 + ["neu"] * 25 + ["pos"] * 5
     df = spark.createDataFrame(list(enumerate(labels)), "id long, label string")
