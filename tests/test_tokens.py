@@ -83,8 +83,7 @@ def test_words_are_cut_once_per_scan(spark, plan):
     vocabulary = V.build_vocabulary(tokens, 5)
     assert "size(" not in plan(vocabulary)
     vocabulary.collect()
-    final = plan(vocabulary).split("== Final Plan ==")[1].split("== Initial Plan ==")[0]
-    assert "ReusedExchange" in final or final.count("split(") == 1
+    assert "ReusedExchange" in plan(vocabulary)
 
 
 def test_batch_tokenize(spark):
