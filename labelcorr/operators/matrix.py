@@ -35,22 +35,18 @@ def dense_matrix(
     for i, g in enumerate(given_classes):
         for j, p in enumerate(pred_classes):
             cells[g, p] = f"_n{i}_{j}"
-            in_cell = (F.col("given") == g) & (F.col("pred") == p)
-            sums.append(F.sum(F.when(in_cell, F.col("n"))).alias(cells[g, p]))
+            in_cell = f"given = {g} AND pred = {p}"
+            sums.append(F.expr(f"sum(CASE WHEN {in_cell} THEN n END) AS {cells[g, p]}"))
     return counts.agg(*sums).select(_cells(cells))
 
 
 def _cells(columns: dict[tuple[int, int], str]) -> Column:
     """One row ``(given, pred, n)`` per cell from a row with a column per cell."""
     rows = [
-        F.struct(
-            F.lit(given).alias("given"),
-            F.lit(pred).alias("pred"),
-            F.coalesce(F.col(name), F.lit(0)).alias("n"),
-        )
+        f"struct({given} AS given, {pred} AS pred, coalesce({name}, 0L) AS n)"
         for (given, pred), name in columns.items()
     ]
-    return F.inline(F.array(*rows))
+    return F.expr(f"inline(array({', '.join(rows)}))")
 
 
 def distribution_matrix(
@@ -112,5 +108,5 @@ def label_association(
     for i, a in enumerate(a_classes):
         for j, b in enumerate(b_classes):
             cells[a, b] = f"_n{i}_{j}"
-            sums.append(F.sum(F.col(f"_a{i}") * F.col(f"_b{j}")).alias(cells[a, b]))
+            sums.append(F.expr(f"sum(_a{i} * _b{j}) AS {cells[a, b]}"))
     return conditional_distribution(both.agg(*sums).select(_cells(cells)))

@@ -192,14 +192,13 @@ def _fold_starts(folds: int) -> list[Column]:
     a fold then takes as many rows of a class as it was dealt.
     """
 
-    def dealt(upto: Column, fold: int) -> Column:
-        return F.floor((upto - fold + folds - 1) / F.lit(folds)).cast("bigint")
+    def dealt(upto: str, fold: int) -> str:
+        return f"({upto} - {fold} + {folds - 1}) div {folds}"
 
-    starts, total = [], F.lit(0).cast("bigint")
+    starts, total = [], "0L"
     for fold in range(folds - 1):
-        end = F.col("_offset") + F.col("_size")
-        total = total + dealt(end, fold) - dealt(F.col("_offset"), fold)
-        starts.append(total)
+        total += f" + {dealt('(_offset + _size)', fold)} - {dealt('_offset', fold)}"
+        starts.append(F.expr(total))
     return starts
 
 
