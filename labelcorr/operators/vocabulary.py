@@ -111,7 +111,7 @@ def _join_tokens(
     lists = (
         words.join(salted, ["token", "_salt"], "left")
         .groupBy(key)
-        .agg(F.array_sort(F.collect_list(item)).alias("_items"))
+        .agg(F.sort_array(F.collect_list(item)).alias("_items"))
         .select(key, F.transform("_items", lambda i: i["_id"]).alias("_ids"))
     )
     empty = F.when(F.col(tokens).isNotNull(), F.array().cast("array<int>"))

@@ -718,17 +718,31 @@ def json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", data).select("event_id", "data.*")
 
 
-@query("SELECT doc_id, text AS content, lang AS account_category FROM documents")
-def csv_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts written as CSV and read back, line breaks and quotes included."""
-    docs = table(spark, sf_dir, "documents")
+CSV_SQL = "SELECT doc_id, text AS content, lang AS account_category FROM documents"
+CSV_SCHEMA = "doc_id bigint, content string, account_category string"
+
+
+def _write_documents(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_path(spark, "posts")
-    sinks.write_csv(
-        docs.select(F.col("text").alias("content"), "doc_id", F.col("lang").alias("account_category")),
-        path,
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("text").alias("content"), "doc_id", F.col("lang").alias("account_category")
     )
-    schema = "doc_id bigint, content string, account_category string"
-    return posts.read_posts(spark, path, schema).drop("file_name")
+    sinks.write_csv(docs, path)
+    return path
+
+
+@query(CSV_SQL)
+def csv_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts written as CSV and read back, line breaks and quotes included."""
+    path = _write_documents(spark, sf_dir)
+    return posts.read_posts(spark, path, CSV_SCHEMA).drop("file_name")
+
+
+@query(CSV_SQL)
+def csv_large_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with files split inside the records."""
+    path = _write_documents(spark, sf_dir)
+    return posts.read_large_posts(spark, path, CSV_SCHEMA).drop("file_name")
 
 
 @query("""

@@ -54,6 +54,30 @@ def test_missing_strings_and_types(spark, tmp_path):
         assert [r["conspiracy"] for r in rows] == wanted
 
 
+@pytest.mark.parametrize("block, end", [(40, "\n"), (97, "\n"), (64, "\r\n"), (10**6, "\n")])
+@pytest.mark.parametrize("max_broadcast", [10**5, 0])
+def test_large_files_are_split_inside_records(spark, tmp_path, monkeypatch, block, end, max_broadcast):
+    monkeypatch.setattr(posts, "MAX_BROADCAST_BLOCKS", max_broadcast)
+    for name in "ab":
+        rows = []
+        for i in range(60):
+            breaks = "\n".join(f'line {j} ""said"", x' for j in range(i % 5))
+            rows.append(f'{i},"{name} {i}\n{breaks}",LeftTroll' if i % 3 else f"{i},{name} {i},NA")
+        header = '"the\nid",content,account_category' if end == "\n" else "id,content,account_category"
+        (tmp_path / f"{name}.csv").write_bytes(end.join([header, *rows, "", ""]).encode())
+    wanted = posts.read_posts(spark, str(tmp_path)).collect()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        df = posts.read_large_posts(spark, str(tmp_path))
+        got = df.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(wanted) == 120
+    assert sorted(got, key=key) == sorted(wanted, key=key)
+
+
 def test_single_line_files_can_be_split(spark, folder):
     df = posts.read_posts(spark, folder, multi_line=False, partitions=3)
     assert df.count() == 6 and df.rdd.getNumPartitions() == 3
