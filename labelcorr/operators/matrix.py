@@ -25,7 +25,7 @@ def conditional_distribution(counts: DataFrame) -> DataFrame:
 def dense_matrix(
     counts: DataFrame, given_classes: Sequence[int], pred_classes: Sequence[int]
 ) -> DataFrame:
-    """``(given, pred, n)`` with every cell present, zeros filled.
+    """``(given, pred, n)`` for every pair of the two class lists, zeros filled.
 
     The counts, a row per pair, are folded into one row with a sum per cell.
     A join with the cells would filter the labels, and Spark moves that filter

@@ -33,10 +33,11 @@ def drop_non_text(df: DataFrame, text_col: str = "content") -> DataFrame:
 
 
 def parse_json(
-    df: DataFrame, schema: T.StructType = POST_SCHEMA, value_col: str = "value"
+    df: DataFrame, schema: T.StructType | str = POST_SCHEMA, value_col: str = "value", *keep: str
 ) -> DataFrame:
-    """Expand a JSON text column into the fields of ``schema``."""
-    return df.select(F.from_json(value_col, schema).alias("data")).select("data.*")
+    """Expand a JSON text column into the fields of ``schema``, plus the columns to keep."""
+    data = F.from_json(value_col, schema).alias("data")
+    return df.select(*keep, data).select(*keep, "data.*")
 
 
 def fill_missing(df: DataFrame, column: str, value: str) -> DataFrame:

@@ -713,9 +713,7 @@ def batch_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events
 """)
 def json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    data = F.from_json("props", "k bigint").alias("data")
-    return events.select("event_id", data).select("event_id", "data.*")
+    return R.parse_json(table(spark, sf_dir, "events"), "k bigint", "props", "event_id")
 
 
 CSV_SQL = "SELECT doc_id, text AS content, lang AS account_category FROM documents"
@@ -793,11 +791,12 @@ def transfer_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def select_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores on held-out documents of the best of three classifiers."""
+    """Scores on held-out documents of three classifiers, and which was chosen."""
     train, test = S.random_split(_labelled_documents(spark, sf_dir), "doc_id", fraction=0.7)
     candidates = [classify.Settings(reg=r) for r in (0.1, 0.01, 0.001)]
-    trained = jobs.train_and_evaluate(train, test, QUALITY, candidates)
-    return trained.scores.withColumn("candidate", F.lit(trained.choice.candidate))
+    choice = jobs.train_and_evaluate(train, test, QUALITY, candidates)
+    chosen = F.col("candidate") == choice.candidate
+    return choice.scores(spark).withColumn("chosen", chosen)
 
 
 # Streaming, fed with the events as JSON lines.

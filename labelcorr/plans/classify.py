@@ -11,7 +11,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,16 +34,23 @@ class Settings:
 
 @dataclass
 class Choice:
-    """The chosen model, its place among the candidates and its scores."""
+    """The chosen model, its place among the candidates and its held-out scores."""
 
     model: PipelineModel
     candidate: int
+    examples: int
     f1: float
     loss: float
     accuracy: float
     weights: list[float]
     tried: list[dict] = field(default_factory=list)
 
+    def scores(self, spark: SparkSession) -> DataFrame:
+        """``(candidate, examples, loss, micro_f1, accuracy)``, one row per candidate."""
+        rows = [(t["candidate"], t["examples"], t["loss"], t["f1"], t["accuracy"]) for t in self.tried]
+        schema = "candidate int, examples bigint, loss double, micro_f1 double, accuracy double"
+        return spark.createDataFrame(rows, schema)
+
 
 def tfidf_features(settings: Settings = Settings(), text: str = "content") -> list:
     """Stages from text to a TF-IDF vector; hashing keeps no vocabulary anywhere."""
@@ -112,8 +119,7 @@ def select_best(
     The first one wins ties. Candidates with the same feature size share the
     kept term counts of both sets. A candidate is scored by one aggregate.
     """
-    weights = weight_list(train, label, classes)
-    best, tried = None, []
+    best, tried, weights = None, [], None
     for size in dict.fromkeys(s.features for s in candidates):
         same = [(i, s) for i, s in enumerate(candidates) if s.features == size]
         stages = tfidf_features(same[0][1], text)
@@ -122,6 +128,7 @@ def select_best(
             kept(hashed(holdout, stages, label)) as holdout_counts,
         ):
             idf = stages[2].fit(train_counts)
+            weights = weights or weight_list(train_counts, label, classes)
             rows = weighted(idf.transform(train_counts), label, weights)
             checked = idf.transform(holdout_counts)
             for i, settings in same:
@@ -130,6 +137,7 @@ def select_best(
                 found = evaluate(score_counts(scored, label), weights).first()
                 scores = {
                     "candidate": i,
+                    "examples": found["examples"],
                     "f1": found["micro_f1"] or 0.0,
                     "loss": found["loss"],
                     "accuracy": found["accuracy"],

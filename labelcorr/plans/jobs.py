@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -13,7 +12,6 @@ from labelcorr.functions.labels import LabelAxis
 from labelcorr.functions.scores import argmax
 from labelcorr.functions.text import normalize_text
 from labelcorr.operators.matrix import distribution_matrix, name_matrix
-from labelcorr.operators.quality import evaluate, score_counts
 from labelcorr.operators.rows import drop_non_text
 from labelcorr.plans.classify import Choice, Settings, predict, select_best
 
@@ -35,22 +33,14 @@ def prepare(
     )
 
 
-@dataclass
-class Trained:
-    choice: Choice
-    scores: DataFrame
-
-
 def train_and_evaluate(
     train: DataFrame,
     test: DataFrame,
     axis: LabelAxis,
     candidates: Sequence[Settings] = (Settings(),),
-) -> Trained:
-    """Choose a classifier on prepared posts and report its scores on ``test``."""
-    choice = select_best(train, test, axis.classes, candidates)
-    scored = predict(test, choice.model, len(axis.classes))
-    return Trained(choice, evaluate(score_counts(scored, "label"), choice.weights))
+) -> Choice:
+    """Choose a classifier on prepared posts by its scores on ``test``."""
+    return select_best(train, test, axis.classes, candidates)
 
 
 def predicted_matrix(

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from labelcorr.functions.labels import POLITICAL_BIAS, SENTIMENT
 from labelcorr.operators import splits as S
-from labelcorr.operators.quality import prediction_table
+from labelcorr.operators.quality import evaluate, prediction_table, score_counts
 from labelcorr.plans import classify, jobs
 from labelcorr.sources import models
 
@@ -53,7 +53,7 @@ def test_predictions_match_the_model(prepared, model):
 
 def test_learns_separable_topics(prepared, model):
     scored = classify.predict(prepared, model, 3)
-    scores = jobs.evaluate(jobs.score_counts(scored, "label")).first()
+    scores = evaluate(score_counts(scored, "label")).first()
     assert scores["accuracy"] > 0.95
 
 
@@ -76,13 +76,16 @@ def test_select_best_takes_the_first_of_equals(prepared):
     assert choice.f1 == choice.accuracy == max(t["f1"] for t in choice.tried)
 
 
-def test_train_and_evaluate(prepared):
+def test_train_and_evaluate(spark, prepared):
     train, test = S.random_split(prepared, "id")
-    trained = jobs.train_and_evaluate(train, test, POLITICAL_BIAS, [SMALL])
-    row = trained.scores.first()
-    assert row["examples"] == test.count()
-    assert row["micro_f1"] == trained.choice.f1
-    assert row["loss"] == pytest.approx(trained.choice.loss)
+    choice = jobs.train_and_evaluate(train, test, POLITICAL_BIAS, [SMALL])
+    again = evaluate(
+        score_counts(classify.predict(test, choice.model, 3), "label"), choice.weights
+    ).first()
+    row = choice.scores(spark).first()
+    assert row["examples"] == again["examples"] == test.count()
+    assert row["micro_f1"] == again["micro_f1"] == choice.f1
+    assert row["loss"] == pytest.approx(again["loss"])
 
 
 def test_cross_validation_uses_the_folds(prepared):
