@@ -7,14 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelcorr.functions import labels as L
+from labelcorr.functions.parse import unpacked
 from labelcorr.session import broadcast_if_small, checkpointed
 
-POST_SCHEMA = T.StructType(
-    [
-        T.StructField("content", T.StringType(), True),
-        T.StructField("account_category", T.StringType(), True),
-    ]
-)
+# The fields of a post.
+POST_SCHEMA = T.StructType().add("content", "string").add("account_category", "string")
 
 MAX_BROADCAST_PARTITIONS = 100_000
 POSITION_BITS = 33
@@ -36,8 +33,7 @@ def parse_json(
     df: DataFrame, schema: T.StructType | str = POST_SCHEMA, value_col: str = "value", *keep: str
 ) -> DataFrame:
     """Expand a JSON text column into the fields of ``schema``, plus the columns to keep."""
-    data = F.from_json(value_col, schema).alias("data")
-    return df.select(*keep, data).select(*keep, "data.*")
+    return df.select(*keep, unpacked(F.from_json(value_col, schema)))
 
 
 def fill_missing(df: DataFrame, column: str, value: str) -> DataFrame:

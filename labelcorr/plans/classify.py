@@ -11,10 +11,11 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelcorr.functions.parse import unpacked
 from labelcorr.functions.scores import class_weight
 from labelcorr.functions.tokens import WORD_GAPS
 from labelcorr.operators.counts import weight_list
@@ -193,7 +194,12 @@ def with_logits(scored: DataFrame, n_classes: int | None = None) -> DataFrame:
         missing = F.greatest(F.lit(n_classes) - F.size(logits), F.lit(0))
         logits = F.concat(logits, F.array_repeat(F.lit(float("-inf")), missing))
     rest = [c for c in scored.columns if not c.startswith("_")]
-    return scored.select(*rest, logits.alias("logits"))
+    return scored.select(*rest, _scored_once(logits))
+
+
+def _scored_once(logits: Column) -> Column:
+    """As a generator's output, so no later filter runs the model a second time."""
+    return unpacked(F.struct(logits.alias("logits")))
 
 
 def predict(df: DataFrame, model: PipelineModel, n_classes: int | None = None) -> DataFrame:
@@ -219,4 +225,4 @@ def predict_with(
         batch_size=batch_size,
         input_tensor_shapes=input_shapes,
     )
-    return df.withColumn("logits", score(*inputs))
+    return df.select("*", _scored_once(score(*inputs)))

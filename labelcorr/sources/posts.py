@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelcorr.functions.parse import unpacked
 from labelcorr.operators.rows import POST_SCHEMA
 from labelcorr.session import broadcast_if_small, checkpointed
 
@@ -129,10 +130,10 @@ def read_large_posts(
     columns = _text_schema(spark, paths)
     options = {"escape": '"', "multiLine": "true"}
     records = single.unionByName(joined).withColumn("_text", F.rtrim("_text", F.lit("\r")))
-    cells = F.from_csv("_text", columns.toDDL(), options).alias("_cells")
-    parsed = records.filter(F.col("_text") != "").select("file_name", cells)
+    cells = unpacked(F.from_csv("_text", columns.toDDL(), options))
+    parsed = records.filter(F.col("_text") != "").select(F.col("file_name").alias("_name"), cells)
     return parsed.select(
-        *[_typed(F.col("_cells").getField(f.name), f) for f in schema.fields], "file_name"
+        *[_typed(parsed[f.name], f) for f in schema.fields], F.col("_name").alias("file_name")
     )
 
 

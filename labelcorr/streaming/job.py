@@ -21,7 +21,7 @@ from labelcorr.functions.scores import argmax, cross_entropy
 from labelcorr.functions.text import normalize_text
 from labelcorr.operators.matrix import conditional_distribution, confusion_counts, dense_matrix
 from labelcorr.operators.quality import Weights, evaluate, prediction_table
-from labelcorr.operators.rows import POST_SCHEMA
+from labelcorr.operators.rows import POST_SCHEMA, parse_json
 from labelcorr.operators.splits import mark_split
 from labelcorr.plans.classify import predict
 from labelcorr.session import kept
@@ -42,13 +42,11 @@ class StreamSettings:
 
 def stream_parse(lines: DataFrame, schema: T.StructType = POST_SCHEMA) -> DataFrame:
     """The fields of each JSON line and ``corrupt``: a line that gave no field."""
-    fields = [F.col(f"data.{name}") for name in schema.fieldNames()]
     nothing = F.col("value").isNotNull()
-    for one in fields:
-        nothing = nothing & one.isNull()
-    return lines.select("value", F.from_json("value", schema).alias("data")).select(
-        *fields, nothing.alias("corrupt")
-    )
+    for name in schema.fieldNames():
+        nothing = nothing & F.col(name).isNull()
+    parsed = parse_json(lines, schema, "value", "value")
+    return parsed.select(*schema.fieldNames(), nothing.alias("corrupt"))
 
 
 def stream_posts(lines: DataFrame, settings: StreamSettings = StreamSettings()) -> DataFrame:
@@ -76,18 +74,18 @@ def stream_predict(posts: DataFrame, model: PipelineModel, n_classes: int) -> Da
     return predict(texts, model, n_classes)
 
 
-def tested(scored: DataFrame) -> DataFrame:
-    """The test posts of a batch, and its unreadable lines."""
-    return scored.filter(F.col("corrupt") | ~F.col("in_train"))
+def tested(posts: DataFrame) -> DataFrame:
+    """The test posts of a stream, and its unreadable lines."""
+    return posts.filter(F.col("corrupt") | ~F.col("in_train"))
 
 
 def batch_counts(scored: DataFrame) -> DataFrame:
-    """``(given, pred, n, nll, corrupt)`` over the test posts of a batch.
+    """``(given, pred, n, nll, corrupt)`` over the scored test posts of a batch.
 
-    Unreadable lines are not scored; they appear as one row without labels,
-    with their number in ``corrupt``.
+    Unreadable lines appear as one row without labels, with their number in
+    ``corrupt``.
     """
-    rows = tested(scored).select(
+    rows = scored.select(
         F.when(~F.col("corrupt"), F.col("label")).alias("label"),
         F.when(~F.col("corrupt"), argmax(F.col("logits"))).alias("pred"),
         F.when(~F.col("corrupt"), cross_entropy(F.col("logits"), F.col("label"))).alias("nll"),
@@ -114,12 +112,12 @@ def run_stream(
 ) -> StreamingQuery:
     """Start the job: each micro-batch writes its counts, and its predictions if asked.
 
-    ``score`` adds ``logits`` to the posts and runs on the stream, so a model
-    is loaded once. Results go to one folder per batch; a batch that is run
+    ``score`` adds ``logits`` to the test posts and runs on the stream, so a
+    model is loaded once. Results go to one folder per batch; a batch that is run
     again after a failure replaces its folder. ``trigger`` holds the arguments of
     ``DataStreamWriter.trigger``.
     """
-    scored = score(stream_posts(lines, settings))
+    scored = score(tested(stream_posts(lines, settings)))
 
     def write_counts(batch: DataFrame, batch_id: int) -> None:
         # A row per pair of classes: one file is enough.
@@ -129,7 +127,7 @@ def run_stream(
         if predictions_path is None:
             write_counts(batch, batch_id)
             return
-        with kept(tested(batch)) as rows:
+        with kept(batch) as rows:
             write_counts(rows, batch_id)
             write_predictions(
                 prediction_table(rows.filter(~F.col("corrupt")), "ids"),

@@ -111,6 +111,17 @@ def test_posts_are_scored_once(prepared, model, plan):
     assert physical.count("trim(") <= 1
 
 
+def test_a_filter_on_the_prediction_scores_once(spark, prepared, model, plan):
+    kept = prediction_table(classify.predict(prepared, model, 3), "id").filter("pred = 1")
+    physical = plan(kept).split("== Physical Plan ==")[1]
+    assert physical.count("trim(") == 1 and 0 < kept.count() < 240
+    rows = spark.range(9).selectExpr("id", "array(double(id), 1D) AS x")
+    scored = classify.predict_with(rows, lambda: lambda x: x, ["x"], input_shapes=[[2]])
+    kept = prediction_table(scored, "id").filter("pred = 1")
+    assert plan(kept).split("== Physical Plan ==")[1].count("EvalPython") == 1
+    assert kept.count() == 1
+
+
 def test_any_scorer(spark):
     rows = spark.createDataFrame([(i, [float(i), 1.0, 2.0]) for i in range(5)], "id long, x array<double>")
 

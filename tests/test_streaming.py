@@ -19,7 +19,8 @@ CATEGORIES = ["LeftTroll", "NewsFeed", "RightTroll", "Elsewhere", None]
 def by_length(rows):
     """Logits from the text alone: its length modulo 3 wins."""
     best = F.length("content") % 3
-    return rows.withColumn("logits", F.array(*[F.when(best == c, 1.0).otherwise(0.0) for c in range(3)]))
+    logits = [F.when(best == c, 1.0).otherwise(0.0) for c in range(3)]
+    return rows.withColumn("logits", F.array(*logits))
 
 
 @pytest.fixture
@@ -28,7 +29,8 @@ def lines():
         json.dumps({"content": f"post  {'x' * (i % 7)} {i}", "account_category": CATEGORIES[i % 5]})
         for i in range(200)
     ]
-    return good + ["1,foo,bar", "", "not json", '{"other": 1}'] + ['{"content": null, "account_category": "LeftTroll"}']
+    no_text = json.dumps({"content": None, "account_category": "LeftTroll"})
+    return [*good, "1,foo,bar", "", "not json", '{"other": 1}', no_text]
 
 
 def start(spark, tmp_path, lines, **options):
@@ -126,6 +128,13 @@ def test_stream_parse_types(spark):
     ]
 
 
+def test_a_line_is_parsed_once(spark, plan):
+    df = spark.createDataFrame([("{}",)], "value string")
+    rows = job.tested(job.stream_posts(df)).filter("label = 1")
+    physical = plan(rows).split("== Physical Plan ==")[1]
+    assert physical.count("from_json(") == 1
+
+
 def test_copies_stay_on_one_side(spark):
     df = spark.createDataFrame([("a", "b")] * 20 + [("c", "d")] * 20, "content string, k string")
     sides = mark_split(df, "content", "k", fraction=0.5).distinct()
@@ -134,7 +143,8 @@ def test_copies_stay_on_one_side(spark):
 
 def test_replay_writes_limited_files(spark, tmp_path):
     path = str(tmp_path / "replay")
-    df = spark.createDataFrame([(f"t{i}", "LeftTroll", i) for i in range(25)], "content string, account_category string, x int")
+    rows = [(f"t{i}", "LeftTroll", i) for i in range(25)]
+    df = spark.createDataFrame(rows, "content string, account_category string, x int")
     P.write_replay(df.coalesce(1), path, rows_per_file=10)
     lines = spark.read.text(path)
     assert len(list((tmp_path / "replay").glob("part-*"))) == 3
