@@ -61,6 +61,7 @@ def training_rows(
         F.pmod(F.xxhash64("_id", F.lit("rows")), F.lit(1 << 30)) < int(share * (1 << 30))
     )
     marks = marks.groupBy("_id").agg(F.max("_label").alias("_label"))
+    marks = F.broadcast(marks)  # about max_rows rows at most
     return docs.join(marks, docs[id_col] == marks["_id"]).drop("_id")
 
 

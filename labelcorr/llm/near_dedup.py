@@ -13,11 +13,12 @@ The job, all on Spark tables:
    run is guaranteed (``run_bands``); for larger ones the chance that a pair at
    0.8 has no run of four among 96 values is about 1e-9.  Runs instead of single
    values keep the lists short where common word pairs fill the sketches.
-3. In each list members are compared with a few hubs, not with each other. Pairs
-   pass a size filter, the union-sketch estimate, and then the exact similarity
-   of the full sets. The links are joined to components, and lists that still
-   hold several components go on with the next hubs, until none is left: every
-   pair of a list is either compared or already connected.
+3. In each list members are first compared with a few hubs. Pairs pass a size
+   filter, the union-sketch estimate, and then the exact similarity of the full
+   sets. The links are joined to components, which leaves few lists with several
+   components. Those are compared in blocks: common values of two blocks of
+   members are counted at once, only pairs that may pass the estimate leave the
+   task. So every pair of a list is compared or already connected.
 4. The exact check streams pairs sorted by hub, so a task holds one set of a hub
    and one batch of members, however many copies a group has.
 
@@ -28,7 +29,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -48,20 +48,51 @@ from labelcorr.llm.components import components
 
 SKETCH = 96
 LONGEST_RUN = 4
-CACHED_WORDS = 500_000
-HUBS = (1, 8, 32)  # per list in the first, second and later turns
+HUBS = (1, 8)  # per list in the first and the second turn
+BLOCK = 256
 CHUNK = 512
 WANTED_MAPS = 512  # 2 MB
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept for a bounded number of words."""
+class WordHashes:
+    """64-bit hashes of the words of a text, all at once.
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
+    Each byte value has a random number; a word's hash is the sum of these times
+    the powers of an odd factor, modulo 2 to the 64, mixed with its length. Sums
+    over the whole text give the words by difference.
+    """
+
+    FACTOR = 0x5851F42D4C957F2D
+
+    def __init__(self) -> None:
+        self.of_byte = np.random.default_rng(20240229).integers(1, 1 << 63, 256, np.uint64)
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+        self.powers = self.inverses = np.empty(0, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        def powers(factor: int) -> np.ndarray:
+            found = np.full(n, factor, np.uint64)
+            found[0] = 1
+            return np.cumprod(found, dtype=np.uint64)
+
+        self.powers = powers(self.FACTOR)
+        self.inverses = powers(pow(self.FACTOR, -1, 1 << 64))
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        """One hash per word, after lower-casing A-Z."""
+        codes = np.frombuffer(text.lower(), np.uint8)
+        n = len(codes)
+        if n > len(self.powers):
+            self._grow(2 * n)
+        edge = np.ones(n + 2, bool)
+        edge[1:-1] = self.space[codes]
+        edges = np.flatnonzero(edge[1:] != edge[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.of_byte[codes] * self.powers[:n], out=sums[1:])
+        found = (sums[ends] - sums[starts]) * self.inverses[starts]
+        return _mix(found, (ends - starts).astype(np.uint64))
 
 
 def _mix(state: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -76,15 +107,16 @@ def shingle_set(text: bytes, size: int, hashes: WordHashes) -> np.ndarray:
 
     Words are what stands between ASCII white space, after lower-casing A-Z.
     """
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    width = min(size, len(words))
-    found = np.full(len(words) - width + 1, width, np.uint64)
+    h = hashes(text)
+    n = len(h)
+    if not n:
+        return h
+    width = min(size, n)
+    found = np.full(n - width + 1, width, np.uint64)
     for i in range(width):
-        found = _mix(found, h[i : len(words) - width + 1 + i])
-    return np.unique(found)
+        found = _mix(found, h[i : n - width + 1 + i])
+    found.sort()
+    return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
 def run_bands(threshold: float, longest: int = LONGEST_RUN) -> list[tuple[int, int, float]]:
@@ -174,6 +206,18 @@ def list_entries(sets: DataFrame, threshold: float) -> DataFrame:
     return arrow_rows(sets.select("id", "n", "sketch"), run, "key long, id long")
 
 
+def _likely(a: bytes, b: bytes, na: int, nb: int, threshold: float) -> bool:
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    cut = len(x) < na or len(y) < nb
+    if cut:
+        top = min(v[-1] for v, n in ((x, na), (y, nb)) if len(v) < n)
+        x, y = x[: np.searchsorted(x, top, "right")], y[: np.searchsorted(y, top, "right")]
+    common = len(np.intersect1d(x, y))
+    union = len(x) + len(y) - common
+    bar = threshold - (7 * math.sqrt(threshold * (1 - threshold) / union) if cut else 1e-9)
+    return common >= bar * union
+
+
 def estimated(pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose union sketch agrees with the threshold.
 
@@ -182,21 +226,10 @@ def estimated(pairs: DataFrame, threshold: float) -> DataFrame:
     seven standard deviations lower.
     """
 
-    def likely(a: bytes, b: bytes, na: int, nb: int) -> bool:
-        x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-        cut = len(x) < na or len(y) < nb
-        if cut:
-            top = min(v[-1] for v, n in ((x, na), (y, nb)) if len(v) < n)
-            x, y = x[: np.searchsorted(x, top, "right")], y[: np.searchsorted(y, top, "right")]
-        common = len(np.intersect1d(x, y))
-        union = len(x) + len(y) - common
-        bar = threshold - (7 * math.sqrt(threshold * (1 - threshold) / union) if cut else 1e-9)
-        return common >= bar * union
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, na, nb, x, y = (c.to_pylist() for c in batch.columns)
-            keep = [i for i in range(len(a)) if likely(x[i], y[i], na[i], nb[i])]
+            keep = [i for i in range(len(a)) if _likely(x[i], y[i], na[i], nb[i], threshold)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(keep, pa.int64())),
                  batch.column(1).take(pa.array(keep, pa.int64()))],
@@ -340,9 +373,9 @@ def near_duplicates(
 def _linked(reps, docs, id_col, text_col, shingle, percent) -> DataFrame:
     """Links between classes, enough of them to give the same components as all.
 
-    In every list each turn takes as hubs the smallest ids not used so, one per
-    slot of a hash of the id, and compares them with the members of other
-    components. A list is done when its unused members are in one component.
+    Two turns compare the members of a list with hubs: its smallest id, then the
+    smallest id in each slot of a hash of the id. Lists with several components
+    are then compared in blocks.
     """
     threshold = percent / 100
     sets = reps.select(F.col("rep").alias("id"), "n", "sketch")
@@ -351,19 +384,94 @@ def _linked(reps, docs, id_col, text_col, shingle, percent) -> DataFrame:
     lists = written(entries.join(several, "key"), "lists")
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     labels = None
-    for turn in count():
-        slots = HUBS[min(turn, len(HUBS) - 1)]
+    for slots in HUBS:
         lists, hubs = _opened(lists, labels, slots)
-        if hubs.isEmpty():
-            return links
-        likely = written(estimated(_sized(_hub_pairs(lists, hubs), sets, threshold), threshold), "likely")
-        if not likely.isEmpty():
-            new = verified(likely, docs, reps, id_col, text_col, shingle, percent)
-            links = written(links.unionByName(new).distinct(), "links")
-            labels = written(components(links), "labels")
-        used = hubs.select("key", F.explode("hubs").alias("hub"))
-        used = used.select("key", F.col("hub.id").alias("id")).filter(F.col("id").isNotNull())
+        likely = estimated(_sized(_hub_pairs(lists, hubs), sets, threshold), threshold)
+        links, labels = _joined(links, labels, likely, docs, reps, id_col, text_col, shingle, percent)
+        used = hubs.select("key", F.explode("hubs.id").alias("id")).filter(F.col("id").isNotNull())
         lists = lists.join(used, ["key", "id"], "left_anti")
+    lists, _ = _opened(lists, labels, 1)
+    likely = in_blocks(lists, sets, threshold)
+    return _joined(links, labels, likely, docs, reps, id_col, text_col, shingle, percent)[0]
+
+
+def _joined(links, labels, likely, docs, reps, id_col, text_col, shingle, percent):
+    """The links with those of the likely pairs that are verified, and their components."""
+    likely = written(likely.distinct(), "likely")
+    if likely.isEmpty():
+        return links, labels
+    new = verified(likely, docs, reps, id_col, text_col, shingle, percent)
+    links = written(links.unionByName(new).distinct(), "links")
+    return links, written(components(links), "labels")
+
+
+def in_blocks(lists: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Likely pairs ``(a, b)`` of different components in the same list ``(key, id, component)``.
+
+    The members of a list are dealt to blocks of about ``BLOCK``; a task holds
+    two blocks at a time and counts the values that their sketches share.
+    """
+    sizes = lists.groupBy("key").agg(F.count("*").alias("_n"))
+    rows = lists.join(sizes, "key").withColumn("_blocks", F.expr(f"int((_n + {BLOCK - 1}) div {BLOCK})"))
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    rows = rows.join(sets, "id").withColumn("_other", F.explode(F.expr("sequence(0, _blocks - 1)")))
+    cells = rows.select(
+        "key",
+        F.least("_block", "_other").alias("x"),
+        F.greatest("_block", "_other").alias("y"),
+        (F.col("_block") > F.col("_other")).alias("right"),
+        "id", "component", "n", "sketch",
+    )
+    cells = cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+    def compare(rows: list[tuple]) -> list[tuple[int, int]]:
+        values = [np.frombuffer(r[4], "<u4") for r in rows]
+        lengths = np.array([len(v) for v in values])
+        _, at, seen = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+        column = np.cumsum(seen > 1) - 1
+        owner = np.repeat(np.arange(len(rows)), lengths)
+        shared = seen[at] > 1
+        grid = np.zeros((len(rows), -(-int((seen > 1).sum()) // 64) * 64 + 64), bool)
+        grid[owner[shared], column[at[shared]]] = True
+        bits = np.packbits(grid, axis=1).view(np.uint64)
+        common = np.stack([np.bitwise_count(bits[i] & bits).sum(1, dtype=np.int64) for i in range(len(rows))])
+        n = np.array([r[3] for r in rows])
+        whole = np.array([r[2] for r in rows])
+        right = np.array([r[0] for r in rows])
+        least = np.minimum(lengths[:, None], lengths[None, :])
+        good = common >= (threshold - 7 * math.sqrt(threshold * (1 - threshold) / SKETCH)) * least - 1e-6
+        good &= whole[:, None] != whole[None, :]
+        good &= np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :]) - 1e-6
+        good &= (right[:, None] != right[None, :]) | (not right.any())
+        found = []
+        for i, j in zip(*np.nonzero(np.triu(good, 1))):
+            a, b = sorted((rows[i], rows[j]), key=lambda r: r[1])
+            if _likely(a[4], b[4], a[3], b[3], threshold):
+                found.append((a[1], b[1]))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            found = []
+            for key, x, y, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != (key, x, y):
+                    found += compare_cell(held)
+                    at, held = (key, x, y), []
+                # as (right, id, component, n, sketch)
+                held.append(tuple(row))
+            yield _pairs(found)
+        yield _pairs(compare_cell(held))
+
+    def compare_cell(held: list[tuple]) -> list[tuple[int, int]]:
+        return compare(held) if len(held) > 1 else []
+
+    return arrow_rows(cells, run, "a long, b long")
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _opened(lists: DataFrame, labels: DataFrame | None, slots: int) -> tuple[DataFrame, DataFrame]:

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelcorr.llm.chat import preference_turns, stale_answers
-from labelcorr.llm.common import lower_ascii, table
+from labelcorr.llm.common import held_out, lower_ascii, table
 from labelcorr.llm.exact_dedup import exact_duplicates
+from labelcorr.llm.fingerprints import fingerprints
 from labelcorr.llm.near_dedup import near_duplicates
+from labelcorr.llm.pieces import round_trips
+from labelcorr.llm.quality import fit_rules, quality_scores
+from labelcorr.llm.secrets import KINDS, secrets
+from labelcorr.llm.toxicity import fit_toxicity, toxicity_scores
+from labelcorr.llm.warc import archive_folder, read_archives, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,6 +53,22 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _classified(scores: DataFrame, bar: float) -> DataFrame:
+    return scores.select(
+        F.col("id").alias("doc_id"),
+        held_out("id").alias("held_out"),
+        "score",
+        (F.col("score") >= bar).cast("int").alias("predicted"),
+    )
+
+
+@query()
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return _classified(toxicity_scores(docs, model), 0.7)
+
+
 @query("""
 WITH c AS (SELECT DISTINCT conv_id AS pair_id, turn, coalesce(role, '') AS role,
                   coalesce(text, '') AS text FROM conversations),
@@ -88,6 +110,57 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_turns(chosen, stale_answers(turns)).withColumnRenamed("pair_id", "conv_id")
 
 
+@query()
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets(table(spark, sf_dir, "documents"))
+    counts = [
+        F.expr(f"bigint(size(filter(base, s -> s.kind = '{kind}')))").alias(f"n_{kind}")
+        for kind in KINDS[:3]
+    ]
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *counts,
+        F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"),
+        _joined("found").alias("spans"),
+    )
+
+
+def _joined(spans: str) -> Column:
+    texts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    return F.array_join(texts, ",")
+
+
+@query()
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_rules(docs, table(spark, sf_dir, "labels"))
+    return _classified(quality_scores(docs, model), 0.5)
+
+
+@query()
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+     d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+                  sha1(html) AS payload_digest FROM p),
+     g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END
+           AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
+FROM g
+""")
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    root = archive_folder(pages)
+    index = write_archives(pages, root)
+    found = read_archives(index, root, payloads=False)
+    return found.drop("url").withColumnRenamed("id", "page_id")
+
+
 @query(f"""
 WITH RECURSIVE
 w AS (SELECT doc_id, list_filter(regexp_split_to_array({LOWER}, '[\\x20\\x09-\\x0D]+'),
@@ -116,3 +189,8 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("component").alias("component_id"),
         F.col("id").eqNullSafe(F.col("component")).alias("kept"),
     )
+
+
+@query()
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trips(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
