@@ -1,36 +1,52 @@
-"""From raw documents to token ids: each stage reads what the one before it kept."""
+"""From raw documents to token ids: each stage works on all that the one before it kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from labelcorr.llm.common import table, written
 from labelcorr.llm.exact_dedup import without_duplicates
-from labelcorr.llm.near_dedup import near_duplicates
+from labelcorr.llm.mixing import domain_labels, mixed
+from labelcorr.llm.near_dedup import without_near_duplicates
+from labelcorr.llm.pieces import round_trips
+from labelcorr.llm.queries import TARGET
+from labelcorr.llm.toxicity import fit_toxicity, without_toxic
 
+# The stages learn from labels, compare sketches and encode: no SQL for the whole.
 ORACLE_SQL = None
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.7 or more go."""
+    return without_toxic(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts."""
+    """One row of each group of equal texts stays: the one with the largest id."""
     return without_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    found = near_duplicates(docs)
-    dropped = found.filter(F.col("id") != F.col("component")).select(F.col("id").alias("_dropped"))
-    whole = docs.select(
-        F.col("doc_id").alias("_id"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_doc")
-    )
-    left = whole.join(dropped, F.col("_id") == F.col("_dropped"), "left_anti")
-    return left.select("_doc.*")
+    """One document of each group of near copies stays: the one with the smallest id."""
+    return without_near_duplicates(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Scarce domains are repeated up to the target weights; no document is lost."""
+    return mixed(docs, domain_labels(table(spark, sf_dir, "labels")), TARGET)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``(doc_id, ids, n_tokens, decoded_sha256, round_trip)`` per document."""
+    return round_trips(docs).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
+    ("toxicity", toxicity),
     ("exact dedup", exact_dedup),
     ("MinHash near-dedup", near_dedup),
+    ("mixing", mixing),
+    ("SentencePiece", sentencepiece),
 ]
 
 

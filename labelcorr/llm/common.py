@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from labelcorr.session import scratch_path
 
@@ -25,7 +26,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_rows(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+def arrow_rows(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with batches bounded in bytes, whatever the length of the texts."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(function, schema)
@@ -47,7 +48,12 @@ def held_out(doc_id: str) -> Column:
 
 
 def training_rows(
-    docs: DataFrame, labels: DataFrame, label: str, max_rows: int, id_col: str = "doc_id"
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str,
+    max_rows: int,
+    id_col: str = "doc_id",
+    classes: Iterable[int] = (0, 1),
 ) -> DataFrame:
     """``docs`` with ``_label``, of documents whose labels may be learnt from.
 
@@ -55,7 +61,7 @@ def training_rows(
     label per document (the largest). Rows without id or label are left out.
     """
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_label"))
-    marks = marks.filter(~held_out("_id") & F.col("_label").isin(0, 1) & F.col("_id").isNotNull())
+    marks = marks.filter(~held_out("_id") & F.col("_label").isin(*classes) & F.col("_id").isNotNull())
     share = min(1.0, max_rows / max(1, marks.count()))
     marks = marks.filter(
         F.pmod(F.xxhash64("_id", F.lit("rows")), F.lit(1 << 30)) < int(share * (1 << 30))
@@ -88,8 +94,3 @@ def collected_bits(maps_df: DataFrame, maps: int) -> np.ndarray:
         at = row["_map"] * BITS_PER_MAP // 8
         found[at : at + len(part)] = part
     return found
-
-
-def same_rows(df: DataFrame, *names: str) -> Column:
-    """All columns of ``df`` but ``names`` as one struct, so that no name can clash."""
-    return F.struct(*[df[f"`{c}`"] for c in df.columns if c not in names])

@@ -370,6 +370,24 @@ def near_duplicates(
     return found.unionByName(alone)
 
 
+def without_near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 5,
+    percent: int = 80,
+) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, with all their columns."""
+    found = near_duplicates(docs, id_col, text_col, shingle, percent)
+    dropped = found.filter(F.col("id") != F.col("component")).select(F.col("id").alias("_dropped"))
+    whole = docs.select(
+        F.col(id_col).alias("_id"),
+        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_doc"),
+    )
+    left = whole.join(dropped, F.col("_id") == F.col("_dropped"), "left_anti")
+    return left.select("_doc.*")
+
+
 def _linked(reps, docs, id_col, text_col, shingle, percent) -> DataFrame:
     """Links between classes, enough of them to give the same components as all.
 

@@ -11,6 +11,7 @@ from labelcorr.llm.chat import preference_turns, stale_answers
 from labelcorr.llm.common import held_out, lower_ascii, table
 from labelcorr.llm.exact_dedup import exact_duplicates
 from labelcorr.llm.fingerprints import fingerprints
+from labelcorr.llm.mixing import document_rates, domain_labels
 from labelcorr.llm.near_dedup import near_duplicates
 from labelcorr.llm.pieces import round_trips
 from labelcorr.llm.quality import fit_rules, quality_scores
@@ -18,6 +19,9 @@ from labelcorr.llm.secrets import KINDS, secrets
 from labelcorr.llm.toxicity import fit_toxicity, toxicity_scores
 from labelcorr.llm.warc import archive_folder, read_archives, write_archives
 
+# Wanted shares of tokens: clean and good, clean and poor, toxic.
+TARGET = (0.85, 0.1, 0.05)
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -194,3 +198,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trips(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = domain_labels(table(spark, sf_dir, "labels"))
+    found = document_rates(table(spark, sf_dir, "documents"), labelled, TARGET)
+    return found.withColumnRenamed("id", "doc_id")

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelcorr.llm.common import arrow_rows, utf8
 
@@ -117,8 +118,8 @@ def features(text: bytes) -> list[float]:
 def statistics(docs: DataFrame, id_col: str, text_col: str, *also: str) -> DataFrame:
     """``(id, *also, *NAMES)`` per row, over whole texts; null counts as empty."""
     rows = docs.select(utf8(text_col).alias("text"), F.col(id_col).alias("id"), *also)
-    kept = rows.drop("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    told = [T.StructField(name, T.DoubleType()) for name in NAMES]
+    schema = T.StructType(rows.drop("text").schema.fields + told)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,5 +130,4 @@ def statistics(docs: DataFrame, id_col: str, text_col: str, *also: str) -> DataF
                 [*batch.schema.names[1:], *NAMES],
             )
 
-    doubles = ", ".join(f"{n} double" for n in NAMES)
-    return arrow_rows(rows, run, f"{schema}, {doubles}")
+    return arrow_rows(rows, run, schema)

@@ -86,6 +86,23 @@ def toxicity_scores(
     return model.score(statistics(docs, id_col, text_col)).select("id", "score")
 
 
+def without_toxic(
+    docs: DataFrame,
+    model: ToxicityModel,
+    bar: float = 0.7,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` that score below ``bar``, with all their columns, in one pass."""
+    whole = docs.select(
+        F.col(id_col).alias("_id"),
+        F.col(text_col).alias("_text"),
+        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_doc"),
+    )
+    scored = model.score(statistics(whole, "_id", "_text", "_doc"))
+    return scored.filter(F.col("score") < bar).select("_doc.*")
+
+
 def _vectors(stats: DataFrame) -> DataFrame:
     assert set(FEATURES) <= set(NAMES)
     return stats.withColumn("_features", array_to_vector(F.array(*FEATURES)))
