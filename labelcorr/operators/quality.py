@@ -60,13 +60,19 @@ def weighted_cross_entropy(counts: DataFrame, weights: Weights = None) -> DataFr
     return _weighted(counts, weights).agg(_loss().alias("loss"))
 
 
-def evaluate(counts: DataFrame, weights: Weights = None, *by: str) -> DataFrame:
-    """``(examples, loss, micro_f1, accuracy)`` from score counts, per ``by`` if given."""
+def evaluate(
+    counts: DataFrame, weights: Weights = None, *by: str, sums: Sequence[Column] = ()
+) -> DataFrame:
+    """``(examples, loss, micro_f1, accuracy)`` from score counts, per ``by`` if given.
+
+    ``sums`` are further aggregates. Rows whose ``n`` is NULL count in these alone.
+    """
     return _weighted(counts, weights).groupBy(*by).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("examples"),
         _loss().alias("loss"),
         _micro_f1().alias("micro_f1"),
         _accuracy().alias("accuracy"),
+        *sums,
     )
 
 
@@ -102,14 +108,26 @@ def _micro_f1() -> Column:
 
 
 def _weighted(counts: DataFrame, weights: Weights) -> DataFrame:
-    """Attach the weight of the given class to score counts, not to the rows."""
+    """Attach the weight of the given class to score counts, not to the rows.
+
+    A class that occurs but has no weight is an error, whether weights are a
+    list or a table.
+    """
     if weights is None:
         return counts.withColumn("weight", F.lit(1.0))
     if isinstance(weights, DataFrame):
         # One row per class of the axis, as class_weights returns it.
-        by_class = weights.select(F.col("label").alias("given"), "weight")
-        return counts.join(F.broadcast(by_class), "given")
-    return counts.withColumn("weight", class_weight(list(weights), F.col("given")))
+        by_class = weights.select(F.col("label").alias("_label"), "weight")
+        joined = counts.join(
+            F.broadcast(by_class), F.col("given").eqNullSafe(F.col("_label")), "left"
+        ).drop("_label")
+    else:
+        joined = counts.withColumn("weight", class_weight(list(weights), F.col("given")))
+    refused = F.raise_error(
+        F.concat(F.lit("no weight for class "), F.coalesce(F.col("given").cast("string"), F.lit("NULL")))
+    )
+    weight = F.when(F.col("weight").isNull() & (F.col("n") > 0), refused.cast("double")).otherwise(F.col("weight"))
+    return joined.withColumn("weight", weight)
 
 
 def _loss() -> Column:

@@ -6,15 +6,18 @@ from functools import reduce
 from operator import or_
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelcorr.functions.hashing import in_sample
-from labelcorr.session import broadcast_if_small, few_rows, kept
+from labelcorr.session import checkpointed, few_rows, kept
 
 MAX_BROADCAST_CLASSES = 10_000
 MAX_PUSHED_RANGES = 64
 BOUNDS_SAMPLE = 0.01
+MAX_SORT_ROWS = 1_000_000
+MAX_REFINEMENTS = 8
+SPREAD = 4096
 
 
 def holdout_by_file(
@@ -25,17 +28,26 @@ def holdout_by_file(
     With ``include_train`` the evaluation set is train and test together, which
     is every row once, so it is ``df`` itself and needs no union.
     """
-    held = df.select(file_col).distinct().orderBy(file_col).limit(k + 1)
-    # One row at most: the k-th name, if there are that many.
-    kth = held.agg(F.max(file_col).alias(file_col), F.count("*").alias("_files")).filter(
-        F.col("_files") == k + 1
-    )
-    kth = F.broadcast(kth.select(file_col))
+    kth = F.broadcast(_kth_file(df, k, file_col))
     train = df.join(kth, file_col, "left_anti")
     test = df if include_train else df.join(kth, file_col, "left_semi")
     return train, test
 
 
+def mark_holdout(df: DataFrame, k: int, file_col: str = "file_name") -> DataFrame:
+    """Add ``in_test``: is the row in the k-th file by name? One pass for both sides."""
+    kth = F.broadcast(_kth_file(df, k, file_col).withColumnRenamed(file_col, "_kth"))
+    marked = df.join(kth, F.col(file_col) == F.col("_kth"), "left")
+    return marked.withColumn("in_test", F.col("_kth").isNotNull()).drop("_kth")
+
+
+def _kth_file(df: DataFrame, k: int, file_col: str) -> DataFrame:
+    """One row at most: the k-th name, if there are that many."""
+    held = df.select(file_col).distinct().orderBy(file_col).limit(k + 1)
+    last = held.agg(F.max(file_col).alias(file_col), F.count("*").alias("_files"))
+    return last.filter(F.col("_files") == k + 1).select(file_col)
+
+
 def mark_split(
     df: DataFrame, *keys: str, fraction: float = 0.8, seed: int = 42
 ) -> DataFrame:
@@ -90,30 +102,63 @@ def stratified_kfold(
     the rows themselves are neither sorted nor shuffled, only compared with the
     cuts of their class.
     """
-    cuts = broadcast_if_small(
-        class_cuts(df, label, key, folds, buckets), MAX_BROADCAST_CLASSES
-    )
+    sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_size"))
+    with kept(class_cuts(df, label, key, folds, buckets)) as cuts:
+        few = few_rows(cuts, MAX_BROADCAST_CLASSES)
+        if few is None:
+            joined = _joined_cuts(df, written_cuts(cuts, sizes), label, key)
+        else:
+            small = F.broadcast(df.sparkSession.createDataFrame(few, cuts.schema))
+            joined = df.join(small, F.col(label).eqNullSafe(F.col("_label")), "left").drop("_label")
     passed = F.lit(0)
     for i in range(folds - 1):
         passed = passed + F.when(F.col(key) >= F.get("_cuts", F.lit(i)), 1).otherwise(0)
-    return (
-        df.join(cuts, F.col(label).eqNullSafe(F.col("_label")), "left")
-        .withColumn(fold_col, passed)
-        .drop("_label", "_cuts")
-    )
+    return joined.withColumn(fold_col, passed).drop("_cuts")
+
+
+def written_cuts(cuts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Checkpointed cuts with ``_hot``: is the class one of the few with many rows?
 
+    Fewer than ``MAX_BROADCAST_CLASSES`` classes can hold more than that share of
+    all rows each, so the hot ones always fit a broadcast.
+    """
+    total = sizes.agg(F.sum("_size").alias("_rows"))
+    bar = total.select(F.col("_rows") / max(1, MAX_BROADCAST_CLASSES)).scalar()
+    sized = sizes.select(F.col("_label").alias("_sized"), "_size")
+    joined = cuts.join(sized, F.col("_label").eqNullSafe(F.col("_sized")))
+    return checkpointed(joined.select("_label", "_cuts", (F.col("_size") > bar).alias("_hot")))
+
+
+def _joined_cuts(df: DataFrame, cuts: DataFrame, label: str, key: str) -> DataFrame:
+    """``df`` with the cuts of its classes, too many to broadcast them all.
 
-def class_cuts(df: DataFrame, label: str, key: str, folds: int, buckets: int) -> DataFrame:
+    Rows of hot classes get theirs from a broadcast. The others meet theirs by
+    label, and rows that have their cuts already are spread over many keys that
+    match nothing, so no key is hot.
+    """
+    hot = F.broadcast(cuts.filter("_hot").select(F.col("_label").alias("_h"), F.col("_cuts").alias("_hot_cuts")))
+    cold = cuts.filter("NOT _hot").select(F.col("_label").alias("_c"), "_cuts", F.lit(0).alias("_at"))
+    with_hot = df.join(hot, F.col(label).eqNullSafe(F.col("_h")), "left")
+    spread = F.pmod(F.xxhash64(key), F.lit(SPREAD)).cast("int") + 1
+    with_hot = with_hot.withColumn("_to", F.when(F.col("_hot_cuts").isNotNull(), spread).otherwise(0))
+    met = F.col(label).eqNullSafe(F.col("_c")) & (F.col("_to") == F.col("_at"))
+    both = with_hot.join(cold, met, "left")
+    return both.withColumn("_cuts", F.coalesce("_hot_cuts", "_cuts")).drop("_h", "_hot_cuts", "_to", "_c", "_at")
+
+
+def class_cuts(
+    df: DataFrame, label: str, key: str, folds: int, buckets: int, sort_rows: int = MAX_SORT_ROWS
+) -> DataFrame:
     """``(_label, _cuts)``: per class the keys that start its second and later folds.
 
     A class whose rows all fall in the first fold has no row here.
 
-    Three narrow passes over label and key: quantiles of the key as bucket
-    bounds, a count per class and bucket, and a sort of only those buckets a
-    cut falls in, each by itself. Equal-depth buckets keep these sorts even; any
-    bounds give the same cuts, so a sample is enough for them. The key ranges
-    of these buckets are literals of the last pass, which lets the scan skip
-    row groups.
+    Narrow passes over label and key: quantiles of the key as bucket bounds, a
+    count per class and bucket, and a sort of only those buckets a cut falls in,
+    each by itself. A bucket with more than ``sort_rows`` rows is counted again
+    in as many parts of its key range first, until none is larger, so the sort
+    stays small however many rows there are. The key ranges of the buckets are
+    literals of the last pass, which lets the scan skip row groups.
     """
     rows = df.select(F.col(label).alias("_label"), F.col(key).alias("_key"))
     shares = [i / buckets for i in range(1, buckets)]
@@ -122,26 +167,24 @@ def class_cuts(df: DataFrame, label: str, key: str, folds: int, buckets: int) ->
     bucketed = Bucketizer(
         splits=[-float("inf"), *bounds, float("inf")], inputCol="_key", outputCol="_bucket"
     ).transform(rows)
-    bucketed = bucketed.withColumn("_bucket", F.col("_bucket").cast("int"))
-
-    histogram = bucketed.groupBy("_label", "_bucket").agg(
-        F.count("*").alias("_n"), F.min("_key").alias("_low"), F.max("_key").alias("_high")
-    )
-    with kept(histogram):
-        located = _located_cuts(histogram, folds)
-        few = few_rows(located, MAX_BROADCAST_CLASSES * folds)
-    if few is not None:
-        located = F.broadcast(df.sparkSession.createDataFrame(few, located.schema))
-        if 0 < len(few) <= MAX_PUSHED_RANGES:
-            ranges = [F.col("_key").between(r["_low"], r["_high"]) for r in few]
-            bucketed = bucketed.filter(reduce(or_, ranges))
-    located = located.drop("_low", "_high")
+    bucketed = bucketed.withColumn("_bucket", F.col("_bucket").cast("long"))
+
+    with kept(_histogram(bucketed)) as histogram:
+        with kept(_located_cuts(histogram, folds)) as located:
+            bucketed, small = _narrowed(df.sparkSession, bucketed, located, folds)
+    for _ in range(MAX_REFINEMENTS):
+        largest = small.agg(F.max("_n")).first()[0]
+        if largest is None or largest <= sort_rows:
+            break
+        bucketed = _refined(bucketed, small, buckets)
+        with kept(_relocated(_histogram(bucketed), small, buckets)) as located:
+            bucketed, small = _narrowed(df.sparkSession, bucketed, located, folds)
     at = F.col("_label").eqNullSafe(F.col("_at_label")) & (
         F.col("_bucket") == F.col("_at_bucket")
     )
     nth = F.row_number().over(Window.partitionBy("_label", "_bucket").orderBy("_key")) - 1
     found = (
-        bucketed.join(located, at)
+        bucketed.join(small.drop("_low", "_high", "_n"), at)
         .select("_label", "_bucket", "_key", "_wanted")
         .withColumn("_row", nth)
         .select(
@@ -150,7 +193,63 @@ def class_cuts(df: DataFrame, label: str, key: str, folds: int, buckets: int) ->
             F.explode(F.filter("_wanted", lambda nth: nth == F.col("_row"))).alias("_hit"),
         )
     )
-    return found.groupBy("_label").agg(F.collect_list("_key").alias("_cuts"))
+    return found.groupBy("_label").agg(F.sort_array(F.collect_list("_key")).alias("_cuts"))
+
+
+def _histogram(bucketed: DataFrame) -> DataFrame:
+    return bucketed.groupBy("_label", "_bucket").agg(
+        F.count("*").alias("_n"), F.min("_key").alias("_low"), F.max("_key").alias("_high")
+    )
+
+
+def _narrowed(
+    spark: SparkSession, bucketed: DataFrame, located: DataFrame, folds: int
+) -> tuple[DataFrame, DataFrame]:
+    """Rows in the key ranges of the buckets with a cut, and those buckets, fixed."""
+    few = few_rows(located, MAX_BROADCAST_CLASSES * folds)
+    if few is None:
+        return bucketed, checkpointed(located)
+    if 0 < len(few) <= MAX_PUSHED_RANGES:
+        ranges = [F.col("_key").between(r["_low"], r["_high"]) for r in few]
+        bucketed = bucketed.filter(reduce(or_, ranges))
+    return bucketed, F.broadcast(spark.createDataFrame(few, located.schema))
+
+
+def _refined(bucketed: DataFrame, located: DataFrame, parts: int) -> DataFrame:
+    """The rows of the buckets with a cut, each bucket cut into parts of equal key width."""
+    ends = located.select("_at_label", "_at_bucket", "_low", "_high")
+    at = F.col("_label").eqNullSafe(F.col("_at_label")) & (F.col("_bucket") == F.col("_at_bucket"))
+    low, high = F.col("_low").cast("double"), F.col("_high").cast("double")
+    place = (F.col("_key").cast("double") - low) / F.greatest(high - low, F.lit(1e-300)) * parts
+    part = F.least(F.lit(parts - 1), F.floor(place)).cast("long")
+    return bucketed.join(ends, at).select(
+        "_label", "_key", (F.col("_bucket") * parts + part).alias("_bucket")
+    )
+
+
+def _relocated(histogram: DataFrame, located: DataFrame, parts: int) -> DataFrame:
+    """Where the cuts of the buckets fall in their parts: like ``_located_cuts``."""
+    mother = F.floor(F.col("_bucket") / parts).cast("long")
+    inside = Window.partitionBy("_label", "_mother").orderBy("_bucket")
+    upto = F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    placed = histogram.withColumn("_mother", mother).withColumn("_end", upto)
+    placed = placed.withColumn("_start", F.col("_end") - F.col("_n"))
+    wanted = located.select(
+        F.col("_at_label").alias("_of"), F.col("_at_bucket").alias("_in"), F.explode("_wanted").alias("_rank")
+    )
+    hit = (
+        F.col("_label").eqNullSafe(F.col("_of"))
+        & (F.col("_mother") == F.col("_in"))
+        & (F.col("_rank") >= F.col("_start"))
+        & (F.col("_rank") < F.col("_end"))
+    )
+    return _collected_cuts(placed.join(wanted, hit))
+
+
+def _collected_cuts(hits: DataFrame) -> DataFrame:
+    return hits.groupBy(
+        F.col("_label").alias("_at_label"), F.col("_bucket").alias("_at_bucket"), "_low", "_high", "_n"
+    ).agg(F.collect_list(F.col("_rank") - F.col("_start")).alias("_wanted"))
 
 
 def _located_cuts(histogram: DataFrame, folds: int) -> DataFrame:
@@ -174,11 +273,7 @@ def _located_cuts(histogram: DataFrame, folds: int) -> DataFrame:
         & (F.col("_rank") >= F.col("_start"))
         & (F.col("_rank") < F.col("_end"))
     )
-    return (
-        targets.join(placed, inside)
-        .groupBy("_at_label", F.col("_bucket").alias("_at_bucket"), "_low", "_high")
-        .agg(F.collect_list(F.col("_rank") - F.col("_start")).alias("_wanted"))
-    )
+    return _collected_cuts(targets.join(placed, inside))
 
 
 def _sampled(keys: tuple[str, ...], fraction: float, seed: int) -> Column:
@@ -203,29 +298,44 @@ def _fold_starts(folds: int) -> list[Column]:
 
 
 def fold_train_counts(
-    df: DataFrame, label: str, classes: list, folds: int = 5, fold_col: str = "fold"
+    df: DataFrame,
+    label: str,
+    classes: list,
+    folds: int = 5,
+    fold_col: str = "fold",
+    other: object | None = None,
 ) -> DataFrame:
     """``(fold, label, n)``: rows of each class in the train part of each fold.
 
     One counter per fold and class in a single aggregate; train is the class
-    total less the fold's own rows.
+    total less the fold's own rows. Labels that are not listed, NULL among them,
+    are counted as class ``other``, which may be one of ``classes`` or a further
+    one; without it they raise an error.
     """
-    total = {i: F.count_if(F.col(label) == F.lit(c)) for i, c in enumerate(classes)}
-    own = {
-        (f, i): F.count_if((F.col(fold_col) == f) & (F.col(label) == F.lit(c)))
+    listed = F.coalesce(F.col(label).isin(classes), F.lit(False))
+    tests = {c: listed & (F.col(label) == F.lit(c)) for c in classes}
+    if other is not None:
+        tests[other] = tests.get(other, F.lit(False)) | ~listed
+    names = list(tests)
+    total = [F.count_if(tests[c]).alias(f"t{i}") for i, c in enumerate(names)]
+    own = [
+        F.count_if((F.col(fold_col) == f) & tests[c]).alias(f"f{f}_{i}")
         for f in range(folds)
-        for i, c in enumerate(classes)
-    }
-    counts = df.agg(
-        *[c.alias(f"t{i}") for i, c in total.items()],
-        *[c.alias(f"f{f}_{i}") for (f, i), c in own.items()],
-    )
-    cells = [
-        F.struct(
-            F.lit(f).alias("fold"),
-            F.lit(classes[i]).alias("label"),
-            (F.col(f"t{i}") - F.col(f"f{f}_{i}")).alias("n"),
-        )
-        for f, i in own
+        for i, c in enumerate(names)
     ]
-    return counts.select(F.inline(F.array(*cells)))
+    counts = df.agg(*total, *own, F.count_if(~listed).alias("rest"))
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(f).alias("fold"),
+                F.lit(c).alias("label"),
+                (F.col(f"t{i}") - F.col(f"f{f}_{i}")).alias("n"),
+            )
+            for f in range(folds)
+            for i, c in enumerate(names)
+        ]
+    )
+    if other is None:
+        refused = F.raise_error(F.concat(F.col("rest").cast("string"), F.lit(" labels are not listed")))
+        cells = F.when(F.col("rest") > 0, refused).otherwise(cells)
+    return counts.select(F.inline(cells))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelcorr.functions import tokens as K
+from labelcorr.session import checkpointed
 
 MAX_BROADCAST_TOKENS = 1_000_000
-JOIN_SALTS = 32
+OPEN = -(2**31)  # marks a token the shipped part of the vocabulary does not have
 
 
 def max_tokens(df: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -63,70 +64,89 @@ def build_vocabulary(
 def encode_tokens(
     df: DataFrame,
     vocabulary: DataFrame,
-    key: str,
     unknown_id: int,
     tokens: str = "tokens",
     output: str = "token_ids",
     max_broadcast: int = MAX_BROADCAST_TOKENS,
 ) -> DataFrame:
-    """Add the token ids in order, ``unknown_id`` for tokens outside the vocabulary.
-
-    A vocabulary of up to ``max_broadcast`` tokens is shipped to the tasks and
-    looked up in Arrow batches, without a shuffle. A larger one is joined.
-    ``key`` identifies a row; only the join needs it.
+    """Add the token ids in order, ``unknown_id`` for NULL tokens and those outside the vocabulary.
+
+    A NULL list stays NULL, an empty one empty. The first ``max_broadcast``
+    tokens of the vocabulary, which are its most frequent, are shipped to the
+    tasks and looked up in Arrow batches. Only if there are more, the tokens that
+    this left open are joined with the rest of the vocabulary: they are rare, so
+    the join has no hot key and needs no salt. Rows are told apart by a
+    number given here.
     """
     pairs = vocabulary.select("token", F.col("token_id").cast("int").alias("token_id"))
-    head = pairs.limit(max_broadcast + 1).toArrow()
-    if head.num_rows > max_broadcast:
-        return _join_tokens(df, pairs, key, unknown_id, tokens, output)
-    lookup = df.sparkSession.sparkContext.broadcast(
-        (head["token"].combine_chunks(), head["token_id"].combine_chunks())
+    ordered = pairs.orderBy("token_id")
+    head = ordered.limit(max_broadcast).toArrow() if max_broadcast else None
+    size = head.num_rows if head is not None else 0
+    if size < max_broadcast or pairs.count() == size:
+        return df.withColumn(output, _looked_up(df.sparkSession, head, unknown_id)(F.col(tokens)))
+
+    rows = checkpointed(df.withColumn("_row", F.monotonically_increasing_id()))
+    if size:
+        found = _looked_up(df.sparkSession, head, OPEN)(F.col(tokens))
+        last = head["token_id"].to_pylist()[-1]
+        pairs = pairs.filter(F.col("token_id") > last)
+    else:
+        found = F.transform(tokens, lambda t: F.lit(OPEN))
+    rows = rows.withColumn("_ids", found)
+    cut = rows.filter(F.size(tokens) > 0)
+    rare = cut.select("_row", "_ids", F.posexplode(tokens).alias("_pos", "token"))
+    rare = rare.filter((F.get("_ids", F.col("_pos")) == OPEN) & F.col("token").isNotNull())
+    joined = rare.select("_row", "_pos", "token").join(pairs, "token")
+    entries = F.map_from_entries(F.collect_list(F.struct("_pos", "token_id")))
+    of_row = joined.groupBy("_row").agg(entries.alias("_rare"))
+    known = F.transform(
+        "_ids",
+        lambda i, at: F.when(i != OPEN, i).otherwise(
+            F.coalesce(F.element_at("_rare", at), F.lit(unknown_id))
+        ),
     )
+    return rows.join(of_row, "_row", "left").withColumn(output, known).drop("_row", "_ids", "_rare")
+
+
+class _Lookup:
+    """Token ids by token; the table is built once in each worker."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table
+        self.ids: dict[str, int] | None = None
+
+    def __getstate__(self) -> dict:
+        return {"table": self.table, "ids": None}
+
+    def __call__(self, words: pa.Array, missing: int) -> pa.Array:
+        if self.ids is None:
+            columns = (self.table[name].to_pylist() for name in ("token", "token_id"))
+            self.ids = dict(zip(*columns))
+        coded = words.dictionary_encode()
+        get = self.ids.get
+        numbers = pa.array([get(w, missing) for w in coded.dictionary.to_pylist()], pa.int32())
+        return pc.fill_null(pc.take(numbers, coded.indices), missing)
+
+
+def _looked_up(spark: SparkSession, table: pa.Table, missing: int):
+    """An Arrow function from token lists to id lists, ``missing`` for other tokens."""
+    lookup = spark.sparkContext.broadcast(_Lookup(table))
 
     @F.arrow_udf("array<int>")
     def ids(lists: pa.Array) -> pa.Array:
-        words, numbers = lookup.value
-        found = pc.index_in(lists.flatten().cast(words.type), value_set=words)
-        flat = pc.fill_null(pc.take(numbers, found), unknown_id).cast(pa.int32())
+        flat = lookup.value(lists.flatten().cast(pa.string()), missing)
         lengths = pc.fill_null(pc.list_value_length(lists), 0)
         ends = pc.cumulative_sum(lengths.cast(pa.int32()))
         offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
-        return pa.ListArray.from_arrays(offsets, flat, mask=lists.is_null())
-
-    return df.withColumn(output, ids(F.col(tokens)))
-
+        return pa.ListArray.from_arrays(offsets, flat.cast(pa.int32()), mask=lists.is_null())
 
-def _join_tokens(
-    df: DataFrame, pairs: DataFrame, key: str, unknown_id: int, tokens: str, output: str
-) -> DataFrame:
-    # Frequent words are spread over salts, each with its own copy of the vocabulary.
-    words = df.select(
-        key,
-        F.pmod(F.xxhash64(key), F.lit(JOIN_SALTS)).cast("int").alias("_salt"),
-        F.posexplode_outer(tokens).alias("_pos", "token"),
-    ).filter("token IS NOT NULL")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1)))
-    salted = pairs.withColumn("_salt", salts)
-    item = F.struct("_pos", F.coalesce("token_id", F.lit(unknown_id)).alias("_id"))
-    lists = (
-        words.join(salted, ["token", "_salt"], "left")
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list(item)).alias("_items"))
-        .select(key, F.transform("_items", lambda i: i["_id"]).alias("_ids"))
-    )
-    empty = F.when(F.col(tokens).isNotNull(), F.array().cast("array<int>"))
-    return (
-        df.join(lists, key, "left")
-        .withColumn(output, F.coalesce("_ids", empty))
-        .drop("_ids")
-    )
+    return ids
 
 
 def batch_tokenize(
     df: DataFrame,
     vocabulary: DataFrame,
     text: str,
-    key: str,
     unknown_id: int,
     pad_id: int,
     max_len: int = K.MAX_LEN,
@@ -139,7 +159,7 @@ def batch_tokenize(
     """
     marked: Column = K.add_special_tokens(tokenizer(F.col(text)), max_len)
     encoded = encode_tokens(
-        df.withColumn("_tokens", marked), vocabulary, key, unknown_id, "_tokens", "_ids"
+        df.withColumn("_tokens", marked), vocabulary, unknown_id, "_tokens", "_ids"
     )
     return encoded.withColumns(
         {

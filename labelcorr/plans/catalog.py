@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from labelcorr.operators import splits as S
 from labelcorr.operators import vocabulary as V
 from labelcorr.plans import classify, jobs
 from labelcorr.session import scratch_path
-from labelcorr.sources import files, posts, sinks
+from labelcorr.sources import files, models, posts, sinks
 from labelcorr.streaming import job
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,6 +132,57 @@ def label_association(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("p", F.round("p", 9))
 
 
+@query(f"""
+WITH e AS (SELECT {EVENT_CASE} AS given,
+                  CAST(json_extract(props, '$.k') AS BIGINT) % 4 AS pred FROM events),
+     o AS (SELECT CASE WHEN given < 2 THEN given ELSE -1 END AS given,
+                  CASE WHEN pred < 2 THEN pred ELSE -1 END AS pred FROM e),
+     cells AS (SELECT g AS given, p AS pred FROM (VALUES (0), (1), (-1), (NULL)) a(g),
+                                                 (VALUES (0), (1), (-1), (NULL)) b(p)),
+     c AS (SELECT given, pred, count(*) AS n FROM o GROUP BY given, pred),
+     d AS (SELECT cells.given, cells.pred, coalesce(n, 0) AS n FROM cells LEFT JOIN c
+           ON c.given IS NOT DISTINCT FROM cells.given AND c.pred IS NOT DISTINCT FROM cells.pred)
+SELECT coalesce(CAST(given AS VARCHAR), 'none') AS given, coalesce(CAST(pred AS VARCHAR), 'none') AS pred, n,
+       round(coalesce(n / nullif(sum(n) OVER (PARTITION BY given), 0), -1), 9) AS p
+FROM d
+""")
+def dense_matrix_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes that are not listed stay in the denominators."""
+    found = M.distribution_matrix(
+        _event_pairs(spark, sf_dir), "given", "pred", [0, 1], [0, 1], outside="keep"
+    )
+    return _shown(found)
+
+
+def _shown(matrix: DataFrame) -> DataFrame:
+    def text(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit("none")).alias(name)
+
+    p = F.round(F.coalesce("p", F.lit(-1.0)), 9).alias("p")
+    return matrix.select(text("given"), text("pred"), "n", p)
+
+
+@query("""
+WITH c AS (SELECT l.toxic AS given, CASE d.lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 ELSE -1 END AS pred
+           FROM labels l JOIN documents d USING (doc_id)),
+     cells AS (SELECT g AS given, p AS pred FROM (VALUES (0), (1), (-1), (NULL)) a(g),
+                                                 (VALUES (0), (1), (-1), (NULL)) b(p)),
+     n AS (SELECT given, pred, count(*) AS n FROM c GROUP BY given, pred),
+     d AS (SELECT cells.given, cells.pred, coalesce(n, 0) AS n FROM cells LEFT JOIN n
+           ON n.given IS NOT DISTINCT FROM cells.given AND n.pred IS NOT DISTINCT FROM cells.pred)
+SELECT coalesce(CAST(given AS VARCHAR), 'none') AS given, coalesce(CAST(pred AS VARCHAR), 'none') AS pred, n,
+       round(coalesce(n / nullif(sum(n) OVER (PARTITION BY given), 0), -1), 9) AS p
+FROM d
+""")
+def label_association_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two languages listed, the others kept apart."""
+    toxic = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    lang = table(spark, sf_dir, "documents").select("doc_id", LANG.encode(F.col("lang")).alias("code"))
+    return _shown(
+        M.label_association(toxic, lang, "doc_id", "toxic", "code", [0, 1], [0, 1], outside="keep")
+    )
+
+
 @query(f"""
 WITH a AS (SELECT user_id, {EVENT_CASE} AS given FROM events),
      b AS (SELECT user_id, CAST(json_extract(props, '$.k') AS BIGINT) % 4 AS pred FROM events),
@@ -393,9 +445,9 @@ WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label),
 SELECT round(sum(weight * nll) / sum(weight), 9) AS loss FROM r JOIN w USING (label)
 """)
 def weighted_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    embeddings = table(spark, sf_dir, "embeddings")
-    weights = C.class_weights(embeddings, "label", range(10))
-    loss = Q.weighted_cross_entropy(Q.score_counts(embeddings, "label", "embedding"), weights)
+    counts = Q.score_counts(table(spark, sf_dir, "embeddings"), "label", "embedding")
+    weights = C.weights_of_counts(counts, "given", range(10))
+    loss = Q.weighted_cross_entropy(counts, weights)
     return loss.select(F.round("loss", 9).alias("loss"))
 
 
@@ -446,16 +498,20 @@ def evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT vec_id AS ids,
-       CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS INTEGER) AS pred,
-       round(2 * CAST(list_max(embedding[1:10]) AS DOUBLE), 6) AS top
-FROM embeddings
+WITH s AS (SELECT vec_id, list_transform(range(0, 10), lambda c: list_sum(list_transform(
+                  range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * ((i * (c + 3)) % 7 - 3))))
+                  AS logits FROM embeddings)
+SELECT vec_id AS ids, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS pred,
+       round(list_max(logits), 6) AS top
+FROM s
 """)
 def predict_with_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scorer of one's own over NumPy batches."""
+    """A scorer of one's own over NumPy batches: ten weights for each of the 64 values."""
 
     def make_scorer():
-        return lambda embedding: embedding[:, :10].astype("float64") * 2.0
+        value, label = np.arange(1, 65)[:, None], np.arange(10)[None, :]
+        weights = (value * (label + 3) % 7 - 3).astype("float64")
+        return lambda embedding: embedding.astype("float64") @ weights
 
     embeddings = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     scored = classify.predict_with(embeddings, make_scorer, ["embedding"], input_shapes=[[64]])
@@ -468,12 +524,13 @@ def predict_with_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Splits and folds.
 
 
-def _bucket_sql(key: str) -> str:
-    return f"CAST('0x' || substr(md5({key} || '|42'), 1, 8) AS BIGINT) % 10000"
+def _sampled_sql(key: str) -> str:
+    """True for the keys in a sample of 0.8."""
+    return f"CAST('0x' || substr(md5({key} || '|42'), 1, 15) AS BIGINT) < {int(0.8 * (1 << 60))}"
 
 
 @query(f"""
-SELECT doc_id, CASE WHEN {_bucket_sql("doc_id")} < 8000 THEN 'train' ELSE 'test' END AS side
+SELECT doc_id, CASE WHEN {_sampled_sql("doc_id")} THEN 'train' ELSE 'test' END AS side
 FROM documents
 """)
 def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -484,7 +541,7 @@ def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 SELECT user_id, event_type, props FROM events
-EXCEPT SELECT user_id, event_type, props FROM events WHERE {_bucket_sql("event_id")} < 8000
+EXCEPT SELECT user_id, event_type, props FROM events WHERE {_sampled_sql("event_id")}
 """)
 def split_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set difference: copies collapse, and copies of a train row vanish."""
@@ -569,11 +626,9 @@ UNION ALL SELECT doc_id, 'eval' FROM documents
 def holdout_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Third source held out; the evaluation set with the train rows as well."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    train, test = S.holdout_by_file(docs, 2, "source")
-    both = S.holdout_by_file(docs, 2, "source", include_train=True)[1]
-    sides = {"train": train, "test": test, "eval": both}
-    parts = [df.select("doc_id", F.lit(side).alias("side")) for side, df in sides.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    marked = S.mark_holdout(docs, 2, "source")
+    own = F.when(F.col("in_test"), "test").otherwise("train")
+    return marked.select("doc_id", F.explode(F.array(own, F.lit("eval"))).alias("side"))
 
 
 @query("""
@@ -670,14 +725,25 @@ def encode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ENCODED_SQL)
 def encode_tokens_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for a vocabulary too large to ship."""
-    return _encoded(spark, sf_dir, 0)
+    """The same with only the 50 most frequent tokens shipped, the others joined."""
+    return _encoded(spark, sf_dir, 50)
+
+
+@query(ENCODED_SQL.replace("SELECT doc_id, coalesce(ids, '') AS ids FROM t LEFT JOIN e USING (doc_id)", """
+SELECT CAST(t.doc_id % 7 AS BIGINT) AS key, coalesce(ids, '') AS ids FROM t LEFT JOIN e USING (doc_id)"""))
+def encode_tokens_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that share seven keys, by lookup and join."""
+    tokens = _document_tokens(spark, sf_dir)
+    vocabulary = V.build_vocabulary(tokens, VOCABULARY)
+    keyed = tokens.select(F.pmod("doc_id", F.lit(7)).cast("bigint").alias("key"), "tokens")
+    encoded = V.encode_tokens(keyed, vocabulary, -1, max_broadcast=50)
+    return encoded.select("key", F.array_join(F.col("token_ids").cast("array<string>"), " ").alias("ids"))
 
 
 def _encoded(spark: SparkSession, sf_dir: str, max_broadcast: int) -> DataFrame:
     tokens = _document_tokens(spark, sf_dir)
     vocabulary = V.build_vocabulary(tokens, VOCABULARY)
-    encoded = V.encode_tokens(tokens, vocabulary, "doc_id", -1, max_broadcast=max_broadcast)
+    encoded = V.encode_tokens(tokens, vocabulary, -1, max_broadcast=max_broadcast)
     ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
     return encoded.select("doc_id", ids.alias("ids"))
 
@@ -696,7 +762,7 @@ FROM l
 def batch_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary = V.build_vocabulary(_document_tokens(spark, sf_dir), VOCABULARY, markers=MARKERS)
-    rows = V.batch_tokenize(docs, vocabulary, "text", "doc_id", unknown_id=1, pad_id=0)
+    rows = V.batch_tokenize(docs, vocabulary, "text", unknown_id=1, pad_id=0)
 
     def joined(name: str, gap: str) -> Column:
         return F.array_join(F.col(name).cast("array<string>"), gap).alias(name)
@@ -737,10 +803,67 @@ def csv_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(CSV_SQL)
-def csv_large_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with files split inside the records."""
-    path = _write_documents(spark, sf_dir)
-    return posts.read_large_posts(spark, path, CSV_SCHEMA).drop("file_name")
+def csv_mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts in files of three layouts, read by name."""
+    path = scratch_path(spark, "mixed")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("text").alias("content"), F.col("lang").alias("account_category"), "n_chars"
+    )
+    layouts = [
+        ["content", "doc_id", "account_category"],
+        ["account_category", "content", "doc_id"],
+        ["doc_id", "n_chars", "account_category", "content"],
+    ]
+    for i, columns in enumerate(layouts):
+        sinks.write_csv(docs.filter(F.pmod("doc_id", F.lit(3)) == i).select(*columns), f"{path}/{i}")
+    return posts.read_posts(spark, [f"{path}/{i}" for i in range(3)], CSV_SCHEMA).drop("file_name")
+
+
+@query("SELECT event_id, event_type, props FROM events")
+def csv_single_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells without line breaks: a large file is read in several splits."""
+    path = scratch_path(spark, "events")
+    events = table(spark, sf_dir, "events").select("props", "event_id", "event_type")
+    sinks.write_csv(events, path)
+    schema = "event_id bigint, event_type string, props string"
+    return posts.read_posts(spark, path, schema, multi_line=False).drop("file_name")
+
+
+def _numbered_documents(spark: SparkSession, sf_dir: str) -> str:
+    """Documents as numbered part files ``part_0`` to ``part_4`` by id; the folder."""
+    path = scratch_path(spark, "numbered")
+    for number in range(5):
+        docs = table(spark, sf_dir, "documents").filter(F.pmod("doc_id", F.lit(5)) == number)
+        cells = docs.select(F.col("text").alias("content"), "doc_id", F.col("lang").alias("account_category"))
+        sinks.write_csv(cells, f"{path}/part_{number}")
+    return path
+
+
+@query("SELECT doc_id, text AS content, lang AS account_category FROM documents WHERE doc_id % 5 < 2")
+def first_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two part files by name."""
+    path = _numbered_documents(spark, sf_dir)
+    chosen = files.select_files([f"{path}/part_{n}" for n in (4, 1, 3, 0, 2)], first=2)
+    return posts.read_posts(spark, chosen, CSV_SCHEMA).drop("file_name")
+
+
+@query("""
+WITH p AS (SELECT n FROM range(0, 5) r(n) ORDER BY md5('part_' || n || '42'), n LIMIT 2)
+SELECT doc_id, text AS content, lang AS account_category FROM documents
+WHERE doc_id % 5 IN (SELECT n FROM p)
+""")
+def sampled_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two part files drawn by a hash of their names."""
+    path = _numbered_documents(spark, sf_dir)
+    chosen = files.select_files([f"{path}/part_{n}" for n in range(5)], sample=2)
+    return posts.read_posts(spark, chosen, CSV_SCHEMA).drop("file_name")
+
+
+@query("SELECT doc_id, text AS content, lang AS account_category FROM documents WHERE doc_id % 5 IN (1, 2, 3)")
+def numbered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _numbered_documents(spark, sf_dir)
+    chosen = files.numbered_files(path + "/part_{}", range(1, 4))
+    return posts.read_posts(spark, chosen, CSV_SCHEMA).drop("file_name")
 
 
 @query("""
@@ -806,7 +929,7 @@ STREAM_SQL = f"""
 WITH e AS (SELECT props AS content, event_type, {EVENT_CASE} AS given,
                   CAST(json_extract(props, '$.k') AS BIGINT) % 3 AS pred
            FROM events
-           WHERE {_bucket_sql("props || '|' || event_type")} >= 8000)
+           WHERE NOT ({_sampled_sql("props || '|' || event_type")}))
 """
 CELLS_SQL = """
      , cells AS (SELECT g AS given, p AS pred FROM range(0, 3) a(g), range(0, 3) b(p))
@@ -823,25 +946,38 @@ def _remainder_logits(rows: DataFrame) -> DataFrame:
     return rows.withColumn("logits", F.array(*logits))
 
 
-def _run_events(spark: SparkSession, sf_dir: str) -> str:
-    """Stream the events, and one CSV line per error event that is no JSON."""
+def _feed(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """The events as four or more files of JSON lines, with lines that are no JSON and no post.
+
+    One CSV line per error event, and per signup a post without a text.
+    """
     events = table(spark, sf_dir, "events")
-    lines = events.select(
-        F.to_json(
-            F.struct(F.col("props").alias("content"), F.col("event_type").alias("account_category"))
-        ).alias("value")
+    posted = events.select(
+        F.col("props").alias("content"), F.col("event_type").alias("account_category")
+    )
+    posts.write_replay(posted.repartition(4), f"{path}/lines", rows_per_file=200_000)
+    raw = F.concat_ws(",", "event_id", "event_type")
+    no_text = F.to_json(F.struct(F.col("event_type").alias("account_category")))
+    other = events.select(
+        F.when(F.col("event_type") == "error", raw)
+        .when(F.col("event_type") == "signup", no_text)
+        .alias("value")
     )
-    raw = F.concat_ws(",", "event_id", "event_type").alias("value")
-    garbage = events.filter(F.col("event_type") == "error").select(raw)
+    other.filter("value IS NOT NULL").coalesce(1).write.mode("append").text(f"{path}/lines")
+    return f"{path}/lines"
+
+
+def _run_events(
+    spark: SparkSession, sf_dir: str, score=None, settings: job.StreamSettings | None = None
+) -> str:
+    """Stream the events file by file; the folder of the results."""
     path = scratch_path(spark, "stream")
-    feed = lines.unionByName(garbage)
-    feed.write.option("maxRecordsPerFile", 200_000).text(f"{path}/lines")
     run = job.run_stream(
-        posts.replay_stream(spark, f"{path}/lines", max_files=8),
-        _remainder_logits,
+        posts.replay_stream(spark, _feed(spark, sf_dir, path), max_files=1),
+        score or _remainder_logits,
         f"{path}/counts",
         f"{path}/checkpoint",
-        STREAM,
+        settings or STREAM,
         trigger={"availableNow": True},
     )
     run.awaitTermination()
@@ -870,7 +1006,8 @@ def stream_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT count(*) AS examples, round(sum(weight * nll) / sum(weight), 9) AS loss,
        round(avg(CAST(ok AS INTEGER)), 9) AS micro_f1,
        round(avg(CAST(ok AS INTEGER)), 9) AS accuracy,
-       (SELECT count(*) FROM events WHERE event_type = 'error') AS corrupt
+       (SELECT count(*) FROM events WHERE event_type = 'error') AS corrupt,
+       (SELECT count(*) FROM events WHERE event_type = 'signup') AS no_text
 FROM r
 """)
 def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -881,4 +1018,170 @@ def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         "examples",
         *[F.round(c, 9).alias(c) for c in ("loss", "micro_f1", "accuracy")],
         "corrupt",
+        "no_text",
     )
+
+
+@query(STREAM_SQL + """
+SELECT given, CAST(pred AS INTEGER) AS pred, count(*) AS n, true AS several FROM e GROUP BY ALL
+""")
+def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of every micro-batch, compacted after the run, and added up."""
+    path = _run_events(spark, sf_dir)
+    job.compact_stream(spark, path)
+    counts = job.stream_counts(spark, path).filter(F.col("given").isNotNull())
+    batches = counts.agg(F.count_distinct("batch_id").alias("batches"))
+    summed = counts.groupBy("given", "pred").agg(F.sum("n").alias("n"))
+    several = batches.select((F.col("batches") >= 3).alias("several"))
+    return summed.withColumn("several", F.lit(several.first()["several"]))
+
+
+# A fitted model on a problem it can solve exactly: the text is the event's name.
+
+
+def _event_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return events.select(
+        "event_id", F.col("event_type").alias("content"), EVENTS.encode(F.col("event_type")).alias("label")
+    )
+
+
+def _event_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return S.random_split(_event_posts(spark, sf_dir), "event_id", fraction=0.8)
+
+
+EVENT_MODEL = classify.Settings(features=1 << 10, reg=0.001)
+HELD_OUT_SQL = f"""
+WITH e AS (SELECT {EVENT_CASE} AS given FROM events WHERE NOT ({_sampled_sql("event_id")})),
+     cells AS (SELECT g AS given, p AS pred FROM range(0, 3) a(g), range(0, 3) b(p))
+SELECT CAST(given AS INTEGER) AS given, CAST(pred AS INTEGER) AS pred,
+       CASE WHEN given = pred THEN (SELECT count(*) FROM e WHERE e.given = cells.given) ELSE 0 END AS n
+FROM cells
+"""
+
+
+@query(HELD_OUT_SQL)
+def train_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A classifier of event names: every held-out event gets its own class."""
+    train, test = _event_sides(spark, sf_dir)
+    model = classify.train_classifier(train, EVENTS.classes, EVENT_MODEL)
+    return jobs.predicted_matrix(test, model, "label", EVENTS, EVENTS).select("given", "pred", "n")
+
+
+@query(HELD_OUT_SQL)
+def saved_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after the model was saved and loaded."""
+    train, test = _event_sides(spark, sf_dir)
+    model = classify.train_classifier(train, EVENTS.classes, EVENT_MODEL)
+    folder = models.save_model(spark, model, scratch_path(spark, "models"), "event", f1=1.0)
+    loaded, about = models.load_model(spark, folder)
+    assert about["axis"] == "event"
+    return jobs.predicted_matrix(test, loaded, "label", EVENTS, EVENTS).select("given", "pred", "n")
+
+
+@query(f"""
+WITH e AS (SELECT count(*) AS n FROM events WHERE NOT ({_sampled_sql("event_id")}))
+SELECT CAST(c AS INTEGER) AS candidate, n AS examples, c = 1 AS chosen,
+       CASE WHEN c = 0 THEN 'less' ELSE 'all' END AS right
+FROM e, range(0, 3) r(c)
+""")
+def select_best_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One feature cannot tell the events apart; of the two candidates that can, the first wins."""
+    train, test = _event_sides(spark, sf_dir)
+    candidates = [
+        classify.Settings(features=1),
+        classify.Settings(features=1 << 10, reg=0.01),
+        EVENT_MODEL,
+    ]
+    choice = jobs.train_and_evaluate(train, test, EVENTS, candidates)
+    right = F.when(F.col("accuracy") == 1.0, "all").otherwise("less")
+    return choice.scores(spark).select(
+        "candidate", "examples", (F.col("candidate") == choice.candidate).alias("chosen"), right.alias("right")
+    )
+
+
+@query("""
+WITH c AS (SELECT CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END AS given, count(*) AS n
+           FROM conversations WHERE text IS NOT NULL GROUP BY 1),
+     cells AS (SELECT g AS given, p AS pred FROM range(0, 3) a(g), range(0, 3) b(p))
+SELECT CAST(given AS INTEGER) AS given, CAST(pred AS INTEGER) AS pred,
+       CASE WHEN given = pred THEN coalesce((SELECT n FROM c WHERE c.given = cells.given), 0) ELSE 0 END AS n
+FROM cells
+""")
+def transfer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model of events applied to turns whose text names the event that stands for their role."""
+    model = classify.train_classifier(_event_posts(spark, sf_dir), EVENTS.classes, EVENT_MODEL)
+    turns = R.drop_non_text(table(spark, sf_dir, "conversations"), "text")
+    role = ROLES.encode(F.col("role"))
+    word = F.when(role == 0, "purchase").when(role == 1, "click").otherwise("error")
+    given = turns.select(word.alias("content"), role.alias("given_role"))
+    return jobs.predicted_matrix(given, model, "given_role", ROLES, EVENTS).select("given", "pred", "n")
+
+
+@query(f"""
+WITH e AS (SELECT {EVENT_CASE} AS given FROM events
+           WHERE NOT ({_sampled_sql("event_type || ' ' || event_id || '|' || event_type")})),
+     cells AS (SELECT g AS given, p AS pred FROM range(0, 3) a(g), range(0, 3) b(p))
+SELECT CAST(given AS INTEGER) AS given, CAST(pred AS INTEGER) AS pred,
+       CASE WHEN given = pred THEN (SELECT count(*) FROM e WHERE e.given = cells.given) ELSE 0 END AS n
+FROM cells
+""")
+def stream_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same model on the stream."""
+    model = classify.train_classifier(_event_posts(spark, sf_dir), EVENTS.classes, EVENT_MODEL)
+    path = scratch_path(spark, "stream")
+    events = table(spark, sf_dir, "events")
+    posted = events.select(
+        F.concat_ws(" ", "event_type", "event_id").alias("content"),
+        F.col("event_type").alias("account_category"),
+    )
+    posts.write_replay(posted.repartition(4), f"{path}/lines", rows_per_file=200_000)
+    run = job.run_stream(
+        posts.replay_stream(spark, f"{path}/lines"),
+        lambda rows: job.stream_predict(rows, model, len(EVENTS.classes)),
+        f"{path}/counts",
+        f"{path}/checkpoint",
+        STREAM,
+        trigger={"availableNow": True},
+    )
+    run.awaitTermination()
+    found = job.stream_matrix(spark, f"{path}/counts", EVENTS.classes, EVENTS.classes)
+    return found.select("given", "pred", "n")
+
+
+# How often the real texts were scored: once each.
+
+
+def _row_totals(matrix: DataFrame) -> DataFrame:
+    return matrix.groupBy("given").agg(F.sum("n").alias("n"))
+
+
+LABELLED_SQL = f"""
+WITH l AS (SELECT quality AS given, d.doc_id FROM labels l JOIN documents d USING (doc_id)
+           WHERE text IS NOT NULL),
+     h AS (SELECT * FROM l WHERE NOT
+           (CAST('0x' || substr(md5(doc_id || '|42'), 1, 15) AS BIGINT) < {int(0.7 * (1 << 60))}))
+"""
+
+
+@query(LABELLED_SQL + """
+SELECT CAST(g AS INTEGER) AS given, (SELECT count(*) FROM h WHERE h.given = g) AS n FROM range(0, 2) r(g)
+""")
+def train_predict_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _row_totals(train_predict_matrix(spark, sf_dir))
+
+
+@query("""
+SELECT CAST(g AS INTEGER) AS given, (SELECT count(*) FROM conversations WHERE text IS NOT NULL
+       AND CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 WHEN 'system' THEN 2 END = g) AS n
+FROM range(0, 3) r(g)
+""")
+def transfer_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _row_totals(transfer_matrix(spark, sf_dir))
+
+
+@query(LABELLED_SQL + """
+SELECT CAST(c AS INTEGER) AS candidate, (SELECT count(*) FROM h) AS examples FROM range(0, 3) r(c)
+""")
+def select_best_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select_best(spark, sf_dir).select("candidate", "examples")

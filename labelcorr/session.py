@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
+_SCOPE: ContextVar[str] = ContextVar("_SCOPE", default="")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    The folder the session names in ``spark.checkpoint.dir`` is used. Only a
-    local-mode session that names none gets a temporary one; on a cluster a
-    machine-local folder would be lost with its executor, so that is an error.
+    It is the folder the session names in ``spark.checkpoint.dir``, or the one
+    set on its context. All executors must reach it, so none is made up here.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -28,15 +30,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return named
     if current:
         return current
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="labelcorr-"))
-    return sc.getCheckpointDir()
+    raise ValueError("set spark.checkpoint.dir to a folder all executors share")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table, in the shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/labelcorr/{name}-{uuid.uuid4().hex}"
+    root = f"{checkpoint_dir(spark).rstrip('/')}/labelcorr"
+    return f"{root}/{_SCOPE.get()}{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """What jobs inside this block write to the shared folder is removed at its end.
+
+    Results have to be consumed inside the block. Yields the folder.
+    """
+    own = f"job-{uuid.uuid4().hex}/"
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/labelcorr/{own.rstrip('/')}"
+    token = _SCOPE.set(own)
+    try:
+        yield folder
+    finally:
+        _SCOPE.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelcorr.functions.parse import unpacked
 from labelcorr.operators.rows import POST_SCHEMA
-from labelcorr.session import broadcast_if_small, checkpointed
 
-MAX_BROADCAST_BLOCKS = 100_000
+HEADER_THREADS = 16
 
 # Cell texts that count as missing.
 NA_STRINGS = [
@@ -45,96 +45,47 @@ def read_posts(
     multi_line: bool = True,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Read CSV files with a header by column name, plus a ``file_name`` column.
-
-    Only the columns of ``schema`` are returned; files may hold more, in any
-    order. Quoted cells may hold line breaks, so by default a file is one task;
-    ``multi_line=False`` splits files whose cells have none, and
-    ``read_large_posts`` splits any. ``partitions`` spreads the rows of few
-    files for the work that follows.
+    """Read CSV files by the names in their headers, plus a ``file_name`` column.
+
+    Every file is read by its own header; files with equal headers are read
+    together. Only the columns of ``schema`` are returned; files may hold more,
+    in any order, and one that lacks a column of ``schema`` is an error. Quoted
+    cells may hold line breaks, so by default a file is one task: large inputs
+    are many part files. ``multi_line=False`` splits files whose cells have no
+    line breaks. ``partitions`` spreads the rows of few files for the work that
+    follows.
     """
-    paths, schema = _listed(paths), _struct(schema)
-    reader = _csv_reader(spark).option("multiLine", multi_line).option("enforceSchema", False)
-    # The header decides the order of the cells; all are text until typed below.
-    raw = reader.schema(_text_schema(spark, paths)).csv(paths)
-    cells = [_typed(raw[f.name], f) for f in schema.fields]
-    posts = raw.select(*cells, F.col("_metadata.file_name").alias("file_name"))
+    schema = _struct(schema)
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for path, header in _headers(spark, _listed(paths)).items():
+        absent = [f.name for f in schema.fields if f.name not in header]
+        if absent:
+            raise ValueError(f"{path} has no column {', '.join(absent)}")
+        by_header.setdefault(header, []).append(path)
+    parts = []
+    for header, files in sorted(by_header.items()):
+        reader = _csv_reader(spark).option("multiLine", multi_line).option("enforceSchema", False)
+        # The header decides the order of the cells; all are text until typed below.
+        cells_as_text = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
+        raw = reader.schema(cells_as_text).csv(files)
+        cells = [_typed(raw[f"`{f.name}`"], f) for f in schema.fields]
+        parts.append(raw.select(*cells, F.col("_metadata.file_name").alias("file_name")))
+    if not parts:
+        return spark.createDataFrame([], T.StructType(schema.fields).add("file_name", "string"))
+    posts = reduce(DataFrame.unionByName, parts)
     return posts.repartition(partitions) if partitions else posts
 
 
-def read_large_posts(
-    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str = POST_SCHEMA
-) -> DataFrame:
-    """The rows of ``read_posts`` for files too large for one task.
+def _headers(spark: SparkSession, paths: list[str]) -> dict[str, tuple[str, ...]]:
+    """The header of each file with any rows; only the first line of a file is read."""
+    files = sorted(spark.read.text(paths).inputFiles())
 
-    The files are split at line breaks. A line starts a record if the number of
-    quotes before it in its file is even. That number is the count of the earlier
-    splits, one row each, plus a running count inside the split. The lines are
-    checkpointed with it, so that every step sees the same splits. Only records
-    with line breaks are put together by a shuffle.
-    """
-    paths, schema = _listed(paths), _struct(schema)
-    in_block = Window.partitionBy("_file", "_block").orderBy("_pos")
-    earlier_lines = in_block.rowsBetween(Window.unboundedPreceding, -1)
-    lines = checkpointed(
-        spark.read.option("lineSep", "\n")
-        .text(paths)
-        .select(
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_name").alias("file_name"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_pos"),
-            F.col("value").alias("_line"),
-        )
-        .withColumn("_quotes", F.length("_line") - F.length(F.replace("_line", F.lit('"'), F.lit(""))))
-        .withColumn("_before", F.coalesce(F.sum("_quotes").over(earlier_lines), F.lit(0)) % 2)
-        # Where the record of a line starts in its split, if the split starts outside
-        # quotes and if it starts inside.
-        .withColumn("_even", F.max(F.when(F.col("_before") == 0, F.col("_pos"))).over(in_block))
-        .withColumn("_odd", F.max(F.when(F.col("_before") == 1, F.col("_pos"))).over(in_block))
-        .drop("_before")
-    )
-
-    by_file = Window.partitionBy("_file").orderBy("_block")
-    earlier_blocks = by_file.rowsBetween(Window.unboundedPreceding, -1)
-    start = F.when(F.col("_open") == 0, F.col("_even")).otherwise(F.col("_odd"))
-    blocks = (
-        lines.groupBy("_file", "_block")
-        .agg(
-            F.sum("_quotes").alias("_quotes"),
-            F.min("_pos").alias("_first"),
-            F.max("_even").alias("_even"),
-            F.max("_odd").alias("_odd"),
-        )
-        .withColumn("_open", F.coalesce(F.sum("_quotes").over(earlier_blocks), F.lit(0)) % 2)
-        .withColumn("_carried", F.last(start, ignorenulls=True).over(earlier_blocks))
-        .withColumn("_header", F.first("_first").over(by_file))
-        .select("_file", "_block", "_open", "_carried", "_header")
-    )
-    placed = (
-        lines.join(broadcast_if_small(blocks, MAX_BROADCAST_BLOCKS), ["_file", "_block"])
-        .withColumn("_record", F.coalesce(start, "_carried"))
-        .filter(F.col("_record") != F.col("_header"))
-    )
-
-    # A record is complete when its last line leaves no quote open.
-    whole = (F.col("_record") == F.col("_pos")) & (F.col("_quotes") % 2 == 0)
-    single = placed.filter(whole).select("file_name", F.col("_line").alias("_text"))
-    pieces = F.sort_array(F.collect_list(F.struct("_pos", "_line")))
-    joined = (
-        placed.filter(~whole)
-        .groupBy("_record", "file_name")
-        .agg(F.array_join(F.transform(pieces, lambda p: p["_line"]), "\n").alias("_text"))
-        .select("file_name", "_text")
-    )
-    columns = _text_schema(spark, paths)
-    options = {"escape": '"', "multiLine": "true"}
-    records = single.unionByName(joined).withColumn("_text", F.rtrim("_text", F.lit("\r")))
-    cells = unpacked(F.from_csv("_text", columns.toDDL(), options))
-    parsed = records.filter(F.col("_text") != "").select(F.col("file_name").alias("_name"), cells)
-    return parsed.select(
-        *[_typed(parsed[f.name], f) for f in schema.fields], F.col("_name").alias("file_name")
-    )
+    def header(path: str) -> tuple[str, ...]:
+        return tuple(_csv_reader(spark).csv(path).columns)
+
+    with ThreadPool(min(HEADER_THREADS, max(1, len(files)))) as pool:
+        found = pool.map(header, files)
+    return {path: names for path, names in zip(files, found) if names}
 
 
 def _csv_reader(spark: SparkSession):
@@ -149,12 +100,6 @@ def _struct(schema: T.StructType | str) -> T.StructType:
     return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
 
-def _text_schema(spark: SparkSession, paths: list[str]) -> T.StructType:
-    """The columns of the header of the first file, all text."""
-    columns = _csv_reader(spark).option("multiLine", True).csv(paths[0]).columns
-    return T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
-
-
 def _typed(cell: Column, field: T.StructField) -> Column:
     kept = F.when(~cell.isin(NA_STRINGS), cell)
     if not isinstance(field.dataType, T.StringType):

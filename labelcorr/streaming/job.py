@@ -11,21 +11,31 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from labelcorr.functions.labels import LENIENT_BIAS_DEFAULT, POLITICAL_BIAS, LabelAxis
+from labelcorr.functions.parse import unpacked
 from labelcorr.functions.scores import argmax, cross_entropy
 from labelcorr.functions.text import normalize_text
 from labelcorr.operators.matrix import conditional_distribution, confusion_counts, dense_matrix
 from labelcorr.operators.quality import Weights, evaluate, prediction_table
-from labelcorr.operators.rows import POST_SCHEMA, parse_json
+from labelcorr.operators.rows import POST_SCHEMA
 from labelcorr.operators.splits import mark_split
 from labelcorr.plans.classify import predict
 from labelcorr.session import kept
-from labelcorr.sources.sinks import read_batches, write_batch, write_predictions
+from labelcorr.sources.sinks import (
+    compact_batches,
+    read_batches,
+    refuse_foreign_results,
+    write_batch,
+    write_predictions,
+)
+
+CORRUPT = "_corrupt_line"
+COUNTS = "given int, pred int, n bigint, nll double, corrupt bigint, no_text bigint"
 
 
 @dataclass(frozen=True)
@@ -41,55 +51,63 @@ class StreamSettings:
 
 
 def stream_parse(lines: DataFrame, schema: T.StructType = POST_SCHEMA) -> DataFrame:
-    """The fields of each JSON line and ``corrupt``: a line that gave no field."""
-    nothing = F.col("value").isNotNull()
-    for name in schema.fieldNames():
-        nothing = nothing & F.col(name).isNull()
-    parsed = parse_json(lines, schema, "value", "value")
-    return parsed.select(*schema.fieldNames(), nothing.alias("corrupt"))
+    """The fields of each JSON line, ``corrupt`` if it is no JSON of them, ``no_text`` if it
+    could be read but holds no text."""
+    fields = schema.fieldNames()
+    whole = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    parsed = lines.select(unpacked(F.from_json("value", whole, options)))
+    corrupt = F.col(CORRUPT).isNotNull()
+    return parsed.select(
+        *fields, corrupt.alias("corrupt"), (~corrupt & F.col("content").isNull()).alias("no_text")
+    )
 
 
 def stream_posts(lines: DataFrame, settings: StreamSettings = StreamSettings()) -> DataFrame:
-    """``(ids, content, label, in_train, corrupt)``: parsed, split, cleaned and encoded.
+    """``(content, label, in_train, corrupt, no_text)``: parsed, split, cleaned and encoded.
 
-    Posts without a text are dropped; unreadable lines stay, to be counted.
+    Lines that cannot be read or hold no text stay, to be counted.
     """
     parsed = stream_parse(lines, settings.schema)
-    parsed = parsed.filter(F.col("corrupt") | F.col("content").isNotNull())
     keys = settings.schema.fieldNames()
     split = mark_split(parsed, *keys, fraction=settings.train_fraction, seed=settings.seed)
     label = settings.axis.encode(F.col("account_category"), settings.default)
     return split.select(
-        F.xxhash64(*keys).alias("ids"),
         normalize_text(F.col("content"), settings.normalize).alias("content"),
-        F.when(~F.col("corrupt"), label).alias("label"),
+        F.when(_is_post(), label).alias("label"),
         "in_train",
         "corrupt",
+        "no_text",
     )
 
 
+def _is_post() -> Column:
+    return ~(F.col("corrupt") | F.col("no_text"))
+
+
 def stream_predict(posts: DataFrame, model: PipelineModel, n_classes: int) -> DataFrame:
-    """Add ``logits``; unreadable lines are passed as an empty text."""
+    """Add ``logits``; lines without a post are passed as an empty text."""
     texts = posts.withColumn("content", F.coalesce("content", F.lit("")))
     return predict(texts, model, n_classes)
 
 
 def tested(posts: DataFrame) -> DataFrame:
-    """The test posts of a stream, and its unreadable lines."""
-    return posts.filter(F.col("corrupt") | ~F.col("in_train"))
+    """The test posts of a stream, and its lines without a post."""
+    return posts.filter(~_is_post() | ~F.col("in_train"))
 
 
 def batch_counts(scored: DataFrame) -> DataFrame:
-    """``(given, pred, n, nll, corrupt)`` over the scored test posts of a batch.
+    """``(given, pred, n, nll, corrupt, no_text)`` over the scored test posts of a batch.
 
-    Unreadable lines appear as one row without labels, with their number in
-    ``corrupt``.
+    Lines without a post appear as one row without labels, with their numbers in
+    ``corrupt`` and ``no_text``.
     """
     rows = scored.select(
-        F.when(~F.col("corrupt"), F.col("label")).alias("label"),
-        F.when(~F.col("corrupt"), argmax(F.col("logits"))).alias("pred"),
-        F.when(~F.col("corrupt"), cross_entropy(F.col("logits"), F.col("label"))).alias("nll"),
+        F.when(_is_post(), F.col("label")).alias("label"),
+        F.when(_is_post(), argmax(F.col("logits"))).alias("pred"),
+        F.when(_is_post(), cross_entropy(F.col("logits"), F.col("label"))).alias("nll"),
         "corrupt",
+        "no_text",
     )
     return confusion_counts(
         rows,
@@ -97,6 +115,7 @@ def batch_counts(scored: DataFrame) -> DataFrame:
         "pred",
         F.sum("nll").alias("nll"),
         F.count_if("corrupt").alias("corrupt"),
+        F.count_if("no_text").alias("no_text"),
     )
 
 
@@ -114,9 +133,13 @@ def run_stream(
 
     ``score`` adds ``logits`` to the test posts and runs on the stream, so a
     model is loaded once. Results go to one folder per batch; a batch that is run
-    again after a failure replaces its folder. ``trigger`` holds the arguments of
+    again after a failure replaces its folder. A result folder that another
+    checkpoint has filled is refused. ``ids`` of predictions are unique within
+    their batch. ``trigger`` holds the arguments of
     ``DataStreamWriter.trigger``.
     """
+    spark = lines.sparkSession
+    refuse_foreign_results(spark, result_path, checkpoint)
     scored = score(tested(stream_posts(lines, settings)))
 
     def write_counts(batch: DataFrame, batch_id: int) -> None:
@@ -129,8 +152,9 @@ def run_stream(
             return
         with kept(batch) as rows:
             write_counts(rows, batch_id)
+            numbered = rows.withColumn("ids", F.monotonically_increasing_id())
             write_predictions(
-                prediction_table(rows.filter(~F.col("corrupt")), "ids"),
+                prediction_table(numbered.filter(_is_post()), "ids"),
                 f"{predictions_path.rstrip('/')}/batch_id={batch_id}",
                 settings.axis.name,
             )
@@ -150,30 +174,42 @@ def stream_matrix(
     pred_classes: Sequence[int],
     batch_id: int | None = None,
 ) -> DataFrame:
-    """The distribution matrix of all batches so far, or of one of them."""
-    counts = _counts(spark, result_path, batch_id)
+    """The distribution matrix of all batches so far, or of one of them; zeros before the first."""
+    counts = stream_counts(spark, result_path).filter(F.col("given").isNotNull())
+    if batch_id is not None:
+        counts = counts.filter(F.col("batch_id") == batch_id)
     return conditional_distribution(dense_matrix(counts, given_classes, pred_classes))
 
 
 def stream_metrics(spark: SparkSession, result_path: str, weights: Weights = None) -> DataFrame:
     """``(batch_id, examples, loss, micro_f1, accuracy)`` of each batch."""
-    return evaluate(_counts(spark, result_path, None), weights, "batch_id")
+    counts = stream_counts(spark, result_path).filter(F.col("given").isNotNull())
+    return evaluate(counts, weights, "batch_id")
 
 
 def stream_total(spark: SparkSession, result_path: str, weights: Weights = None) -> DataFrame:
-    """``(examples, loss, micro_f1, accuracy, corrupt)`` over all batches, one row."""
-    scores = evaluate(_counts(spark, result_path, None), weights)
-    corrupt = read_batches(spark, result_path).agg(F.sum("corrupt").alias("corrupt"))
-    return scores.withColumn("corrupt", F.lit(corrupt.first()["corrupt"]).cast("bigint"))
+    """``(examples, loss, micro_f1, accuracy, corrupt, no_text)`` over all batches, one row."""
+    counts = stream_counts(spark, result_path)
+    # Rows without labels have no part in the scores, only in the last two sums.
+    posts = F.col("given").isNotNull()
+    counts = counts.withColumn("n", F.when(posts, F.col("n")))
+    return evaluate(counts, weights, sums=_left_out())
 
 
 def stream_corrupt(spark: SparkSession, result_path: str) -> DataFrame:
-    """``(batch_id, corrupt)``: unreadable lines of each batch."""
-    return read_batches(spark, result_path).groupBy("batch_id").agg(
-        F.sum("corrupt").alias("corrupt")
-    )
+    """``(batch_id, corrupt, no_text)``: lines without a post in each batch."""
+    return stream_counts(spark, result_path).groupBy("batch_id").agg(*_left_out())
+
+
+def stream_counts(spark: SparkSession, result_path: str) -> DataFrame:
+    """The stored counts of all batches, a row per pair of classes and batch."""
+    return read_batches(spark, result_path, COUNTS)
+
+
+def compact_stream(spark: SparkSession, result_path: str) -> int | None:
+    """Put the counts of finished batches into one file; see ``compact_batches``."""
+    return compact_batches(spark, result_path, COUNTS)
 
 
-def _counts(spark: SparkSession, path: str, batch_id: int | None) -> DataFrame:
-    counts = read_batches(spark, path).filter(F.col("given").isNotNull())
-    return counts if batch_id is None else counts.filter(F.col("batch_id") == batch_id)
+def _left_out() -> list[Column]:
+    return [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("corrupt", "no_text")]

@@ -190,3 +190,47 @@ def test_mean_batch_loss(spark):
     )
     loss, steps = Q.mean_batch_loss(rows, "batch", w).first()
     assert steps == 2 and loss == pytest.approx(wanted / 2)
+
+
+def counts_with_outsiders(spark):
+    rows = [(0, 0), (0, 0), (0, 4), (7, 1), (None, 0), (1, None)]
+    return spark.createDataFrame(rows, "a int, b int")
+
+
+def test_labels_outside_the_lists_raise_or_stay(spark):
+    df = counts_with_outsiders(spark)
+    with pytest.raises(Exception, match="outside the listed"):
+        M.distribution_matrix(df, "a", "b", [0, 1], [0, 1]).collect()
+    kept = M.distribution_matrix(df, "a", "b", [0, 1], [0, 1], outside="keep").collect()
+    cells = {(r["given"], r["pred"]): (r["n"], r["p"]) for r in kept}
+    assert len(cells) == 16 and sum(n for n, _ in cells.values()) == 6
+    assert cells[0, 0] == (2, pytest.approx(2 / 3)) and cells[0, M.OUTSIDE][0] == 1
+    assert cells[M.OUTSIDE, 1][0] == cells[None, 0][0] == cells[1, None][0] == 1
+
+
+def test_association_keeps_what_is_outside(spark):
+    a = spark.createDataFrame([(1, 0), (2, 0), (3, 5), (4, None)], "k int, a int")
+    b = spark.createDataFrame([(1, 0), (2, 9), (3, 0), (4, 0)], "k int, b int")
+    with pytest.raises(Exception, match="outside the listed"):
+        M.label_association(a, b, "k", "a", "b", [0], [0]).collect()
+    found = M.label_association(a, b, "k", "a", "b", [0], [0], outside="keep").collect()
+    cells = {(r["given"], r["pred"]): r["n"] for r in found}
+    assert cells[0, 0] == cells[0, M.OUTSIDE] == cells[M.OUTSIDE, 0] == cells[None, 0] == 1
+    assert sum(cells.values()) == 4
+
+
+def test_a_class_without_weight_raises(spark):
+    rows = [(0, 0, 5, 1.0), (1, 1, 4, 1.0), (2, 0, 3, 1.0)]
+    counts = spark.createDataFrame(rows, "given int, pred int, n long, nll double")
+    table = spark.createDataFrame([(0, 1.0), (1, 2.0)], "label int, weight double")
+    for weights in (table, [1.0, 2.0]):
+        with pytest.raises(Exception, match="no weight for class 2"):
+            Q.evaluate(counts, weights).collect()
+        assert Q.evaluate(counts.filter("given < 2"), weights).first()["examples"] == 9
+
+
+def test_weights_of_counts(spark):
+    rows = [(0, 0, 5), (0, 1, 1), (1, 1, 4), (None, 1, 2)]
+    counts = spark.createDataFrame(rows, "given int, pred int, n long")
+    found = C.weights_of_counts(counts, "given", [0, 1, 2]).collect()
+    assert [(r["label"], r["n"], r["weight"]) for r in found] == [(0, 6, 2.0), (1, 4, 3.0), (2, 0, None)]

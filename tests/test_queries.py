@@ -50,8 +50,11 @@ def test_query_equals_sql(spark, duck, plan, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_without_sql_runs(spark, name):
-    assert QUERIES[name](spark, str(SF_DIR)).count() > 0
+def test_query_without_sql_runs(spark, plan, name):
+    query = QUERIES[name](spark, str(SF_DIR))
+    physical = plan(query).split("== Physical Plan ==")[1]
+    assert not [node for node in NOT_AT_SCALE if node in physical]
+    assert query.count() > 0
 
 
 def test_every_oracle_has_a_query():

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,28 +56,37 @@ def test_missing_strings_and_types(spark, tmp_path):
         assert [r["conspiracy"] for r in rows] == wanted
 
 
-@pytest.mark.parametrize("block, end", [(40, "\n"), (97, "\n"), (64, "\r\n"), (10**6, "\n")])
-@pytest.mark.parametrize("max_broadcast", [10**5, 0])
-def test_large_files_are_split_inside_records(spark, tmp_path, monkeypatch, block, end, max_broadcast):
-    monkeypatch.setattr(posts, "MAX_BROADCAST_BLOCKS", max_broadcast)
-    for name in "ab":
-        rows = []
-        for i in range(60):
-            breaks = "\n".join(f'line {j} ""said"", x' for j in range(i % 5))
-            rows.append(f'{i},"{name} {i}\n{breaks}",LeftTroll' if i % 3 else f"{i},{name} {i},NA")
-        header = '"the\nid",content,account_category' if end == "\n" else "id,content,account_category"
-        (tmp_path / f"{name}.csv").write_bytes(end.join([header, *rows, "", ""]).encode())
-    wanted = posts.read_posts(spark, str(tmp_path)).collect()
-    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+def test_every_file_by_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("content,account_category\nx,LeftTroll\n")
+    (tmp_path / "b.csv").write_text("account_category,content\nRightTroll,y\n")
+    (tmp_path / "c.csv").write_text("n,account_category,more,content\n1,NewsFeed,m,z\n")
+    (tmp_path / "empty.csv").write_text("")
+    assert pairs(posts.read_posts(spark, str(tmp_path))) == [
+        ("x", "LeftTroll"), ("y", "RightTroll"), ("z", "NewsFeed")
+    ]
+    (tmp_path / "d.csv").write_text("content,other\nx,LeftTroll\n")
+    with pytest.raises(ValueError, match="account_category"):
+        posts.read_posts(spark, str(tmp_path))
+
+
+def test_a_quote_inside_a_plain_cell(spark, tmp_path):
+    rows = ['5" nail,LeftTroll', "plain,RightTroll", '7" pipe,Unknown', "last,NewsFeed"]
+    (tmp_path / "a.csv").write_text("\n".join(["content,account_category", *rows]) + "\n")
+    assert len(posts.read_posts(spark, str(tmp_path)).collect()) == 4
+
+
+def test_single_line_files_are_read_in_splits(spark, tmp_path):
+    lines = [f"text {i},LeftTroll" for i in range(3000)]
+    (tmp_path / "a.csv").write_text("\n".join(["content,account_category", *lines]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 10_000)
     spark.conf.set("spark.sql.files.openCostInBytes", 1)
     try:
-        df = posts.read_large_posts(spark, str(tmp_path))
-        got = df.collect()
+        df = posts.read_posts(spark, str(tmp_path), multi_line=False)
+        assert df.rdd.getNumPartitions() >= 5
+        assert df.select("content").distinct().count() == 3000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
-    assert len(wanted) == 120
-    assert sorted(got, key=key) == sorted(wanted, key=key)
 
 
 def test_single_line_files_can_be_split(spark, folder):
@@ -135,13 +146,45 @@ def test_fold_files_keep_all_columns(spark, tmp_path):
     assert sorted(back) == rows
 
 
+def ids_by_batch(spark, path):
+    rows = sinks.read_batches(spark, path, "id bigint").groupBy("batch_id").count().collect()
+    return {r["batch_id"]: r["count"] for r in rows}
+
+
 def test_batches_are_replaced(spark, tmp_path):
     path = str(tmp_path / "batches")
+    assert ids_by_batch(spark, path) == {}
     for n in (3, 5):
         sinks.write_batch(spark.range(n), path, 0)
     sinks.write_batch(spark.range(2), path, 1)
-    got = {r["batch_id"]: r["count"] for r in sinks.read_batches(spark, path).groupBy("batch_id").count().collect()}
-    assert got == {0: 5, 1: 2}
+    assert ids_by_batch(spark, path) == {0: 5, 1: 2}
+
+
+def test_batches_are_compacted(spark, tmp_path):
+    path = str(tmp_path / "batches")
+    assert sinks.compact_batches(spark, path, "id bigint") is None
+    for b in range(3):
+        sinks.write_batch(spark.range(b + 1), path, b)
+    assert sinks.compact_batches(spark, path, "id bigint") == 2
+    assert not list((tmp_path / "batches").glob("batches/batch_id=*"))
+    sinks.write_batch(spark.range(9), path, 3)
+    assert ids_by_batch(spark, path) == {0: 1, 1: 2, 2: 3, 3: 9}
+    # A run that was lost before its table was complete changes nothing.
+    (tmp_path / "batches" / "compacted" / "upto=9").mkdir()
+    assert ids_by_batch(spark, path) == {0: 1, 1: 2, 2: 3, 3: 9}
+    assert sinks.compact_batches(spark, path, "id bigint") == 3
+    assert sinks.compact_batches(spark, path, "id bigint") == 3
+    assert ids_by_batch(spark, path) == {0: 1, 1: 2, 2: 3, 3: 9}
+
+
+def test_scratch_data_is_removed(spark):
+    with session.scratch(spark) as folder:
+        path = session.scratch_path(spark, "x")
+        assert path.startswith(folder)
+        spark.range(3).write.parquet(path)
+        assert spark.read.parquet(path).count() == 3
+    assert not Path(folder.removeprefix("file:")).exists()
+    assert not session.scratch_path(spark, "x").startswith(folder)
 
 
 def test_shared_folder_comes_from_the_session(spark):

@@ -175,3 +175,58 @@ def test_row_helpers(spark):
         ("5", None),
         (None, None),
     ]
+
+
+def test_small_fractions(spark):
+    keys = spark.range(1_000_000)
+    chosen = S.random_split(keys, "id", fraction=1e-5)[0].count()
+    assert 1 <= chosen <= 30
+    assert 90 <= S.random_split(keys, "id", fraction=0.00014)[0].count() <= 200
+    for fraction in (-0.1, 1.5):
+        with pytest.raises(ValueError):
+            S.random_split(keys, "id", fraction=fraction)
+    assert S.random_split(keys, "id", fraction=1.0)[1].count() == 0
+
+
+def folds_of(df):
+    return sorted((r["id"], r["fold"]) for r in df.select("id", "fold").collect())
+
+
+def test_more_classes_than_can_be_broadcast(spark, plan, monkeypatch):
+    label = F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 37)
+    df = spark.range(4000).withColumn("label", label)
+    wanted = folds_of(S.stratified_kfold(df, "label", "id", buckets=16))
+    monkeypatch.setattr(S, "MAX_BROADCAST_CLASSES", 5)
+    got = S.stratified_kfold(df, "label", "id", buckets=16)
+    # The half of the rows in one class gets its cuts from a broadcast.
+    assert "BroadcastHashJoin" in plan(got).split("== Physical Plan ==")[1]
+    assert folds_of(got) == wanted
+
+
+@pytest.mark.parametrize("sort_rows", [1, 7, 100])
+def test_large_buckets_are_counted_again(spark, sort_rows):
+    key = F.when(F.col("id") < 1500, F.col("id")).otherwise(F.col("id") * 1_000_003)
+    df = spark.range(3000).select(key.alias("id"), (F.col("id") % 3).alias("label"))
+    whole = S.class_cuts(df, "label", "id", 5, 4)
+    small = S.class_cuts(df, "label", "id", 5, 4, sort_rows)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, small.collect()))
+
+
+def test_labels_that_are_not_listed(spark):
+    rows = [(i, ["neg", "pos", "odd", None][i % 4], i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, label string, fold int")
+    with pytest.raises(Exception, match="not listed"):
+        S.fold_train_counts(df, "label", ["neg", "pos"], 2).collect()
+    found = S.fold_train_counts(df, "label", ["neg", "pos"], 2, other="pos").collect()
+    assert sum(r["n"] for r in found) == 40
+    apart = S.fold_train_counts(df, "label", ["neg", "pos"], 2, other="rest").collect()
+    assert {r["label"]: r["n"] for r in apart if r["fold"] == 0} == {"neg": 0, "pos": 10, "rest": 10}
+
+
+def test_mark_holdout_equals_holdout(spark):
+    df = spark.createDataFrame([(i, f"f{i % 3}") for i in range(12)], "id int, file_name string")
+    train, test = S.holdout_by_file(df, 1)
+    marked = S.mark_holdout(df, 1)
+    assert sorted(r["id"] for r in marked.filter("in_test").collect()) == sorted(r["id"] for r in test.collect())
+    assert marked.filter("NOT in_test").count() == train.count()
+    assert S.mark_holdout(df, 7).filter("in_test").count() == 0

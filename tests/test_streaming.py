@@ -9,7 +9,7 @@ from labelcorr.functions.text import normalize_text
 from labelcorr.operators import matrix as M
 from labelcorr.operators import quality as Q
 from labelcorr.operators.splits import mark_split
-from labelcorr.plans import classify
+from labelcorr.plans import catalog, classify
 from labelcorr.sources import posts as P
 from labelcorr.streaming import job
 
@@ -74,8 +74,8 @@ def test_stream_equals_batch(spark, tmp_path, lines):
     total = job.stream_total(spark, path, [1.0, 2.0, 3.0]).first()
     scores = Q.evaluate(counts, [1.0, 2.0, 3.0]).first()
     assert tuple(total)[:4] == pytest.approx(tuple(scores))
-    # Two texts, an empty line and an object without the fields.
-    assert total["corrupt"] == 4
+    # Two lines that are no JSON; an empty line, an object without the fields, a post without a text.
+    assert (total["corrupt"], total["no_text"]) == (2, 3)
     assert total["examples"] > 10
 
 
@@ -98,6 +98,35 @@ def test_predictions_of_the_test_posts(spark, tmp_path, lines):
     rows = spark.read.option("header", True).csv(out)
     assert set(rows.columns) == {"ids", "political_bias", "batch_id"}
     assert rows.count() == job.stream_total(spark, path).first()["examples"]
+    assert rows.select("batch_id", "ids").distinct().count() == rows.count()
+
+
+def test_an_empty_stream_gives_zeros(spark, tmp_path):
+    path = str(tmp_path / "nothing")
+    assert [r["n"] for r in job.stream_matrix(spark, path, range(2), range(2)).collect()] == [0] * 4
+    assert job.stream_total(spark, path).first()["examples"] == 0
+    assert job.stream_metrics(spark, path).count() == 0
+
+
+def test_a_new_checkpoint_overwrites_nothing(spark, tmp_path, lines):
+    path = start(spark, tmp_path, lines)
+    before = tuple(job.stream_total(spark, path).first())
+    (tmp_path / "checkpoint").rename(tmp_path / "elsewhere")
+    with pytest.raises(ValueError, match="another checkpoint"):
+        start(spark, tmp_path, lines)
+    assert tuple(job.stream_total(spark, path).first()) == before
+
+
+def test_compacted_results_are_the_same(spark, tmp_path, lines):
+    path = start(spark, tmp_path, lines)
+    before = sorted(map(tuple, job.stream_metrics(spark, path).collect()))
+    assert job.compact_stream(spark, path) == 3
+    assert sorted(map(tuple, job.stream_metrics(spark, path).collect())) == before
+
+
+def test_registered_stream_runs_in_batches(spark):
+    path = catalog._run_events(spark, "/root/testdata/sf0.001")
+    assert job.stream_counts(spark, path).select("batch_id").distinct().count() >= 3
 
 
 def test_strict_stream_counts_unreadable_lines(spark, tmp_path):
@@ -118,13 +147,16 @@ def test_model_on_the_stream(spark, tmp_path, lines):
 
 
 def test_stream_parse_types(spark):
-    values = ['{"content": "x", "account_category": "y"}', "1,foo", '{"content": 5}', None]
+    values = ['{"content": "x", "account_category": "y"}', "1,foo", '{"content": 5}', None, "{}",
+              '{"content": null, "account_category": "y"}']
     df = spark.createDataFrame([(v,) for v in values], "value string")
     assert [tuple(r) for r in job.stream_parse(df).collect()] == [
-        ("x", "y", False),
-        (None, None, True),
-        ("5", None, False),
-        (None, None, False),
+        ("x", "y", False, False),
+        (None, None, True, False),
+        ("5", None, False, False),
+        (None, None, False, True),
+        (None, None, False, True),
+        (None, "y", False, True),
     ]
 
 

@@ -68,15 +68,28 @@ def test_vocabulary_with_markers(docs):
     assert {r["token"]: r["token_id"] for r in rows} == {"[PAD]": 0, "b": 1, "a": 2, "c": 3}
 
 
-@pytest.mark.parametrize("max_broadcast", [10, 0])
+@pytest.mark.parametrize("max_broadcast", [10, 3, 2, 1, 0])
 def test_encode_tokens(docs, max_broadcast):
     vocabulary = V.build_vocabulary(docs, 3)
-    out = V.encode_tokens(docs, vocabulary, "id", -1, max_broadcast=max_broadcast)
+    out = V.encode_tokens(docs, vocabulary, -1, max_broadcast=max_broadcast)
     assert out.columns == ["id", "tokens", "token_ids"]
     got = {r["id"]: r["token_ids"] for r in out.collect()}
     assert got == {1: [1, 0, 0], 2: [2, 0, 1], 3: [], 4: None, 5: [-1]}
 
 
+@pytest.mark.parametrize("max_broadcast", [10, 2, 0])
+def test_encode_tokens_with_nulls_and_equal_keys(spark, docs, max_broadcast):
+    vocabulary = V.build_vocabulary(docs, 3)
+    rows = [(1, ["a", None, "b"]), (1, ["c"]), (None, ["a"]), (None, None), (2, []), (2, [None, "q"])]
+    odd = spark.createDataFrame(rows, "id int, tokens array<string>").repartition(2)
+    out = V.encode_tokens(odd, vocabulary, -1, max_broadcast=max_broadcast)
+    got = sorted((r["id"] or 0, r["token_ids"] is None, r["token_ids"] or []) for r in out.collect())
+    assert got == [
+        (0, False, [0]), (0, True, []), (1, False, [0, -1, 1]), (1, False, [2]), (2, False, []),
+        (2, False, [-1, -1]),
+    ]
+
+
 def test_words_are_cut_once_per_scan(spark, plan):
     rows = spark.createDataFrame([(1, "a b")], "id int, t string")
     tokens = rows.select("id", K.tokenize(F.col("t")).alias("tokens"))
@@ -91,7 +104,7 @@ def test_batch_tokenize(spark):
     tokens = rows.select(K.tokenize(F.col("t")).alias("tokens")).filter("size(tokens) < 10")
     markers = (K.PAD, K.UNK, K.CLS, K.SEP)
     vocabulary = V.build_vocabulary(tokens, 10, markers=markers)
-    out = V.batch_tokenize(rows, vocabulary, "t", "id", unknown_id=1, pad_id=0)
+    out = V.batch_tokenize(rows, vocabulary, "t", unknown_id=1, pad_id=0)
     got = {r["id"]: r for r in out.collect()}
     assert got[1]["input_ids"] == [2, 5, 4, 4, 3] + [0] * 59
     assert got[1]["attention_mask"] == [1] * 5 + [0] * 59
