@@ -3,7 +3,8 @@
 The job, all on Spark tables:
 
 1. One pass over the texts gives each document the number of its shingles, a
-   digest of its set and its sketch: the ``SKETCH`` smallest shingle hashes.
+   digest of its set and its sketch: the ``SKETCH`` smallest shingle hashes, of
+   which the first ``RUNS`` give the lists.
    Documents with equal sets are one class from here on, known by their
    smallest id, so copies cost one row.
 2. Inverted lists of retained values, keyed by runs of values that are next to
@@ -18,7 +19,8 @@ The job, all on Spark tables:
    sets. The links are joined to components, which leaves few lists with several
    components. Those are compared in blocks: common values of two blocks of
    members are counted at once, only pairs that may pass the estimate leave the
-   task. So every pair of a list is compared or already connected.
+   task, each from one of the lists that hold it. So every pair of a list is
+   compared or already connected.
 4. The exact check streams pairs sorted by hub, so a task holds one set of a hub
    and one batch of members, however many copies a group has.
 
@@ -46,9 +48,11 @@ from labelcorr.llm.common import (
 )
 from labelcorr.llm.components import components
 
-SKETCH = 96
+SKETCH = 256  # values kept of each set, from which similarity is estimated
+RUNS = 96  # the smallest of them, which give the lists
+SIGMAS = 6
 LONGEST_RUN = 4
-HUBS = (1, 8)  # per list in the first and the second turn
+HUBS = (4,)  # per list and turn
 BLOCK = 256
 CHUNK = 512
 WANTED_MAPS = 512  # 2 MB
@@ -175,25 +179,28 @@ def sketches(
     return arrow_rows(rows, run, "id long, n long, digest binary, sketch binary")
 
 
+def _keys(n: int, sketch: bytes, threshold: float, bands: list) -> np.ndarray:
+    """The sorted keys of the lists a set of ``n`` shingles is on."""
+    values = np.frombuffer(sketch, "<u4")[:RUNS].astype(np.uint64)
+    found = []
+    for run, low, high in bands:
+        if n >= low * threshold - 1e-9 and n * threshold <= high + 1e-9 and len(values) >= run:
+            key = np.full(len(values) - run + 1, run, np.uint64)
+            for i in range(run):
+                key = _mix(key, values[i : len(values) - run + 1 + i])
+            found.append(key)
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+
+
 def list_entries(sets: DataFrame, threshold: float) -> DataFrame:
     """``(key, id)``: the lists each set is on, one per run of its sketch."""
     bands = run_bands(threshold)
 
-    def keys_of(n: int, sketch: bytes) -> np.ndarray:
-        values = np.frombuffer(sketch, "<u4").astype(np.uint64)
-        found = []
-        for run, low, high in bands:
-            if n >= low * threshold - 1e-9 and n * threshold <= high + 1e-9 and len(values) >= run:
-                key = np.full(len(values) - run + 1, run, np.uint64)
-                for i in range(run):
-                    key = _mix(key, values[i : len(values) - run + 1 + i])
-                found.append(key)
-        return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            keys = [keys_of(n.as_py(), s.as_py()) for n, s in zip(batch.column(1), batch.column(2))]
+            found = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            keys = [_keys(n, sketch, threshold, bands) for n, sketch in found]
             if keys:
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -212,10 +219,14 @@ def _likely(a: bytes, b: bytes, na: int, nb: int, threshold: float) -> bool:
     if cut:
         top = min(v[-1] for v, n in ((x, na), (y, nb)) if len(v) < n)
         x, y = x[: np.searchsorted(x, top, "right")], y[: np.searchsorted(y, top, "right")]
-    common = len(np.intersect1d(x, y))
+    at = np.searchsorted(y, x)
+    common = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)) if len(y) else 0
     union = len(x) + len(y) - common
-    bar = threshold - (7 * math.sqrt(threshold * (1 - threshold) / union) if cut else 1e-9)
-    return common >= bar * union
+    return common >= (threshold - (_slack(threshold, union) if cut else 1e-9)) * union
+
+
+def _slack(threshold: float, n: int) -> float:
+    return SIGMAS * math.sqrt(threshold * (1 - threshold) / n)
 
 
 def estimated(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -223,7 +234,7 @@ def estimated(pairs: DataFrame, threshold: float) -> DataFrame:
 
     Where both sets fit in their sketch the estimate is exact. Otherwise it is
     the share of common values among the smallest of the union, and the bar is
-    seven standard deviations lower.
+    ``SIGMAS`` standard deviations lower.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,9 +402,9 @@ def without_near_duplicates(
 def _linked(reps, docs, id_col, text_col, shingle, percent) -> DataFrame:
     """Links between classes, enough of them to give the same components as all.
 
-    Two turns compare the members of a list with hubs: its smallest id, then the
-    smallest id in each slot of a hash of the id. Lists with several components
-    are then compared in blocks.
+    First the members of a list are compared with its hubs, the smallest id in
+    each slot of a hash of the id. Lists with several components are then
+    compared in blocks.
     """
     threshold = percent / 100
     sets = reps.select(F.col("rep").alias("id"), "n", "sketch")
@@ -440,27 +451,41 @@ def in_blocks(lists: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         (F.col("_block") > F.col("_other")).alias("right"),
         "id", "component", "n", "sketch",
     )
-    cells = cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    # Little data but much work: as many tasks as there are shuffle partitions.
+    tasks = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.repartition(tasks, "key", "x", "y").sortWithinPartitions("key", "x", "y")
 
-    def compare(rows: list[tuple]) -> list[tuple[int, int]]:
-        values = [np.frombuffer(r[4], "<u4") for r in rows]
-        lengths = np.array([len(v) for v in values])
+    bands = run_bands(threshold)
+
+    def shared(values: list[np.ndarray]) -> np.ndarray:
+        """How many values each two rows have in common."""
         _, at, seen = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
         column = np.cumsum(seen > 1) - 1
-        owner = np.repeat(np.arange(len(rows)), lengths)
-        shared = seen[at] > 1
-        grid = np.zeros((len(rows), -(-int((seen > 1).sum()) // 64) * 64 + 64), bool)
-        grid[owner[shared], column[at[shared]]] = True
+        owner = np.repeat(np.arange(len(values)), [len(v) for v in values])
+        several = seen[at] > 1
+        grid = np.zeros((len(values), int((seen > 1).sum()) // 64 * 64 + 64), bool)
+        grid[owner[several], column[at[several]]] = True
         bits = np.packbits(grid, axis=1).view(np.uint64)
-        common = np.stack([np.bitwise_count(bits[i] & bits).sum(1, dtype=np.int64) for i in range(len(rows))])
-        n = np.array([r[3] for r in rows])
-        whole = np.array([r[2] for r in rows])
-        right = np.array([r[0] for r in rows])
-        least = np.minimum(lengths[:, None], lengths[None, :])
-        good = common >= (threshold - 7 * math.sqrt(threshold * (1 - threshold) / SKETCH)) * least - 1e-6
-        good &= whole[:, None] != whole[None, :]
+        return np.stack([np.bitwise_count(row & bits).sum(1, dtype=np.int64) for row in bits])
+
+    def compare(key: int, rows: list[tuple]) -> list[tuple[int, int]]:
+        right, whole, n = (np.array([r[i] for r in rows]) for i in (0, 2, 3))
+        good = whole[:, None] != whole[None, :]
         good &= np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :]) - 1e-6
-        good &= (right[:, None] != right[None, :]) | (not right.any())
+        if right.any():
+            good &= right[:, None] != right[None, :]
+        if not good.any():
+            return []
+        # A pair that shares a smaller key is compared in that list.
+        mine = np.uint64(key % (1 << 64))
+        keys = [_keys(r[3], r[4], threshold, bands) for r in rows]
+        good &= shared([k[: np.searchsorted(k, mine)] for k in keys]) == 0
+        if not good.any():
+            return []
+        values = [np.frombuffer(r[4], "<u4") for r in rows]
+        lengths = np.array([len(v) for v in values])
+        least = np.minimum(lengths[:, None], lengths[None, :])
+        good &= shared(values) >= (threshold - _slack(threshold, SKETCH)) * least - 1e-6
         found = []
         for i, j in zip(*np.nonzero(np.triu(good, 1))):
             a, b = sorted((rows[i], rows[j]), key=lambda r: r[1])
@@ -474,15 +499,12 @@ def in_blocks(lists: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             found = []
             for key, x, y, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if at != (key, x, y):
-                    found += compare_cell(held)
+                    if len(held) > 1:
+                        found += compare(at[0], held)
                     at, held = (key, x, y), []
-                # as (right, id, component, n, sketch)
-                held.append(tuple(row))
+                held.append(row)  # right, id, component, n, sketch
             yield _pairs(found)
-        yield _pairs(compare_cell(held))
-
-    def compare_cell(held: list[tuple]) -> list[tuple[int, int]]:
-        return compare(held) if len(held) > 1 else []
+        yield _pairs(compare(at[0], held) if len(held) > 1 else [])
 
     return arrow_rows(cells, run, "a long, b long")
 
