@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -18,8 +19,8 @@ from labelcorr.llm.common import arrow_rows, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHED_WORDS = 400_000
-CACHED_PAIRS = 2_000_000
+CACHED_WORDS = 500_000
+CACHED_PAIRS = 1_000_000
 LONG_WORD = 200
 
 
@@ -67,24 +68,29 @@ class Transducer:
         self.prefix = SPACE if spec["dummy_prefix"] else ""
         if any(re.search(f"[^{SPACE}]{SPACE}|[\n\t]", p) for p in self.ids):
             raise ValueError("a piece crosses the border of a word")
-        self.longest = max(map(len, self.ids))
+        self.starts = {p[:i] for p in self.ids for i in range(1, len(p) + 1)}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.cut = re.compile(f"{SPACE}*[^{SPACE}\n\t]+|{SPACE}+|[\n\t]").findall
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging by score gives; of equal scores the leftmost first."""
+        ids, scores = self.ids, self.scores
         parts = list(text)
-        while len(parts) > 1:
+        of = [ids.get(a + b) for a, b in zip(parts, parts[1:])]
+        while True:
             best, at = -math.inf, -1
-            for i in range(len(parts) - 1):
-                found = self.ids.get(parts[i] + parts[i + 1])
-                if found is not None and self.scores[found] > best:
-                    best, at = self.scores[found], i
+            for i, found in enumerate(of):
+                if found is not None and scores[found] > best:
+                    best, at = scores[found], i
             if at < 0:
-                break
+                return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+            del of[at]
+            if at:
+                of[at - 1] = ids.get(parts[at - 1] + parts[at])
+            if at < len(of):
+                of[at] = ids.get(parts[at] + parts[at + 1])
 
     def may_follow(self, a: int, b: int) -> bool:
         """Is the weight of the arc for piece ``b`` after ``a`` finite? ``a`` is -1 at a start."""
@@ -97,35 +103,58 @@ class Transducer:
             self.pairs[a, b] = known
         return known
 
+    def _arcs(self, word: str, at: int) -> list[tuple[int, int]]:
+        """``(end, piece)`` of the arcs that read ``word`` from ``at``, shortest first.
+
+        A character without a piece has one arc, for its bytes, with piece -1.
+        """
+        found, n, ids, starts = [], len(word), self.ids, self.starts
+        end = at + 1
+        while end <= n:
+            part = word[at:end]
+            if part not in starts:
+                break
+            piece = ids.get(part)
+            if piece is not None:
+                found.append((end, piece))
+            end += 1
+        if not found or found[0][0] > at + 1:
+            found.insert(0, (at + 1, -1))
+        return found
+
     def shortest_path(self, word: str) -> tuple[int, ...]:
         """The pieces on the path of finite weight through the composition with ``word``."""
-        n = len(word)
-        path: list[tuple[int, int]] = []  # (end, piece); -1 stands for bytes
+        n, pairs = len(word), self.pairs
+        path: list[tuple[int, int]] = []
+        open_arcs = [self._arcs(word, 0)]
         dead: set[tuple[int, int]] = set()
-        at, last, length = 0, -1, min(self.longest, n)
-        while at < n:
-            step = None
-            while length > 0:
-                piece = self.ids.get(word[at : at + length])
-                if piece is not None:
-                    if (at + length, piece) not in dead and self.may_follow(last, piece):
-                        step = (at + length, piece)
-                        break
-                elif length == 1:
-                    step = (at + 1, -1) if (at + 1, -1) not in dead else None
-                    break
-                length -= 1
-            if step is None:
+        last = -1
+        while not path or path[-1][0] < n:
+            arcs = open_arcs[-1]
+            while arcs:
+                arc = arcs.pop()
+                piece = arc[1]
+                if arc in dead:
+                    continue
+                if piece >= 0:
+                    known = pairs.get((last, piece))
+                    if known is None:
+                        known = self.may_follow(last, piece)
+                    if not known:
+                        continue
+                path.append(arc)
+                last = piece
+                if arc[0] < n:
+                    open_arcs.append(self._arcs(word, arc[0]))
+                break
+            else:
+                open_arcs.pop()
                 if not path:
                     raise ValueError("no path")
-                dead.add(path[-1])
-                end, piece = path.pop()
-                at, last = path[-1] if path else (0, -1)
-                length = end - at - 1
-                continue
-            path.append(step)
-            at, last = step
-            length = min(self.longest, n - at)
+                dead.add(path.pop())
+                last = path[-1][1] if path else -1
+        if all(piece >= 0 for _, piece in path):
+            return tuple([piece for _, piece in path])
         found: list[int] = []
         for end, piece in path:
             if piece >= 0:
@@ -192,6 +221,21 @@ def normaliser_of(model: bytes) -> dict:
     }
 
 
+@lru_cache(maxsize=1)
+def compiled(model: bytes) -> Transducer:
+    """The machine of a model, kept with what it has learnt for the next tasks of a worker."""
+    return Transducer(model)
+
+
+def _machine(model: bytes) -> Transducer:
+    """From the installed package where a worker has it, which keeps the machine between tasks."""
+    try:
+        from labelcorr.llm import pieces
+    except ImportError:
+        return Transducer(model)
+    return pieces.compiled(model)
+
+
 def read_model(path: str) -> bytes:
     with open(path, "rb") as file:
         return file.read()
@@ -210,7 +254,7 @@ def encoded(
     id_type = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(proto)
+        machine = _machine(proto)
         for batch in batches:
             found = [machine.encode(t.as_py().decode()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found)], ["id", "ids"])
@@ -228,7 +272,7 @@ def decoded(
     id_type = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(proto)
+        machine = _machine(proto)
         for batch in batches:
             texts = [machine.decode(ids.as_py()) for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
@@ -251,7 +295,7 @@ def round_trips(
     id_type = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(proto)
+        machine = _machine(proto)
         for batch in batches:
             ids, digests, same = [], [], []
             for value in batch.column(1):
