@@ -20,7 +20,8 @@ def exact_duplicates(
     Texts are equal when identical after lower-casing A-Z; null counts as empty.
     Of equal texts the row with the largest id is kept. ``_row`` numbers the rows
     of the input; of rows that repeat id and text only the last one is kept, so
-    every group keeps exactly one row. A null id is smaller than any other. An
+    every group keeps exactly one row; ``docs`` has to give its rows in the same
+    order each time, as a table does. A null id is smaller than any other. An
     empty table gives an empty result; other columns are not looked at.
 
     Rows first meet by length, then by a hash of their first characters, and a

@@ -88,7 +88,8 @@ def write_archives(
     reads. Of rows with equal payloads of at least ``min_bytes`` the one with the
     largest id holds the payload, the others refer to it. A null payload is
     empty; null ids and urls stay null; rows that repeat an id are records of
-    their own, the last of equal ones being the response. Control characters of
+    their own, the last of equal ones being the response; ``pages`` has to give its
+    rows in the same order each time, as a table does. Control characters of
     a url are percent-encoded. An empty table gives an empty index.
     """
     types = record_types(pages, id_col, payload_col, min_bytes)

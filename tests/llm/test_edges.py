@@ -67,7 +67,7 @@ def test_exact_duplicates(stored):
 def test_near_duplicates(stored):
     rows = near_dedup.near_duplicates(stored, shingle=2).collect()
     found = {r["id"]: (r["n_shingles"], r["component"]) for r in rows if r["id"] is not None}
-    assert found[1] == found[2] == (12, 1)
+    assert found[1] == found[2] == (13, 1)
     assert found[3] == (0, 3) and found[4] == (0, 4) and found[7] == (0, 7)
     assert found[5][1] == found[6][1] == 5 and found[8] == (4, 8)
     assert [r["component"] for r in rows if r["id"] is None] == [None, None]
