@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 META_SCHEMA = "axis string, fold int, candidate int, f1 double, loss double, accuracy double"
 
 
-def model_name(axis: str, fold: int, candidate: int, f1: float) -> str:
-    """Name with axis, fold, the best candidate and its F1 to three places."""
-    return f"{axis}_CV{fold}_e{candidate}_{round(f1, 3)}"
+def model_name(axis: str, fold: int, candidate: int) -> str:
+    """Folder of a model; its scores are stored with it, not in the name."""
+    return f"{axis}-fold-{fold}-candidate-{candidate}"
 
 
 def save_model(
@@ -26,7 +26,7 @@ def save_model(
     accuracy: float | None = None,
 ) -> str:
     """Save the model and one row about it; returns the path."""
-    path = f"{directory.rstrip('/')}/{model_name(axis, fold, candidate, f1)}"
+    path = f"{directory.rstrip('/')}/{model_name(axis, fold, candidate)}"
     model.write().overwrite().save(f"{path}/model")
     values = (axis, fold, candidate, f1, loss, accuracy)
     spark.createDataFrame([values], META_SCHEMA).write.mode("overwrite").json(f"{path}/about")

@@ -135,7 +135,7 @@ def test_any_scorer(spark):
 
 def test_save_and_load(spark, tmp_path, prepared, model):
     path = models.save_model(spark, model, str(tmp_path), "political_bias", 0, 5, 0.68149, accuracy=0.7)
-    assert path.endswith("/political_bias_CV0_e5_0.681")
+    assert path.endswith("/political_bias-fold-0-candidate-5")
     models.save_model(spark, model, str(tmp_path), "political_bias", 1, 2, 0.9)
     back, about = models.load_model(spark, path)
     assert about == {
@@ -146,4 +146,4 @@ def test_save_and_load(spark, tmp_path, prepared, model):
     assert old.exceptAll(new).count() == 0
     listed = models.list_models(spark, str(tmp_path)).collect()
     assert [r["f1"] for r in listed] == [0.9, 0.68149]
-    assert listed[1]["path"].endswith("political_bias_CV0_e5_0.681")
+    assert listed[1]["path"].endswith("political_bias-fold-0-candidate-5")
