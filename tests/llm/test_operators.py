@@ -149,7 +149,7 @@ def test_battery_tells_random_tokens_from_text(spark):
     rows = []
     for i in range(900):
         token = "".join(rng.choices(b64, k=rng.choice([32, 40]))) + "4xY"
-        plain = "version2019" + "aaaabbbbcccc" * 2 + "1111111111"
+        plain = "version2019" + "northnorthss" * 2 + "1111111111"
         rows.append((i, f"{prose} {token if i % 3 else plain} {prose}"))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r["id"]: len(r["found"]) for r in secrets.secrets(docs).collect()}
