@@ -25,6 +25,7 @@ KINDS = ("assign", "access", "hex", "random")
 MIN_TOKEN = 16
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_TOKEN)
 FALSE_DISCOVERY_RATE = 0.01
+REJECTED = 0.01  # p-values below it count as not random, whatever the decoys
 SCORE_BINS = 40  # of the combined p-value, four to a decade
 # Alphabets from narrow to wide; a token belongs to the first that has all its characters.
 ENCODINGS = {
@@ -176,7 +177,8 @@ def bars(scanned: DataFrame, rate: float) -> dict[int, int]:
 
     Tokens and decoys are counted per band and bin over the whole corpus. Up to
     a bin, decoys (and one more) over tokens estimate the share of plain text
-    among what would be reported. Bands and bins are few, whatever the corpus.
+    among what would be reported. Tokens that the tests reject are never reported.
+    Bands and bins are few, whatever the corpus.
     """
     def counted(col: str, width: int, band: int) -> DataFrame:
         cells = F.transform(
@@ -200,7 +202,7 @@ def bars(scanned: DataFrame, rate: float) -> dict[int, int]:
                     counts[r["bin"]] += r["count"]
         t, d = t.cumsum(), d.cumsum()
         good = np.nonzero((t > 0) & ((d + 1) <= rate * t))[0]
-        found[band] = int(good[-1]) if len(good) else -1
+        found[band] = min(int(good[-1]), score_bin(REJECTED) - 1) if len(good) else -1
     return found
 
 
