@@ -173,7 +173,9 @@ def read_archives(index: DataFrame, root: str, payloads: bool = True) -> DataFra
     ``payload`` (null in a revisit) unless left out.
     """
     wanted = index.select("file", "offset", "length", F.expr(f"offset div {4 * READ_BYTES}").alias("block"))
-    wanted = wanted.repartition("file", "block").sortWithinPartitions("file", "offset")
+    # A small index can select much to read: as many tasks as there are shuffle partitions.
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = wanted.repartition(tasks, "file", "block").sortWithinPartitions("file", "offset")
     fields = [("id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()),
               ("payload_digest", pa.string()), ("record_type", pa.string()),
               ("refers_to", pa.int64()), ("payload", pa.binary())]
