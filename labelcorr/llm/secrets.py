@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,19 @@ KINDS = ("assign", "access", "hex", "random")
 MIN_TOKEN = 16
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_TOKEN)
 FALSE_DISCOVERY_RATE = 0.01
-REJECTED = 0.01  # p-values below it count as not random, whatever the decoys
-SCORE_BINS = 40  # of the combined p-value, four to a decade
+REJECTED = 0.01  # p-values below it count as not random, however unlike prose
+EVIDENCE_BINS = 800  # of the evidence against prose, two to a unit of its logarithm
+JUMP = 0.1  # how often plain text is taken to go on as if anew: joined words, separators
+BACK = 5.0  # places that single characters weigh against the pairs seen after one
+# What prose looks like where a corpus has next to none; numbers are taken to be even.
+PRIOR = """
+The people of the town came to see what had been done with the water in the old river. Some said
+that it would take more than a year before anything could be used again, and others thought that
+the work should go on as long as there was money for it. Information about the application was
+given to every member of the international organization, which made a number of interesting
+changes to the development and administration of public services. When they were asked for their
+opinion, just a few of them questioned the quality of the result; they knew how expensive it was.
+"""
 # Alphabets from narrow to wide; a token belongs to the first that has all its characters.
 ENCODINGS = {
     "digits": "0123456789",
@@ -110,100 +122,163 @@ def randomness(token: str, encoding: str) -> float:
     return min(1.0, 3 * min(p_chi, p_runs, p_serial))
 
 
-def length_band(n: int) -> int:
-    """Four bands per doubling of the length."""
-    return int(4 * math.log2(n))
-
-
-def score_bin(p: float) -> int:
-    """0 for the most random tokens, one more for each quarter of a decade of the p-value."""
-    return min(SCORE_BINS - 1, int(-4 * math.log10(max(p, 1e-12))))
-
-
 def _looks_opaque(token: str) -> bool:
     """Digits and letters mixed: neither a word nor a number."""
     digits = sum(c.isdigit() for c in token)
     return 0 < digits < len(token)
 
 
-def candidates(text: str) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
-    """Opaque tokens ``(start, end, band, bin)``, and ``(band, bin)`` of as many decoys.
+PLACES = np.full(128, len(ENCODINGS["mixed"]))
+PLACES[[ord(c) for c in ENCODINGS["mixed"]]] = np.arange(len(ENCODINGS["mixed"]))
+OUTSIDE = len(ENCODINGS["mixed"])
+
+
+def places(text: str) -> np.ndarray:
+    """Per character its place in the widest alphabet, ``OUTSIDE`` for all others."""
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    return PLACES[np.minimum(codes, 127)]
+
 
-    The decoy of a token is as many letters of the prose around it, read in the
-    same alphabet: what a token of this length looks like if it is only text.
+def pairs_of(at: np.ndarray) -> np.ndarray:
+    """Counts of neighbouring places; a text starts after a character outside."""
+    side = OUTSIDE + 1
+    before = np.concatenate([[OUTSIDE], at[:-1]])
+    return np.bincount(before * side + at, minlength=side * side)
+
+
+class Prose:
+    """What a token looks like if it is only text: characters that follow one another as in prose.
+
+    Learnt from the pairs of neighbouring characters of all documents, outside
+    of candidates and base spans, as written and in capitals. With probability
+    ``JUMP`` a character does not depend on the one before it.
     """
-    found, decoys = [], []
+
+    def __init__(self, pairs: np.ndarray):
+        side = OUTSIDE + 1
+        seen = (pairs + pairs_of(places(PRIOR))).reshape(side, side).astype(float)
+        seen[:10, :10] += 1.0
+        shouted = np.zeros_like(seen)
+        capital = np.append(PLACES[[ord(c.upper()) for c in ENCODINGS["mixed"]]], OUTSIDE)
+        np.add.at(shouted, (capital[:, None], capital[None, :]), seen)
+        seen = (seen + shouted)[:, :OUTSIDE]
+        single = (seen.sum(0) + 1) / (seen.sum() + OUTSIDE)
+        after = (seen + BACK * single) / (seen.sum(1, keepdims=True) + BACK)
+        self.logs = np.log((1 - JUMP) * after + JUMP * single)
+
+    def evidence(self, token: str) -> float:
+        """Logarithm of an e-value against prose: of a token from it, ``exp`` is 1 or less on average.
+
+        How much likelier the token is if drawn evenly from one of the alphabets,
+        all equally likely, than as prose of the same length. Only the token's
+        own alphabet is counted, which makes it smaller.
+        """
+        at = places(token)
+        as_prose = self.logs[np.concatenate([[OUTSIDE], at[:-1]]), at].sum()
+        size = len(ENCODINGS[encoding_of(token)])
+        return float(-len(token) * math.log(size) - math.log(len(ENCODINGS)) - as_prose)
+
+    def evidence_bin(self, token: str) -> int:
+        """The evidence in halves, rounded down; -1 if there is none or the battery rejected."""
+        return max(-1, min(EVIDENCE_BINS - 1, math.floor(2 * self.evidence(token)))) if token else -1
+
+
+def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Opaque tokens ``(start, end, token)`` that overlap no base span; no token if the battery rejects."""
+    found = []
     for m in TOKEN.finditer(text):
         token = m.group().rstrip("=")
-        if not _looks_opaque(token):
+        if not _looks_opaque(token) or any(s < m.end() and e > m.start() for s, e, _ in base):
             continue
-        band, n = length_band(len(token)), len(token)
-        found.append((m.start(), m.end(), band, score_bin(randomness(token, encoding_of(token)))))
-        near = text[max(0, m.start() - 4 * n - 64) : m.start()] + text[m.end() : m.end() + 4 * n + 64]
-        prose = "".join(c for c in near if c.isascii() and c.isalpha())[:n]
-        if len(prose) == n:
-            decoys.append((band, score_bin(randomness(prose, encoding_of(prose)))))
-    return found, decoys
+        random = randomness(token, encoding_of(token)) >= REJECTED
+        found.append((m.start(), m.end(), token if random else ""))
+    return found
+
+
+def prose_pairs(text: str, base: list[tuple[int, int, str]]) -> np.ndarray:
+    """Counts of neighbouring characters outside of base spans and of all tokens long enough."""
+    at = places(text)
+    if not len(at):
+        return np.zeros((OUTSIDE + 1) ** 2, np.int64)
+    for start, end in [m.span() for m in TOKEN.finditer(text)] + [s[:2] for s in base]:
+        at[start:end] = OUTSIDE
+    return pairs_of(at)
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row the base spans, the candidates and the decoys, in one pass over whole texts."""
+    """Per row the base spans and the candidates, in one pass over whole texts.
+
+    One more row per task, the only ones with ``pairs``, has the counts of prose.
+    """
     rows = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
     id_type = dict(rows.dtypes)["id"]
     numbers = pa.list_(pa.int64())
+    names = ["id", "base", "tokens", "words", "pairs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.zeros((OUTSIDE + 1) ** 2, np.int64)
+        kind = None
         for batch in batches:
-            base, tokens, decoys = [], [], []
+            kind = batch.column(0).type
+            base, tokens, words = [], [], []
             for value in batch.column(1):
                 text = value.as_py().decode()
                 spans = base_spans(text)
-                base.append([x for s, e, kind in spans for x in (s, e, KINDS.index(kind))])
-                found, decoy = candidates(text)
-                tokens.append([x for t in found for x in t])
-                decoys.append([x for t in decoy for x in t])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, numbers) for c in (base, tokens, decoys)]],
-                ["id", "base", "tokens", "decoys"],
-            )
+                base.append([x for s, e, kind_of in spans for x in (s, e, KINDS.index(kind_of))])
+                found = candidates(text, spans)
+                tokens.append([x for s, e, _ in found for x in (s, e)])
+                words.append([token for _, _, token in found])
+                pairs += prose_pairs(text, spans)
+            columns = [pa.array(base, numbers), pa.array(tokens, numbers), pa.array(words, pa.list_(pa.string()))]
+            none = pa.nulls(len(base), numbers)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, none], names)
+        if kind is not None:
+            empty = [pa.nulls(1, t) for t in (kind, numbers, numbers, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array([pairs.tolist()], numbers)], names)
 
     return arrow_rows(
-        rows, run, f"id {id_type}, base array<long>, tokens array<long>, decoys array<long>"
+        rows,
+        run,
+        f"id {id_type}, base array<long>, tokens array<long>, words array<string>, pairs array<long>",
     )
 
 
-def bars(scanned: DataFrame, rate: float) -> dict[int, int]:
-    """Per length band the largest score bin that keeps the false discovery rate.
+def learnt(scanned: DataFrame) -> Prose:
+    """The prose of the whole corpus: one sum per pair of characters, 4,489 at most."""
+    cells = scanned.filter("pairs IS NOT NULL").select(F.posexplode("pairs").alias("at", "n"))
+    pairs = np.zeros((OUTSIDE + 1) ** 2, np.int64)
+    for r in cells.groupBy("at").agg(F.sum("n").alias("n")).collect():
+        pairs[r["at"]] = r["n"]
+    return Prose(pairs)
+
+
+def bar(rows: DataFrame, prose: Prose, rate: float) -> int:
+    """The smallest evidence, in bins, that keeps the false discovery rate.
 
-    Tokens and decoys are counted per band and bin over the whole corpus. Up to
-    a bin, decoys (and one more) over tokens estimate the share of plain text
-    among what would be reported. Tokens that the tests reject are never reported.
-    Bands and bins are few, whatever the corpus.
+    Benjamini and Hochberg's rule for e-values, which holds however the tokens
+    depend on each other: of ``m`` tokens the ``k`` with the most evidence are
+    reported if each has an e-value of ``m / (rate k)``. Each token has its own
+    length's and alphabet's e-value, so a token alone can be reported. The
+    tokens are counted per bin over the whole corpus.
     """
-    def counted(col: str, width: int, band: int) -> DataFrame:
-        cells = F.transform(
-            F.when(F.size(col) > 0, F.expr(f"sequence(0, size({col}) div {width} - 1)")).otherwise(
-                F.array().cast("array<int>")
-            ),
-            lambda i: F.struct(
-                F.get(col, i * width + band).alias("band"), F.get(col, i * width + band + 1).alias("bin")
-            ),
-        )
-        return scanned.select(F.explode(cells).alias("c")).groupBy("c.band", "c.bin").count()
-
-    tokens, decoys = counted("tokens", 4, 2).collect(), counted("decoys", 2, 0).collect()
-    found = {}
-    for band in {r["band"] for r in tokens}:
-        t = np.zeros(SCORE_BINS)
-        d = np.zeros(SCORE_BINS)
-        for counts, rows in ((t, tokens), (d, decoys)):
-            for r in rows:
-                if r["band"] == band:
-                    counts[r["bin"]] += r["count"]
-        t, d = t.cumsum(), d.cumsum()
-        good = np.nonzero((t > 0) & ((d + 1) <= rate * t))[0]
-        found[band] = min(int(good[-1]), score_bin(REJECTED) - 1) if len(good) else -1
-    return found
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = Counter(prose.evidence_bin(w) for words in batch.column(0).to_pylist() for w in words)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(bins), pa.int64()), pa.array(list(bins.values()), pa.int64())], ["bin", "n"]
+            )
+
+    counted = arrow_rows(rows.select("words"), run, "bin long, n long")
+    counts = np.zeros(EVIDENCE_BINS + 1)
+    for r in counted.groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        counts[r["bin"]] = r["n"]  # -1 is the last
+    m, least = counts.sum(), EVIDENCE_BINS
+    reported = np.cumsum(counts[-2::-1])[::-1]
+    for at in range(EVIDENCE_BINS):
+        if reported[at] and at / 2 >= math.log(m / (rate * reported[at])):
+            least = at
+            break
+    return least
 
 
 def secrets(
@@ -215,21 +290,23 @@ def secrets(
     """``(id, base, found)`` per row: spans as ``array<struct<kind, start, end>>`` in order.
 
     ``base`` has the spans of the fixed patterns, ``found`` also those of opaque
-    tokens that pass the battery at the bar of their length and overlap no base
-    span. Offsets count code points. Null texts are empty and have no spans;
-    repeated rows are each returned; other columns are not looked at; an empty
-    table gives an empty result.
+    tokens that overlap no base span, pass the battery and are unlike prose
+    beyond the bar. Offsets count code points. Null texts are empty and have no
+    spans; repeated rows are each returned; other columns are not looked at; an
+    empty table gives an empty result.
     """
     scanned = written(scan(docs, id_col, text_col), "scanned")
-    limit = bars(scanned, rate)
+    rows = scanned.filter("pairs IS NULL")
+    prose = learnt(scanned)
+    least = bar(rows, prose, rate)
 
-    def chosen(base: list[int], tokens: list[int]) -> tuple[list, list]:
+    def chosen(base: list[int], tokens: list[int], words: list[str]) -> tuple[list, list]:
         spans = [(base[i], base[i + 1], KINDS[base[i + 2]]) for i in range(0, len(base), 3)]
-        more = []
-        for i in range(0, len(tokens), 4):
-            start, end, band, at = tokens[i : i + 4]
-            if at <= limit.get(band, -1) and all(e <= start or s >= end for s, e, _ in spans):
-                more.append((start, end, "random"))
+        more = [
+            (tokens[2 * i], tokens[2 * i + 1], "random")
+            for i, word in enumerate(words)
+            if prose.evidence_bin(word) >= least
+        ]
         return spans, in_order(spans + more)
 
     id_type = dict(scanned.dtypes)["id"]
@@ -237,7 +314,7 @@ def secrets(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [chosen(b.as_py(), t.as_py()) for b, t in zip(batch.column(1), batch.column(2))]
+            both = [chosen(*row) for row in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
             sides = [
                 pa.array([[{"kind": k, "start": s, "end": e} for s, e, k in x[i]] for x in both], span)
                 for i in (0, 1)
@@ -246,5 +323,5 @@ def secrets(
 
     spans = "array<struct<kind: string, start: long, end: long>>"
     return arrow_rows(
-        scanned.select("id", "base", "tokens"), run, f"id {id_type}, base {spans}, found {spans}"
+        rows.select("id", "base", "tokens", "words"), run, f"id {id_type}, base {spans}, found {spans}"
     )

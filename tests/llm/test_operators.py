@@ -158,6 +158,19 @@ def test_battery_tells_random_tokens_from_text(spark):
     assert sum(found[i] for i in found if i % 3 == 0) == 0
 
 
+@needs_data
+@pytest.mark.parametrize("n, alphabet", [(20, "base62"), (32, "base64"), (88, "base64"), (71, "base62")])
+def test_a_single_planted_secret_is_found(spark, n, alphabet):
+    """Whatever its length, and no other token of the documents around it."""
+    rng = random.Random(n)
+    token = "".join(rng.choices(secrets.ENCODINGS[alphabet], k=n - 4)) + "4xY7"
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    planted = docs.unionByName(spark.createDataFrame([(-1, f"keep {token} safe")], docs.schema))
+    found = {r["id"]: r["found"] for r in secrets.secrets(planted).collect()}
+    assert [tuple(s) for s in found[-1]] == [("random", 5, 5 + n)]
+    assert all(s["kind"] != "random" for i in found if i != -1 for s in found[i])
+
+
 def test_fingerprints_follow_the_rule(spark):
     rng = random.Random(6)
     texts = ["".join(rng.choices("abcdé 中🙂", k=rng.choice([0, 1, 3, 11, 40, 900, 5000]))) for _ in range(40)]
