@@ -29,6 +29,7 @@ FALSE_DISCOVERY_RATE = 0.01
 REJECTED = 0.01  # p-values below it count as not random, however unlike prose
 EVIDENCE_BINS = 800  # of the evidence against prose, two to a unit of its logarithm
 JUMP = 0.1  # how often plain text is taken to go on as if anew: joined words, separators
+EVEN = 0.1  # share of the digits of plain numbers that are taken to be drawn evenly
 BACK = 5.0  # places that single characters weigh against the pairs seen after one
 # What prose looks like where a corpus has next to none; numbers are taken to be even.
 PRIOR = """
@@ -44,8 +45,12 @@ ENCODINGS = {
     "digits": "0123456789",
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
+    "lower": "abcdefghijklmnopqrstuvwxyz",
+    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "lower36": "abcdefghijklmnopqrstuvwxyz0123456789",
+    "upper36": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
@@ -122,12 +127,6 @@ def randomness(token: str, encoding: str) -> float:
     return min(1.0, 3 * min(p_chi, p_runs, p_serial))
 
 
-def _looks_opaque(token: str) -> bool:
-    """Digits and letters mixed: neither a word nor a number."""
-    digits = sum(c.isdigit() for c in token)
-    return 0 < digits < len(token)
-
-
 PLACES = np.full(128, len(ENCODINGS["mixed"]))
 PLACES[[ord(c) for c in ENCODINGS["mixed"]]] = np.arange(len(ENCODINGS["mixed"]))
 OUTSIDE = len(ENCODINGS["mixed"])
@@ -151,13 +150,20 @@ class Prose:
 
     Learnt from the pairs of neighbouring characters of all documents, outside
     of candidates and base spans, as written and in capitals. With probability
-    ``JUMP`` a character does not depend on the one before it.
+    ``JUMP`` a character does not depend on the one before it. Half of the long
+    tokens are taken to be numbers, with digits that follow as in prose or are even.
     """
 
     def __init__(self, pairs: np.ndarray):
         side = OUTSIDE + 1
         seen = (pairs + pairs_of(places(PRIOR))).reshape(side, side).astype(float)
-        seen[:10, :10] += 1.0
+        digits = PLACES[[ord(c) for c in ENCODINGS["digits"]]]
+        seen[np.ix_(digits, digits)] += 1.0
+        numbers = seen[np.ix_(digits, digits)]
+        numbers = (1 - EVEN) * numbers / numbers.sum(1, keepdims=True) + EVEN / len(digits)
+        self.numbers = np.full((side, OUTSIDE), -np.inf)
+        self.numbers[np.ix_(digits, digits)] = np.log(numbers)
+        self.numbers[OUTSIDE, digits] = -math.log(len(digits))
         shouted = np.zeros_like(seen)
         capital = np.append(PLACES[[ord(c.upper()) for c in ENCODINGS["mixed"]]], OUTSIDE)
         np.add.at(shouted, (capital[:, None], capital[None, :]), seen)
@@ -174,7 +180,9 @@ class Prose:
         own alphabet is counted, which makes it smaller.
         """
         at = places(token)
-        as_prose = self.logs[np.concatenate([[OUTSIDE], at[:-1]]), at].sum()
+        before = np.concatenate([[OUTSIDE], at[:-1]])
+        as_text, as_number = self.logs[before, at].sum(), self.numbers[before, at].sum()
+        as_prose = np.logaddexp(as_text, as_number) - math.log(2)
         size = len(ENCODINGS[encoding_of(token)])
         return float(-len(token) * math.log(size) - math.log(len(ENCODINGS)) - as_prose)
 
@@ -184,11 +192,11 @@ class Prose:
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Opaque tokens ``(start, end, token)`` that overlap no base span; no token if the battery rejects."""
+    """Tokens of any characters ``(start, end, token)`` that overlap no base span; no token if the battery rejects."""
     found = []
     for m in TOKEN.finditer(text):
         token = m.group().rstrip("=")
-        if not _looks_opaque(token) or any(s < m.end() and e > m.start() for s, e, _ in base):
+        if any(s < m.end() and e > m.start() for s, e, _ in base):
             continue
         random = randomness(token, encoding_of(token)) >= REJECTED
         found.append((m.start(), m.end(), token if random else ""))

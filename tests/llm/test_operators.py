@@ -171,6 +171,25 @@ def test_a_single_planted_secret_is_found(spark, n, alphabet):
     assert all(s["kind"] != "random" for i in found if i != -1 for s in found[i])
 
 
+@needs_data
+def test_secrets_without_digits_or_letters_are_tested(spark):
+    """Keys of letters only are found among long words and numbers; digits where numbers are not even."""
+    rng = random.Random(11)
+    keys = ["".join(rng.choices(secrets.ENCODINGS[e], k=28)) for e in ("letters", "lower", "upper")]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    planted = docs.unionByName(
+        spark.createDataFrame([(-1 - i, f"keep {key} safe") for i, key in enumerate(keys)], docs.schema)
+    )
+    found = {r["id"]: r["found"] for r in secrets.secrets(planted).collect()}
+    assert [[tuple(s) for s in found[-1 - i]] for i in range(3)] == [[("random", 5, 33)]] * 3
+    assert all(s["kind"] != "random" for i in found if i >= 0 for s in found[i])
+    calls = "dial 1234567890 or 0123456789 for internationalization " * 40
+    key = "".join(rng.choices("0123456789", k=23))
+    docs = spark.createDataFrame([(0, calls), (1, f"keep {key} safe")], "doc_id long, text string")
+    found = {r["id"]: r["found"] for r in secrets.secrets(docs).collect()}
+    assert found[0] == [] and [tuple(s) for s in found[1]] == [("random", 5, 28)]
+
+
 def test_fingerprints_follow_the_rule(spark):
     rng = random.Random(6)
     texts = ["".join(rng.choices("abcdé 中🙂", k=rng.choice([0, 1, 3, 11, 40, 900, 5000]))) for _ in range(40)]
