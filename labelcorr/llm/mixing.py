@@ -18,6 +18,7 @@ from labelcorr.llm.common import training_rows, written
 MAX_TRAINING_ROWS = 20_000
 MAX_STEPS = 30
 TOLERANCE = 1e-4  # of the wanted tokens
+WEIGHTS = tuple(10.0**-k for k in range(4, 15, 2))  # of the distance to the present rates
 DOMAINS = ("clean_high", "clean_low", "toxic")
 SIGNALS = ("log_words", "mean_word", "symbols", "shouted", "bangs", "pipes", "insults")
 INSULTS = "idiot moron loser clown scum trash pathetic worthless disgusting stupid fool bastard asshole"
@@ -113,7 +114,7 @@ def fit_domains(
 
 @dataclass(frozen=True)
 class Mixture:
-    """The steps of the fit; the rate of a document follows from its posteriors alone."""
+    """The fitted steps along the posteriors; the rate of a document follows from its posteriors alone."""
 
     least: float
     steps: tuple[tuple[float, ...], ...] = field(default=())
@@ -142,15 +143,17 @@ def fit_rates(
     """Least squares: nonnegative rates whose expected tokens per domain meet the target.
 
     ``members`` has ``_tokens`` and a column per domain with its posterior. With
-    ``s`` the expected tokens per domain at the present rates, ``b`` the wanted
-    ones and ``M`` the sum of tokens times posteriors times posteriors over the
-    documents whose rate is above ``least``, each step moves every rate by
-    ``-p M^-1 (s - b)``, the gradient of the squared residual scaled by the
-    documents that can still move, and projects it back to ``least`` or more. A
-    step that makes the residual larger is halved. Each step is one aggregate
-    over the corpus that returns a few sums. Wanted tokens are ``target`` times
-    ``total``: by default the tokens there are, or, if rates may not fall below
-    1, as many as the scarcest domain asks for.
+    ``s`` the expected tokens per domain and ``b`` the wanted ones, the rates make
+    ``|s - b|^2 + weight sum(tokens (rate - 1)^2)`` least. Its solution is
+    ``max(least, 1 + x p)`` with one number ``x`` per domain, found by Newton
+    steps on the convex dual, halved until the dual falls, until its gradient
+    (the optimality condition) is within ``TOLERANCE``. The weight falls by
+    hundreds until ``s`` meets ``b`` or no longer changes: then no rates are
+    nearer to the target, which the bounds may keep out of reach. A fit that
+    does not get there raises. Each step is one aggregate over the corpus that
+    returns a few sums. Wanted tokens are ``target`` times ``total``: by default
+    the tokens there are, or, if rates may not fall below 1, as many as the
+    scarcest domain asks for.
     """
     size = len(posteriors)
     p = [F.col(c) for c in posteriors]
@@ -158,43 +161,63 @@ def fit_rates(
     share = np.array(target, float) / sum(target)
     pairs = [(i, j) for i in range(size) for j in range(i + 1)]
 
-    def measured(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens per domain at the rates after ``steps``, and the matrix ``M``."""
-        rate = Mixture(least, tuple(tuple(map(float, step)) for step in steps)).rate(p)
-        free = F.when(F.col("_rate") > least, tokens).otherwise(0.0)
-        sums = members.withColumn("_rate", rate).agg(
-            *[F.sum(tokens * F.col("_rate") * c) for c in p],
+    def mixture(x: np.ndarray) -> Mixture:
+        return Mixture(least, (tuple(-float(v) for v in x),))
+
+    def measured(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The dual but for ``b`` and the weight, its gradient ``s`` and its second derivatives."""
+        line = reduce(add, [float(v) * c for v, c in zip(x, p)], F.lit(max(1.0, least + 1e-6)))
+        rate = F.col("_rate")
+        free = F.when(rate > least, tokens).otherwise(0.0)
+        sums = members.withColumn("_rate", mixture(x).rate(p)).agg(
+            F.sum(tokens * rate * (line - rate / 2)),
+            *[F.sum(tokens * rate * c) for c in p],
             *[F.sum(free * p[i] * p[j]) for i, j in pairs],
         )
-        found = [x or 0.0 for x in sums.first()]
+        found = [v or 0.0 for v in sums.first()]
         gram = np.zeros((size, size))
-        for (i, j), x in zip(pairs, found[size:]):
-            gram[i, j] = gram[j, i] = x
-        return np.array(found[:size]), gram
+        for (i, j), v in zip(pairs, found[size + 1 :]):
+            gram[i, j] = gram[j, i] = v
+        return found[0], np.array(found[1 : size + 1]), gram
 
-    now, gram = measured([])
+    x = np.zeros(size)
+    level, now, gram = measured(x)
+    there = float(np.trace(gram))
     if total is None:
         total = float((now / share).max()) if least >= 1 else float(now.sum())
     wanted = share * total
-    steps: list[np.ndarray] = []
-    for _ in range(MAX_STEPS):
-        far = np.abs(now - wanted).max()
-        if far <= TOLERANCE * max(1.0, total):
-            break
-        # Documents at the bound may have to come back: a little of the identity lets them.
-        step = np.linalg.pinv(gram + 1e-9 * max(1.0, np.trace(gram)) * np.eye(size)) @ (now - wanted)
+    close = TOLERANCE * max(1.0, total)
+    if np.abs(now - wanted).max() <= close:
+        return Mixture(least)
+    before = None
+    for part in WEIGHTS:
+        weight = part * there
         for _ in range(MAX_STEPS):
-            then, after = measured([*steps, step])
-            if np.abs(then - wanted).max() < far:
+            slope = now - wanted + weight * x
+            if np.abs(slope).max() <= close:
                 break
-            step = step / 2
+            step = -np.linalg.solve(gram + weight * np.eye(size), slope)
+            height = level - wanted @ x + weight * (x @ x) / 2
+            for _ in range(MAX_STEPS):
+                at = x + step
+                new = measured(at)
+                fallen = height - (new[0] - wanted @ at + weight * (at @ at) / 2)
+                flatter = np.abs(new[1] - wanted + weight * at).max() <= np.abs(slope).max() / 2
+                if flatter or fallen >= -1e-4 * (slope @ step):
+                    break
+                step = step / 2
+            else:
+                raise RuntimeError("the fit of rates found no step that improves it")
+            x = at
+            level, now, gram = new
         else:
-            break
-        steps.append(step)
-        now, gram = then, after
-        if np.abs(now - wanted).max() > 0.99 * far:
-            break  # the bounds leave no better mixture
-    return Mixture(least, tuple(tuple(map(float, step)) for step in steps))
+            raise RuntimeError(f"the fit of rates did not converge in {MAX_STEPS} steps")
+        if np.abs(now - wanted).max() <= close:
+            return mixture(x)
+        if before is not None and np.abs(now - before).max() <= close:
+            return mixture(x)
+        before = now
+    raise RuntimeError("the fit of rates did not settle")
 
 
 def document_rates(
