@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from labelcorr.llm.common import arrow_rows, utf8
 
 SHINGLE = 12
-FRACTION = 32  # one hash in so many is retained; a power of two
+FRACTION = 2  # one hash in so many is retained; a power of two, small enough for short texts
 ROWS_PER_RUN = 4_000
 MAX_RUNS = 50_000
+PART_CHARS = 1_000_000  # of texts whose results are returned together
 
 
 def _finish(h: np.ndarray) -> np.ndarray:
@@ -150,9 +151,16 @@ def fingerprints(
              "near_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
+
+        def part(found: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*found)) or [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
         pending = None
         for batch in batches:
             found: list[tuple] = []
+            chars = 0
             for at, last, row_id, text in zip(*(c for c in batch.columns)):
                 codes = np.frombuffer(text.as_py().decode().encode("utf-32-le"), "<u4")
                 own = sketch(codes, shingle, fraction)
@@ -161,11 +169,11 @@ def fingerprints(
                 pending = (at.as_py(), row_id.as_py(), codes, own)
                 if last.as_py():
                     pending = None
-            columns = list(zip(*found)) or [()] * len(names)
-            kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], names
-            )
+                chars += len(codes)
+                if chars >= PART_CHARS:
+                    yield part(found)
+                    found, chars = [], 0
+            yield part(found)
 
     schema = """id long, n_chars long, edited_sha256 string, fingerprint string,
                 edited_fingerprint string, near_edited double, near_next double"""

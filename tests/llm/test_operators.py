@@ -209,6 +209,20 @@ def test_fingerprints_follow_the_rule(spark):
                 assert abs(rows[i][name] - true) < 0.2
 
 
+@pytest.mark.parametrize("n, most", [(40, 0.15), (90, 0.09), (200, 0.06), (400, 0.04)])
+def test_likeness_of_short_texts(n, most):
+    """The mean error of near copies, by length."""
+    rng = random.Random(n)
+    errors = []
+    for _ in range(200):
+        text = "".join(rng.choices("abcdefgh ", k=n))
+        other = text[: n - n // 4] + "".join(rng.choices("abcdefgh ", k=n // 4))
+        sets = [{t[k : k + 12] for k in range(n - 11)} for t in (text, other)]
+        found = [fp.sketch(np.frombuffer(t.encode("utf-32-le"), "<u4")) for t in (text, other)]
+        errors.append(abs(fp.likeness(*found, False) - len(sets[0] & sets[1]) / len(sets[0] | sets[1])))
+    assert np.mean(errors) < most
+
+
 def test_sketches_merge():
     a = np.frombuffer("some longer text to cut into parts ".encode("utf-32-le") * 40, "<u4")
     whole = fp.sketch(a, fraction=2)
