@@ -1,10 +1,10 @@
 """Every registered query on the smallest tables, against SQL where there is one."""
 
-import math
 import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
@@ -30,7 +30,7 @@ def rows_of(frame):
     frame = frame[sorted(frame.columns)].astype(object)
     rows = []
     for row in frame.itertuples(index=False):
-        gone = [v is None or (isinstance(v, float) and math.isnan(v)) for v in row]
+        gone = [pd.api.types.is_scalar(v) and pd.isna(v) for v in row]
         rows.append(tuple(None if g else v for g, v in zip(gone, row)))
     return sorted(rows, key=repr)
 
