@@ -8,14 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelcorr.llm.chat import preference_turns, stale_answers
-from labelcorr.llm.common import held_out, lower_ascii, table
+from labelcorr.llm.common import held_out, lower_ascii, table, written
 from labelcorr.llm.exact_dedup import exact_duplicates
 from labelcorr.llm.fingerprints import fingerprints
+from labelcorr.llm.merkle import checked, document_leaves, manifest, proofs
 from labelcorr.llm.mixing import document_rates, domain_labels
 from labelcorr.llm.near_dedup import near_duplicates
 from labelcorr.llm.pieces import round_trips
 from labelcorr.llm.quality import fit_rules, quality_scores
 from labelcorr.llm.secrets import KINDS, secrets
+from labelcorr.llm.spelling import MIN_COUNT, spelling_variants, word_counts
+from labelcorr.llm.token_counts import token_counts
 from labelcorr.llm.toxicity import fit_toxicity, toxicity_scores
 from labelcorr.llm.warc import archive_folder, read_archives, write_archives
 
@@ -205,3 +208,126 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = domain_labels(table(spark, sf_dir, "labels"))
     found = document_rates(table(spark, sf_dir, "documents"), labelled, TARGET)
     return found.withColumnRenamed("id", "doc_id")
+
+
+# CRC-32 in SQL: the table of the 256 remainders, and the remainder of a list of bytes.
+CRC_SQL = """crc AS (SELECT list(list_reduce([CAST(n AS UBIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+                      lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+                      ORDER BY n) AS t FROM range(256) r(n))"""
+
+
+def _crc_sql(bytes_sql: str) -> str:
+    rest = f"list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), {bytes_sql}), " \
+           "lambda c, b: xor(c >> 8, t[CAST(xor(c, b) % 256 AS INTEGER) + 1]))"
+    return f"xor({rest}, 4294967295)"
+
+
+def _field_sql(value: str) -> str:
+    text = f"CAST({value} AS VARCHAR)"
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE octet_length(encode({text})) || ':' || {text} END"
+
+
+def _leaf_sql(text: str) -> str:
+    return f"sha256(concat({', '.join(map(_field_sql, ('doc_id', 'source', 'lang', 'n_chars', text)))}))"
+
+
+def _run_sql(nodes: str) -> str:
+    return f"""SELECT tree, level, idx // 3 AS run, list(digest ORDER BY idx) AS nodes
+               FROM {nodes} WHERE n > 1 GROUP BY ALL"""
+
+
+def _walk_sql(runs: str, start: str, rest: str) -> str:
+    """Fold a leaf with its siblings, level by level."""
+    return f"""
+    SELECT {start}
+    UNION ALL
+    SELECT {rest}, w.tree, w.level + 1, w.idx // 3,
+           sha256(array_to_string(list_transform(r.nodes, lambda x, i:
+                  CASE WHEN i = w.idx % 3 + 1 THEN w.digest ELSE x END), '')),
+           w.seen || array_to_string(list_filter(r.nodes, lambda x, i: i <> w.idx % 3 + 1), '')
+    FROM w_{runs} w JOIN {runs} r ON r.tree = w.tree AND r.level = w.level AND r.run = w.idx // 3"""
+
+
+@query(f"""
+WITH RECURSIVE {CRC_SQL},
+d AS (SELECT doc_id, coalesce('+' || source, '') AS tree, {_leaf_sql('text')} AS leaf,
+             {_leaf_sql("replace(text, chr(10), '')")} AS cut,
+             coalesce({_crc_sql("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: unicode(x))")} % 2 = 0, false)
+                 AS even FROM documents, crc),
+l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+             count(*) OVER (PARTITION BY tree) AS n FROM d),
+a AS (SELECT tree, 0 AS level, idx, n, leaf AS digest FROM l
+      UNION ALL
+      SELECT tree, level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx))
+      FROM a WHERE n > 1 GROUP BY tree, level, idx // 3, n),
+s AS (SELECT tree, digest, row_number() OVER (ORDER BY encode(tree)) - 1 AS idx,
+             count(*) OVER () AS n FROM a WHERE n = 1),
+b AS (SELECT '' AS tree, 0 AS level, idx, n, digest FROM s
+      UNION ALL
+      SELECT tree, level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx))
+      FROM b WHERE n > 1 GROUP BY tree, level, idx // 3, n),
+in_tree AS ({_run_sql("a")}),
+over_trees AS ({_run_sql("b")}),
+w_in_tree AS ({_walk_sql("in_tree", "doc_id, tree, 0 AS level, idx, CASE WHEN even THEN cut ELSE leaf END AS digest, '' AS seen FROM l", "w.doc_id")}),
+up AS (SELECT w.doc_id, s.tree AS own, s.digest AS subroot, s.idx, w.digest, w.seen
+       FROM w_in_tree w JOIN s ON s.tree = w.tree
+       WHERE w.level = (SELECT max(a.level) FROM a WHERE a.tree = w.tree)),
+w_over_trees AS ({_walk_sql("over_trees", "doc_id, '' AS tree, 0 AS level, idx, digest, seen FROM up", "w.doc_id")}),
+top AS (SELECT digest AS root, level FROM b WHERE n = 1)
+SELECT l.doc_id, l.leaf, up.subroot, top.root, sha256(w.seen) AS proof_sha256,
+       w.digest AS folded_root, w.digest = top.root AS verified
+FROM l JOIN up ON up.doc_id = l.doc_id JOIN w_over_trees w ON w.doc_id = l.doc_id
+     JOIN top ON w.level = top.level
+""")
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = manifest(document_leaves(table(spark, sf_dir, "documents")))
+    found = checked(proofs(made), "tampered", made.root)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified",
+    )
+
+
+_UTF8_SQL = """flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda x:
+    CASE WHEN unicode(x) < 128 THEN [unicode(x)]
+         ELSE [192 + unicode(x) // 64, 128 + unicode(x) % 64] END))"""
+
+
+@query(f"""
+WITH RECURSIVE {CRC_SQL},
+r AS (SELECT doc_id, unnest(regexp_extract_all({LOWER}, '[a-zA-Z\\x{{C0}}-\\x{{FF}}]{{6,}}')) AS run
+      FROM documents),
+h AS (SELECT doc_id, run, count(*) AS n FROM r GROUP BY ALL),
+k AS (SELECT run, n, {_crc_sql(_UTF8_SQL)} AS h FROM h, crc),
+c AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS INTEGER))
+                  || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, n FROM k),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM c WHERE length(word) >= 6
+      GROUP BY word HAVING sum(n) >= 5),
+cut AS (SELECT DISTINCT word, left(word, i - 1) || substr(word, i + 1) AS other
+        FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+hole AS (SELECT word, left(word, i - 1) || '_' || substr(word, i + 1) AS other
+         FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (SELECT c.word, w.word AS near FROM cut c JOIN w ON w.word = c.other
+         UNION SELECT w.word, c.word FROM cut c JOIN w ON w.word = c.other
+         UNION SELECT a.word, b.word FROM hole a JOIN hole b USING (other) WHERE a.word <> b.word),
+ranked AS (SELECT near.word, near, w.n, count(*) OVER (PARTITION BY near.word) AS n_near,
+                  row_number() OVER (PARTITION BY near.word ORDER BY w.n DESC, encode(near)) AS nth
+           FROM near JOIN w ON w.word = near.near),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+             CASE WHEN b.n >= 5 * w.n THEN b.near END AS form,
+             CASE WHEN b.n >= 5 * w.n THEN b.n END AS form_n
+      FROM w LEFT JOIN ranked b ON b.word = w.word AND b.nth = 1),
+path AS (SELECT word, word AS root, form AS next FROM f
+         UNION ALL SELECT p.word, f.word, f.form FROM path p JOIN f ON f.word = p.next)
+SELECT f.word, f.form, p.root, f.n, f.n_near, f.form_n
+FROM f JOIN path p ON p.word = f.word AND p.next IS NULL
+""")
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = word_counts(table(spark, sf_dir, "documents"))
+    words = written(counted.filter(F.col("n") >= MIN_COUNT), "words")
+    return spelling_variants(words)
+
+
+@query()
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
