@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -15,10 +16,15 @@ from pyspark.sql import functions as F
 
 from labelcorr.llm.common import training_rows, written
 
+log = logging.getLogger(__name__)
+
 MAX_TRAINING_ROWS = 20_000
-MAX_STEPS = 30
+MOST = 4.0  # how often a document may be seen: four epochs
+GRID = 1024
+MAX_STEPS = 100
+RECENT = 4  # a step may be worse than the last one, but not than so many
 TOLERANCE = 1e-4  # of the wanted tokens
-WEIGHTS = tuple(10.0**-k for k in range(4, 15, 2))  # of the distance to the present rates
+STILL = 1e-5  # the root mean square of a step that ends the fit
 DOMAINS = ("clean_high", "clean_low", "toxic")
 SIGNALS = ("log_words", "mean_word", "symbols", "shouted", "bangs", "pipes", "insults")
 INSULTS = "idiot moron loser clown scum trash pathetic worthless disgusting stupid fool bastard asshole"
@@ -114,23 +120,38 @@ def fit_domains(
 
 @dataclass(frozen=True)
 class Mixture:
-    """The fitted steps along the posteriors; the rate of a document follows from its posteriors alone."""
+    """The steps of the fit; the rate of a document follows from its posteriors alone.
+
+    ``missed`` is how far the expected tokens of each domain stay from the wanted
+    ones, as shares of all wanted tokens: not 0 where the bounds keep the target
+    out of reach.
+    """
 
     least: float
+    most: float
     steps: tuple[tuple[float, ...], ...] = field(default=())
+    missed: tuple[float, ...] = field(default=())
 
     def rate(self, posteriors: Sequence[Column]) -> Column:
-        """Start at 1, take each step along the posteriors, stay at or above ``least``."""
-        start = F.lit(max(1.0, self.least + 1e-6))  # just above the bound, free to move
+        return self.course(posteriors)["rate"]
+
+    def course(self, posteriors: Sequence[Column]) -> Column:
+        """``(rate, before)``: the rate after all steps and after all but the last.
+
+        A step has a number per domain: go down the gradient, then back into the bounds.
+        """
+        start = F.lit(float(min(self.most, max(1.0, self.least))))
+        first = F.struct(start.alias("rate"), start.alias("before"))
         if not self.steps:
-            return start
-        steps = F.array(*[F.array(*[F.lit(x) for x in step]) for step in self.steps])
+            return first
 
-        def moved(rate: Column, step: Column) -> Column:
+        def moved(at: Column, step: Column) -> Column:
             change = reduce(add, [step[k] * p for k, p in enumerate(posteriors)])
-            return F.greatest(F.lit(self.least), rate - change)
+            bounded = F.greatest(F.lit(self.least), F.least(F.lit(self.most), at["rate"] - change))
+            return F.struct(bounded.alias("rate"), at["rate"].alias("before"))
 
-        return F.aggregate(steps, start, moved)
+        told = (f"array({', '.join(f'{float(x)!r}D' for x in step)})" for step in self.steps)
+        return F.aggregate(F.expr(f"array({', '.join(told)})"), first, moved)
 
 
 def fit_rates(
@@ -138,86 +159,91 @@ def fit_rates(
     posteriors: Sequence[str],
     target: Sequence[float],
     least: float = 0.0,
+    most: float = MOST,
     total: float | None = None,
 ) -> Mixture:
-    """Least squares: nonnegative rates whose expected tokens per domain meet the target.
+    """Least squares: rates in ``[least, most]`` whose expected tokens per domain meet the target.
 
     ``members`` has ``_tokens`` and a column per domain with its posterior. With
-    ``s`` the expected tokens per domain and ``b`` the wanted ones, the rates make
-    ``|s - b|^2 + weight sum(tokens (rate - 1)^2)`` least. Its solution is
-    ``max(least, 1 + x p)`` with one number ``x`` per domain, found by Newton
-    steps on the convex dual, halved until the dual falls, until its gradient
-    (the optimality condition) is within ``TOLERANCE``. The weight falls by
-    hundreds until ``s`` meets ``b`` or no longer changes: then no rates are
-    nearer to the target, which the bounds may keep out of reach. A fit that
-    does not get there raises. Each step is one aggregate over the corpus that
-    returns a few sums. Wanted tokens are ``target`` times ``total``: by default
-    the tokens there are, or, if rates may not fall below 1, as many as the
-    scarcest domain asks for.
+    ``s`` the expected tokens per domain and ``b`` the wanted ones, projected
+    gradient steps make ``|s - b|^2`` least: down the gradient, then back into
+    the bounds. The first step, and any after one that makes things worse than
+    the last few were, is by the inverse of the largest eigenvalue of
+    ``sum(tokens p p')``; the others are by the curvature that the last step met
+    (Barzilai and Borwein). Distances are weighted by tokens, so a step changes a
+    rate by its posteriors alone, and documents whose posteriors agree to
+    1 / ``GRID`` are one row of the fit, with their mean posteriors; each step is
+    one aggregate over these rows. The fit ends when ``s`` is within
+    ``TOLERANCE`` of ``b``, when a plain step would no longer move the rates, or
+    after ``MAX_STEPS`` steps, and tells in ``missed`` how far it came; it never
+    raises for a target out of reach. Domains with a target of 0 are wanted to
+    have no tokens. Wanted tokens are ``target`` times ``total``: by default the
+    tokens there are, or, if rates may not fall below 1, as many as the domain
+    with the largest surplus asks for.
     """
+    if not 0 <= least <= most or min(target) < 0 or sum(target) <= 0:
+        raise ValueError("bounds and targets are not negative, one target is positive")
     size = len(posteriors)
-    p = [F.col(c) for c in posteriors]
-    tokens = F.col("_tokens").cast("double")
     share = np.array(target, float) / sum(target)
+    tokens = F.col("_tokens").cast("double")
+    cells = members.filter("_tokens > 0").groupBy(
+        *[F.round(F.col(c) * GRID).alias(f"_at{k}") for k, c in enumerate(posteriors[:-1])]
+    )
+    weighted = [(F.sum(tokens * F.col(c)) / F.sum(tokens)).alias(c) for c in posteriors]
+    cells = written(cells.agg(F.sum(tokens).alias("_w"), *weighted), "cells")
+    p = [F.col(c) for c in posteriors]
     pairs = [(i, j) for i in range(size) for j in range(i + 1)]
-
-    def mixture(x: np.ndarray) -> Mixture:
-        return Mixture(least, (tuple(-float(v) for v in x),))
-
-    def measured(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """The dual but for ``b`` and the weight, its gradient ``s`` and its second derivatives."""
-        line = reduce(add, [float(v) * c for v, c in zip(x, p)], F.lit(max(1.0, least + 1e-6)))
-        rate = F.col("_rate")
-        free = F.when(rate > least, tokens).otherwise(0.0)
-        sums = members.withColumn("_rate", mixture(x).rate(p)).agg(
-            F.sum(tokens * rate * (line - rate / 2)),
-            *[F.sum(tokens * rate * c) for c in p],
-            *[F.sum(free * p[i] * p[j]) for i, j in pairs],
-        )
-        found = [v or 0.0 for v in sums.first()]
-        gram = np.zeros((size, size))
-        for (i, j), v in zip(pairs, found[size + 1 :]):
-            gram[i, j] = gram[j, i] = v
-        return found[0], np.array(found[1 : size + 1]), gram
-
-    x = np.zeros(size)
-    level, now, gram = measured(x)
-    there = float(np.trace(gram))
+    sums = cells.agg(
+        *[F.sum(F.col("_w") * p[i] * p[j]) for i, j in pairs], F.sum("_w")
+    ).first()
+    gram = np.zeros((size, size))
+    for (i, j), v in zip(pairs, sums):
+        gram[i, j] = gram[j, i] = v or 0.0
+    weight = sums[-1] or 0.0
+    steepest = float(np.linalg.eigvalsh(gram)[-1])
+
+    def measured(steps: list) -> tuple[np.ndarray, float]:
+        """The expected tokens per domain, and the squared length of the last step."""
+        at = cells.withColumn("_c", Mixture(least, most, tuple(steps)).course(p))
+        gone = F.col("_c.before") - F.col("_c.rate")
+        *found, moved = at.agg(
+            *[F.sum(F.col("_w") * F.col("_c.rate") * c) for c in p],
+            F.sum(F.col("_w") * gone * gone),
+        ).first()
+        return np.array([v or 0.0 for v in found]), moved or 0.0
+
+    now, _ = measured([])
     if total is None:
-        total = float((now / share).max()) if least >= 1 else float(now.sum())
+        wants = share > 0
+        total = float((now[wants] / share[wants]).max()) if least >= 1 else float(now.sum())
     wanted = share * total
     close = TOLERANCE * max(1.0, total)
-    if np.abs(now - wanted).max() <= close:
-        return Mixture(least)
-    before = None
-    for part in WEIGHTS:
-        weight = part * there
-        for _ in range(MAX_STEPS):
-            slope = now - wanted + weight * x
-            if np.abs(slope).max() <= close:
-                break
-            step = -np.linalg.solve(gram + weight * np.eye(size), slope)
-            height = level - wanted @ x + weight * (x @ x) / 2
-            for _ in range(MAX_STEPS):
-                at = x + step
-                new = measured(at)
-                fallen = height - (new[0] - wanted @ at + weight * (at @ at) / 2)
-                flatter = np.abs(new[1] - wanted + weight * at).max() <= np.abs(slope).max() / 2
-                if flatter or fallen >= -1e-4 * (slope @ step):
-                    break
-                step = step / 2
-            else:
-                raise RuntimeError("the fit of rates found no step that improves it")
-            x = at
-            level, now, gram = new
-        else:
-            raise RuntimeError(f"the fit of rates did not converge in {MAX_STEPS} steps")
-        if np.abs(now - wanted).max() <= close:
-            return mixture(x)
-        if before is not None and np.abs(now - before).max() <= close:
-            return mixture(x)
-        before = now
-    raise RuntimeError("the fit of rates did not settle")
+    height = lambda s: float(((s - wanted) ** 2).sum())
+    steps: list[tuple[float, ...]] = []
+    best, heights = (steps, now), [height(now)]
+    careful = True  # is the next step by the largest eigenvalue?
+    width = 0.0
+    while np.abs(now - wanted).max() > close and len(heights) <= MAX_STEPS and steepest > 0:
+        by = 1 / steepest if careful else width
+        tried = [*steps, tuple(map(float, by * (now - wanted)))]
+        new, moved = measured(tried)
+        still = moved <= STILL**2 * weight
+        if careful and still:
+            break
+        heights.append(height(new))
+        if heights[-1] > max(heights[-RECENT - 1 : -1]):
+            (steps, now), careful = best, True
+            continue
+        bent = float(((new - now) ** 2).sum())
+        careful, width = still or bent == 0, moved / bent if bent else 0.0
+        steps, now = tried, new
+        if heights[-1] < height(best[1]):
+            best = (steps, now)
+    steps, now = best
+    missed = tuple(float(v) for v in (now - wanted) / max(1.0, total))
+    if np.abs(now - wanted).max() > close:
+        log.warning("the mix misses its target by %s of all tokens", missed)
+    return Mixture(least, most, tuple(steps), missed)
 
 
 def document_rates(
@@ -227,6 +253,7 @@ def document_rates(
     id_col: str = "doc_id",
     text_col: str = "text",
     least: float = 0.0,
+    most: float = MOST,
 ) -> DataFrame:
     """``(id, tokens, p_<domain>..., rate, copies)`` of every row.
 
@@ -236,7 +263,7 @@ def document_rates(
     rows are each rated; without labels all domains are equally likely. Other
     columns are not looked at; an empty table gives an empty result.
     """
-    members, mixture = _fitted(docs, labelled, target, id_col, text_col, least)
+    _, members, mixture = _fitted(docs, labelled, target, id_col, text_col, least, most)
     names = [f"p_{d}" for d in DOMAINS]
     rated = members.withColumn("rate", mixture.rate([F.col(n) for n in names]))
     return rated.select(
@@ -251,40 +278,54 @@ def mixed(
     id_col: str = "doc_id",
     text_col: str = "text",
     least: float = 1.0,
+    most: float = MOST,
 ) -> DataFrame:
-    """The rows of ``docs``, each as often as its ``copies`` say, with all their columns.
+    """All rows of ``docs`` with all their columns and ``copies``, how often each is to be seen.
 
-    With ``least`` at 1 no document is lost: scarce domains are repeated.
+    With ``least`` at 1 no document is lost; rows with 0 copies go. Texts are
+    not repeated: what follows handles a document once and counts it ``copies``
+    times. A column ``copies`` of ``docs`` is replaced. Nulls, empty texts,
+    repeated rows and empty tables are as in ``document_rates``.
     """
-    model, mixture = _fitted(docs, labelled, target, id_col, text_col, least, whole=False)
+    model, _, mixture = _fitted(docs, labelled, target, id_col, text_col, least, most)
     kept = docs.select(
         F.col(id_col).alias("_id"),
         F.col(text_col).alias("_text"),
-        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_doc"),
+        F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "copies"]).alias("_doc"),
     )
     rated = _with_posteriors(kept, model, "_text")
     rated = rated.withColumn("_rate", mixture.rate([F.col(f"p_{d}") for d in DOMAINS]))
-    often = F.array_repeat(F.lit(1), copies("_rate", "_id"))
-    return rated.select("_doc", F.explode(often).alias("_copy")).select("_doc.*")
+    rated = rated.select("_doc", copies("_rate", "_id").alias("copies"))
+    return rated.filter("copies > 0").select("_doc.*", "copies")
 
 
 def copies(rate: str, id_col: str) -> Column:
+    """The rate rounded up or down by a hash of the id."""
     part = F.pmod(F.xxhash64(F.col(id_col), F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     whole = F.floor(rate)
     return (whole + F.when(part < F.col(rate) - whole, 1).otherwise(0)).cast("int")
 
 
 def _with_posteriors(rows: DataFrame, model: DomainModel, text_col: str) -> DataFrame:
+    """Add ``_tokens``, the signals and the posteriors, each computed once per row."""
     told = signals(rows, text_col)
-    return told.withColumns({f"p_{d}": p for d, p in zip(DOMAINS, model.posteriors())})
+    posteriors = [p.alias(f"p_{d}") for d, p in zip(DOMAINS, model.posteriors())]
+    told = _once(told, rows.columns, [F.col(c) for c in ("_tokens", *SIGNALS)])
+    return _once(told, told.columns, posteriors)
+
+
+def _once(rows: DataFrame, keep: Sequence[str], values: Sequence[Column]) -> DataFrame:
+    """``keep`` and ``values``, which come out of a generator: the optimizer would else put
+    their expressions wherever they are used, also into the steps of the fit."""
+    return rows.select(*[F.col(f"`{c}`") for c in keep], F.inline(F.array(F.struct(*values))))
 
 
-def _fitted(docs, labelled, target, id_col, text_col, least, whole=True):
+def _fitted(docs, labelled, target, id_col, text_col, least, most):
+    """The model of domains, ``(id, _tokens, p_<domain>...)`` of all rows, and the mixture."""
     model = fit_domains(docs, labelled, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
     names = [f"p_{d}" for d in DOMAINS]
     members = written(
         _with_posteriors(rows, model, "_text").select("id", "_tokens", *names), "members"
     )
-    mixture = fit_rates(members, names, target, least)
-    return (members if whole else model), mixture
+    return model, members, fit_rates(members, names, target, least, most)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
@@ -283,22 +283,33 @@ def decoded(
 
 
 def round_trips(
-    docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    model: str = MODEL,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    also: Sequence[str] = (),
 ) -> DataFrame:
-    """``(id, ids, n_tokens, decoded_sha256, round_trip)``: encoded and decoded in one pass.
+    """``(id, *also, ids, n_tokens, decoded_sha256, round_trip)``: encoded and decoded in one pass.
 
     ``round_trip`` is false only for texts with the model's space mark (U+2581),
-    which decodes to a space.
+    which decodes to a space. Null and empty texts have no ids and decode to an
+    empty text; null ids and repeated rows stay as they are, row by row; columns
+    named in ``also`` are passed on, others are not looked at; an empty table
+    gives an empty result.
     """
     proto = read_model(model)
-    rows = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
-    id_type = dict(rows.dtypes)["id"]
+    rows = docs.select(utf8(text_col).alias("text"), F.col(id_col).alias("id"), *also)
+    told = rows.drop("text")
+    names = ["ids", "n_tokens", "decoded_sha256", "round_trip"]
+    values = [F.array().cast("array<int>"), F.lit(0).cast("long"), F.lit(""), F.lit(True)]
+    schema = told.withColumns(dict(zip(names, values))).schema
+    all_names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _machine(proto)
         for batch in batches:
             ids, digests, same = [], [], []
-            for value in batch.column(1):
+            for value in batch.column(0):
                 text = value.as_py().decode()
                 ids.append(machine.encode(text))
                 back = machine.decode(ids[-1])
@@ -306,15 +317,11 @@ def round_trips(
                 same.append(back == text)
             n = pa.array([len(x) for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), _lists(ids), n, pa.array(digests, pa.string()), pa.array(same, pa.bool_())],
-                ["id", "ids", "n_tokens", "decoded_sha256", "round_trip"],
+                [*batch.columns[1:], _lists(ids), n, pa.array(digests, pa.string()), pa.array(same, pa.bool_())],
+                all_names,
             )
 
-    return arrow_rows(
-        rows,
-        run,
-        f"id {id_type}, ids array<int>, n_tokens long, decoded_sha256 string, round_trip boolean",
-    )
+    return arrow_rows(rows, run, schema)
 
 
 def _lists(found: list[list[int]]) -> pa.ListArray:

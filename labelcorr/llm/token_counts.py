@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from labelcorr.llm.common import arrow_rows, utf8
 
 MODEL = "byte_bpe_50k.json"
+SHORT = 32  # bytes
+PER_RANK = 1 << 32  # a key holds the rank of a pair and, below it, the token they become
+NO_MERGE = 1 << 62
 REMEMBERED = 300_000  # merged pre-tokens a task keeps the counts of
 
 # Fixed value: how the vocabulary's library splits a text before it merges.
@@ -84,30 +87,45 @@ class Merger:
 
     def __init__(self, vocabulary: dict):
         self.bytes = vocabulary["bytes"]
-        self.ranks = {(a, b): (rank, c) for rank, (a, b, c) in enumerate(vocabulary["merges"])}
-
-    def count(self, piece: bytes) -> int:
-        """The number of tokens; time grows as n log n, so one endless word is no trouble."""
-        return len(self.tokens(piece))
+        self.keys = {
+            (a, b): rank * PER_RANK + c for rank, (a, b, c) in enumerate(vocabulary["merges"])
+        }
 
     def tokens(self, piece: bytes) -> list[int]:
+        """Short pieces with a list of the ranks of all pairs, long ones with a heap: in
+        n log n steps, so one endless word is no trouble."""
+        if len(piece) > SHORT:
+            return self._by_heap(piece)
+        ids, rank = [self.bytes[b] for b in piece], self.keys.get
+        keys = [rank(pair, NO_MERGE) for pair in zip(ids, ids[1:])]
+        while keys and (best := min(keys)) < NO_MERGE:
+            i = keys.index(best)
+            ids[i : i + 2] = [best % PER_RANK]
+            del keys[i]
+            if i:
+                keys[i - 1] = rank((ids[i - 1], ids[i]), NO_MERGE)
+            if i < len(keys):
+                keys[i] = rank((ids[i], ids[i + 1]), NO_MERGE)
+        return ids
+
+    def _by_heap(self, piece: bytes) -> list[int]:
         ids = [self.bytes[b] for b in piece]
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         waiting = []
 
         def offer(i: int) -> None:
-            if i >= 0 and after[i] < n and (hit := self.ranks.get((ids[i], ids[after[i]]))):
-                heapq.heappush(waiting, (hit[0], i, hit[1], ids[i], ids[after[i]]))
+            if i >= 0 and after[i] < n and (hit := self.keys.get((ids[i], ids[after[i]]))):
+                heapq.heappush(waiting, (hit, i, ids[i], ids[after[i]]))
 
         for i in range(n - 1):
             offer(i)
         while waiting:
-            _, i, merged, left, right = heapq.heappop(waiting)
+            hit, i, left, right = heapq.heappop(waiting)
             if ids[i] != left or after[i] >= n or ids[after[i]] != right:
                 continue  # one of the two has been merged meanwhile
             j = after[i]
-            ids[i], ids[j] = merged, -1
+            ids[i], ids[j] = hit % PER_RANK, -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
@@ -188,7 +206,7 @@ def token_counts(
                     for piece in rest:
                         found = known.get(piece)
                         if found is None:
-                            found = merger.count(piece.encode())
+                            found = len(merger.tokens(piece.encode()))
                             if len(known) >= REMEMBERED:
                                 known.clear()
                             if len(piece) < 100:
