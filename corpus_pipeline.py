@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelcorr.llm.common import table, written
+from labelcorr.llm.common import table
 from labelcorr.llm.exact_dedup import without_duplicates
 from labelcorr.llm.mixing import domain_labels, mixed
 from labelcorr.llm.near_dedup import without_near_duplicates
 from labelcorr.llm.pieces import round_trips
 from labelcorr.llm.queries import TARGET
 from labelcorr.llm.toxicity import fit_toxicity, without_toxic
+from labelcorr.session import remove, scratch, scratch_path
 
 # The stages learn from labels, compare sketches and encode: no SQL for the whole.
 ORACLE_SQL = None
@@ -32,13 +33,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Scarce domains are repeated up to the target weights; no document is lost."""
+    """``copies`` says how often a document is to be seen; no document is lost."""
     return mixed(docs, domain_labels(table(spark, sf_dir, "labels")), TARGET)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, ids, n_tokens, decoded_sha256, round_trip)`` per document."""
-    return round_trips(docs).withColumnRenamed("id", "doc_id")
+    """``(doc_id, copies, ids, n_tokens, decoded_sha256, round_trip)``: each document is
+    encoded once, whatever its copies."""
+    return round_trips(docs, also=("copies",)).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
@@ -51,7 +53,21 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, in order.
+
+    Each stage's result is a table in the shared folder, which goes when the next
+    stage has been written; what a stage writes for itself goes with its end. The
+    last stage is not yet run when this returns: it reads the table before it.
+    Null and empty texts, repeated rows and empty tables pass through as the
+    stages say; a null id is a document of its own to all of them.
+    """
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = scratch_path(spark, name.replace(" ", "-"))
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if last:
+            remove(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
