@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelcorr.functions import labels as L
 from labelcorr.functions import text as X
@@ -20,7 +23,7 @@ from labelcorr.operators import splits as S
 from labelcorr.operators import vocabulary as V
 from labelcorr.plans import classify, jobs
 from labelcorr.session import scratch_path
-from labelcorr.sources import files, models, posts, sinks
+from labelcorr.sources import files, models, posts, replay, sinks
 from labelcorr.streaming import job
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -829,6 +832,55 @@ def csv_single_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posts.read_posts(spark, path, schema, multi_line=False).drop("file_name")
 
 
+RAGGED_SQL = """
+WITH l AS (SELECT event_id, event_type,
+                  CASE event_type WHEN 'error' THEN event_id || ',"' || event_type || '",x,more'
+                       WHEN 'signup' THEN event_id || ',' || event_type
+                       ELSE event_id || ',' || event_type || ',' || event_id * 2 END AS line
+           FROM events)
+"""
+RAGGED_SCHEMA = "event_id bigint, event_type string, twice bigint"
+
+
+def _ragged_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as CSV lines, some with a cell too many and some with one too few."""
+    path = scratch_path(spark, "ragged")
+    events = table(spark, sf_dir, "events")
+    line = (
+        F.when(F.col("event_type") == "error", F.concat("event_id", F.lit(',"'), "event_type", F.lit('",x,more')))
+        .when(F.col("event_type") == "signup", F.concat_ws(",", "event_id", "event_type"))
+        .otherwise(F.concat_ws(",", "event_id", "event_type", F.col("event_id") * 2))
+    )
+    # One column whose name is the header and whose cells are whole lines.
+    lines = events.select(line.alias("event_id,event_type,twice"))
+    writer = lines.write.option("header", True).option("sep", "\u0001").option("quote", "\u0000")
+    writer.option("maxRecordsPerFile", events.count() // 3 + 1).csv(path)
+    return posts.read_posts(spark, path, RAGGED_SCHEMA, multi_line=False, refused="keep")
+
+
+@query(RAGGED_SQL + """
+SELECT event_id, event_type, event_id * 2 AS twice FROM events WHERE event_type NOT IN ('error', 'signup')
+""")
+def csv_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with as many cells as the header; no cell lands under another name."""
+    rows = posts.quarantine_posts(_ragged_posts(spark, sf_dir), scratch_path(spark, "refused"))
+    return rows.drop("file_name")
+
+
+@query(RAGGED_SQL + """
+SELECT line AS refused, count(*) AS n, (SELECT count(*) FROM events) AS rows
+FROM l WHERE event_type IN ('error', 'signup') GROUP BY line
+""")
+def csv_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The refused rows as they stood in the files, and how many rows there were in all."""
+    path = scratch_path(spark, "refused")
+    rows = _ragged_posts(spark, sf_dir)
+    posts.quarantine_posts(rows, path)
+    total = posts.refusal_counts(rows).agg(F.sum(F.col("good") + F.col("refused"))).first()[0]
+    stored = spark.read.parquet(path).groupBy("refused").agg(F.count("*").alias("n"))
+    return stored.withColumn("rows", F.lit(total))
+
+
 def _numbered_documents(spark: SparkSession, sf_dir: str) -> str:
     """Documents as numbered part files ``part_0`` to ``part_4`` by id; the folder."""
     path = scratch_path(spark, "numbered")
@@ -946,16 +998,18 @@ def _remainder_logits(rows: DataFrame) -> DataFrame:
     return rows.withColumn("logits", F.array(*logits))
 
 
-def _feed(spark: SparkSession, sf_dir: str, path: str) -> str:
-    """The events as four or more files of JSON lines, with lines that are no JSON and no post.
+def _feed(spark: SparkSession, sf_dir: str, path: str, rows: str = "true") -> str:
+    """The events as files of JSON lines, with lines that are no JSON and no post.
 
-    One CSV line per error event, and per signup a post without a text.
+    One CSV line per error event, and per signup a post without a text. The
+    files of a partition hold a quarter of all events at most.
     """
-    events = table(spark, sf_dir, "events")
+    events = table(spark, sf_dir, "events").filter(rows)
+    per_file = events.count() // 4 + 1
     posted = events.select(
         F.col("props").alias("content"), F.col("event_type").alias("account_category")
     )
-    posts.write_replay(posted.repartition(4), f"{path}/lines", rows_per_file=200_000)
+    posts.write_replay(posted, f"{path}/lines", rows_per_file=per_file)
     raw = F.concat_ws(",", "event_id", "event_type")
     no_text = F.to_json(F.struct(F.col("event_type").alias("account_category")))
     other = events.select(
@@ -963,17 +1017,24 @@ def _feed(spark: SparkSession, sf_dir: str, path: str) -> str:
         .when(F.col("event_type") == "signup", no_text)
         .alias("value")
     )
-    other.filter("value IS NOT NULL").coalesce(1).write.mode("append").text(f"{path}/lines")
+    other = other.filter("value IS NOT NULL").write.mode("append")
+    other.option("maxRecordsPerFile", per_file).text(f"{path}/lines")
     return f"{path}/lines"
 
 
+def _files_per_batch(spark: SparkSession, path: str) -> int:
+    """So many that there are four batches or more."""
+    return max(1, len(spark.read.text(path).inputFiles()) // 4)
+
+
 def _run_events(
     spark: SparkSession, sf_dir: str, score=None, settings: job.StreamSettings | None = None
 ) -> str:
-    """Stream the events file by file; the folder of the results."""
+    """Stream the events in batches of files; the folder of the results."""
     path = scratch_path(spark, "stream")
+    feed = _feed(spark, sf_dir, path)
     run = job.run_stream(
-        posts.replay_stream(spark, _feed(spark, sf_dir, path), max_files=1),
+        posts.replay_stream(spark, feed, max_files=_files_per_batch(spark, feed)),
         score or _remainder_logits,
         f"{path}/counts",
         f"{path}/checkpoint",
@@ -984,6 +1045,26 @@ def _run_events(
     return f"{path}/counts"
 
 
+def _two_feeds(spark: SparkSession, sf_dir: str, path: str, start: Callable) -> DataFrame:
+    """Stream half of the events, stop, add the other half and start again.
+
+    ``start`` starts the query on a stream; a row per run with ``results()``.
+    """
+    whole = None
+    for n, rows in enumerate(("event_id % 2 = 0", "event_id % 2 = 1")):
+        feed = _feed(spark, sf_dir, f"{path}/{n}", rows)
+        files = spark.read.text(feed).write.mode("append")
+        files.option("maxRecordsPerFile", 1 + spark.read.text(feed).count() // 3).text(f"{path}/all")
+        lines = posts.replay_stream(spark, f"{path}/all", _files_per_batch(spark, f"{path}/all"))
+        query, results = start(lines)
+        query.awaitTermination()
+        # Read now: the next run replaces what is stored.
+        found = spark.createDataFrame(results().collect(), "given int, pred int, n bigint")
+        found = found.withColumn("run", F.lit(n))
+        whole = found if whole is None else whole.unionByName(found)
+    return whole
+
+
 @query(STREAM_SQL + CELLS_SQL + """
 SELECT CAST(given AS INTEGER) AS given, CAST(pred AS INTEGER) AS pred, CAST(n AS BIGINT) AS n,
        round(n / nullif(sum(n) OVER (PARTITION BY given), 0), 9) AS p
@@ -1036,6 +1117,124 @@ def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summed.withColumn("several", F.lit(several.first()["several"]))
 
 
+@query(f"""
+WITH e AS (SELECT DISTINCT props, event_type, {EVENT_CASE} AS given, r.run,
+                  CAST(json_extract(props, '$.k') AS BIGINT) % 3 AS pred
+           FROM events, range(0, 2) r(run)
+           WHERE event_id % 2 <= r.run AND NOT ({_sampled_sql("props || '|' || event_type")}))
+SELECT given, CAST(pred AS INTEGER) AS pred, count(*) AS n, CAST(run AS INTEGER) AS run FROM e GROUP BY ALL
+""")
+def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The set difference: copies in other files and batches, and after a restart, count once."""
+    path = scratch_path(spark, "distinct")
+    settings = replace(STREAM, distinct_within="1 day")
+
+    def start(lines):
+        run = job.run_stream(
+            lines, _remainder_logits, f"{path}/counts", f"{path}/checkpoint", settings,
+            trigger={"availableNow": True},
+        )
+        return run, lambda: job.stream_counts(spark, f"{path}/counts").filter(
+            "given IS NOT NULL"
+        ).groupBy("given", "pred").agg(F.sum("n").alias("n"))
+
+    return _two_feeds(spark, sf_dir, path, start)
+
+
+@query(f"""
+WITH e AS (SELECT {EVENT_CASE} AS given, r.run, CAST(json_extract(props, '$.k') AS BIGINT) % 3 AS pred
+           FROM events, range(0, 2) r(run)
+           WHERE event_id % 2 <= r.run AND NOT ({_sampled_sql("props || '|' || event_type")}))
+SELECT given, CAST(pred AS INTEGER) AS pred, count(*) AS n, CAST(run AS INTEGER) AS run FROM e GROUP BY ALL
+""")
+def stream_running_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix in the state of the stream, after a first run and after a restart."""
+    path = scratch_path(spark, "running")
+
+    def start(lines):
+        run = job.run_matrix(
+            lines, _remainder_logits, f"{path}/matrix", f"{path}/checkpoint", STREAM,
+            trigger={"availableNow": True},
+        )
+        return run, lambda: job.running_matrix(
+            spark, f"{path}/matrix", range(3), range(3)
+        ).filter("n > 0").select("given", "pred", "n")
+
+    return _two_feeds(spark, sf_dir, path, start)
+
+
+@query(STREAM_SQL + """
+     , t AS (SELECT count(*) AS examples, count(*) FILTER (given = pred) AS hits FROM e)
+SELECT examples, hits, true AS several, 0 AS differing,
+       (SELECT count(*) FROM events WHERE event_type = 'error') AS corrupt,
+       (SELECT count(*) FROM events WHERE event_type = 'signup') AS no_text
+FROM t
+""")
+def stream_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores observed batch by batch, added up; they differ nowhere from those of the counts."""
+    path = scratch_path(spark, "observed")
+    weights = [1.0, 2.0, 3.0]
+    feed = _feed(spark, sf_dir, path)
+    seen = job.BatchMetrics(spark, f"{path}/metrics", weights)
+    run = job.run_stream(
+        posts.replay_stream(spark, feed, max_files=_files_per_batch(spark, feed)),
+        _remainder_logits,
+        f"{path}/counts",
+        f"{path}/checkpoint",
+        STREAM,
+        trigger={"availableNow": True},
+        metrics=seen,
+    )
+    run.awaitTermination()
+    seen.wait(run)
+    observed = job.BatchMetrics.stored(spark, f"{path}/metrics")
+    counted = job.stream_metrics(spark, f"{path}/counts", weights).select(
+        "batch_id", *[F.col(c).alias(f"_{c}") for c in ("examples", "loss", "accuracy")]
+    )
+    both = observed.join(counted, "batch_id", "full")
+    unlike = [
+        ~F.round(c, 9).eqNullSafe(F.round(f"_{c}", 9)) for c in ("examples", "loss", "accuracy")
+    ]
+    # A batch may hold no test post at all.
+    unlike = F.coalesce("_examples", F.lit(0)) + F.coalesce("examples", F.lit(0)) > 0, *unlike
+    return both.agg(
+        F.sum("examples").alias("examples"),
+        F.sum(F.round(F.col("accuracy") * F.col("examples"))).cast("long").alias("hits"),
+        (F.count("*") >= 3).alias("several"),
+        F.count_if(unlike[0] & (unlike[1] | unlike[2] | unlike[3])).cast("int").alias("differing"),
+        F.sum("corrupt").alias("corrupt"),
+        F.sum("no_text").alias("no_text"),
+    )
+
+
+@query("SELECT props AS content, event_type AS account_category, count(*) AS n, true AS several FROM events GROUP BY ALL")
+def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events replayed at a pace, with a restart in between: each comes once."""
+    path = scratch_path(spark, "replay")
+    events = table(spark, sf_dir, "events")
+    posted = events.select(F.col("props").alias("content"), F.col("event_type").alias("account_category"))
+    rows = posted.count()
+    replay.write_replay_table(posted, f"{path}/table", rows_per_file=rows // 5 + 1)
+    for upto in (2, None):
+        lines = replay.replay_at_pace(spark, f"{path}/table", rows_per_trigger=rows // 7 + 1)
+
+        def write(batch: DataFrame, batch_id: int) -> None:
+            sinks.write_batch(batch, f"{path}/lines", batch_id)
+
+        run = lines.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint")
+        run = run.trigger(processingTime="0 seconds").start()
+        while upto and run.isActive and (run.lastProgress or {"batchId": 0})["batchId"] < upto:
+            time.sleep(0.05)
+        if upto is None:
+            run.processAllAvailable()
+        run.stop()
+    lines = sinks.read_batches(spark, f"{path}/lines", "value string")
+    batches = lines.agg(F.count_distinct("batch_id") >= 5).first()[0]
+    return R.parse_json(lines, "content string, account_category string", "value").groupBy(
+        "content", "account_category"
+    ).agg(F.count("*").alias("n")).withColumn("several", F.lit(batches))
+
+
 # A fitted model on a problem it can solve exactly: the text is the event's name.
 
 
@@ -1120,28 +1319,32 @@ def transfer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH e AS (SELECT {EVENT_CASE} AS given FROM events
-           WHERE NOT ({_sampled_sql("event_type || ' ' || event_id || '|' || event_type")})),
+           WHERE NOT ({_sampled_sql("event_type || '|' || event_type || '|' || event_id")})),
      cells AS (SELECT g AS given, p AS pred FROM range(0, 3) a(g), range(0, 3) b(p))
 SELECT CAST(given AS INTEGER) AS given, CAST(pred AS INTEGER) AS pred,
        CASE WHEN given = pred THEN (SELECT count(*) FROM e WHERE e.given = cells.given) ELSE 0 END AS n
 FROM cells
 """)
 def stream_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same model on the stream."""
+    """The same model on the stream; the id tells posts apart but is not in the text."""
     model = classify.train_classifier(_event_posts(spark, sf_dir), EVENTS.classes, EVENT_MODEL)
     path = scratch_path(spark, "stream")
     events = table(spark, sf_dir, "events")
     posted = events.select(
-        F.concat_ws(" ", "event_type", "event_id").alias("content"),
+        F.col("event_type").alias("content"),
         F.col("event_type").alias("account_category"),
+        F.col("event_id").cast("string").alias("event_id"),
+    )
+    fields = T.StructType.fromDDL("content string, account_category string, event_id string")
+    posts.write_replay(
+        posted, f"{path}/lines", rows_per_file=posted.count() // 4 + 1, columns=fields.fieldNames()
     )
-    posts.write_replay(posted.repartition(4), f"{path}/lines", rows_per_file=200_000)
     run = job.run_stream(
-        posts.replay_stream(spark, f"{path}/lines"),
+        posts.replay_stream(spark, f"{path}/lines", _files_per_batch(spark, f"{path}/lines")),
         lambda rows: job.stream_predict(rows, model, len(EVENTS.classes)),
         f"{path}/counts",
         f"{path}/checkpoint",
-        STREAM,
+        replace(STREAM, schema=fields),
         trigger={"availableNow": True},
     )
     run.awaitTermination()

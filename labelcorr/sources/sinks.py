@@ -86,6 +86,34 @@ def compact_batches(spark: SparkSession, path: str, schema: str) -> int | None:
     return max(new)
 
 
+def write_latest(df: DataFrame, path: str, batch_id: int) -> None:
+    """Write the whole result as of a micro-batch; it replaces the results before it.
+
+    The one before stays until the next is complete, so readers always find one.
+    """
+    write_batch(df, path, batch_id)
+    for b in _whole_batches(df.sparkSession, path):
+        if b < batch_id:
+            _remove(df.sparkSession, f"{path.rstrip('/')}/{BATCHES}/batch_id={b}")
+
+
+def read_latest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The result that ``write_latest`` wrote last; no rows before the first."""
+    whole = _whole_batches(spark, path)
+    if not whole:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path.rstrip('/')}/{BATCHES}/batch_id={max(whole)}")
+
+
+def _whole_batches(spark: SparkSession, path: str) -> list[int]:
+    folder = f"{path.rstrip('/')}/{BATCHES}"
+    return [
+        b
+        for b in _numbers(spark, folder, "batch_id=")
+        if "_SUCCESS" in _children(spark, f"{folder}/batch_id={b}")
+    ]
+
+
 def refuse_foreign_results(spark: SparkSession, path: str, checkpoint: str) -> None:
     """Raise if ``path`` holds results but ``checkpoint`` is new: batch numbers would start anew."""
     if not _children(spark, checkpoint) and _children(spark, path.rstrip("/")):

@@ -69,6 +69,71 @@ def test_every_file_by_its_own_header(spark, tmp_path):
         posts.read_posts(spark, str(tmp_path))
 
 
+RAGGED = """content,account_category
+good,LeftTroll
+hello, world,LeftTroll
+only
+"quoted, comma",NewsFeed
+
+"two
+lines",RightTroll
+"""
+
+
+def test_ragged_rows_raise(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(RAGGED)
+    for schema in (posts.POST_SCHEMA, "content string"):
+        with pytest.raises(Exception, match="refused row of a.csv"):
+            posts.read_posts(spark, str(tmp_path), schema).collect()
+    with pytest.raises(Exception, match="refused row of a.csv"):
+        posts.read_posts(spark, str(tmp_path)).count()
+    with pytest.raises(ValueError, match="raise or keep"):
+        posts.read_posts(spark, str(tmp_path), refused="drop")
+
+
+@pytest.mark.parametrize("schema", [posts.POST_SCHEMA, "account_category string"])
+def test_ragged_rows_are_quarantined(spark, tmp_path, schema):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text(RAGGED)
+    (tmp_path / "in" / "b.csv").write_text("n,account_category,content\n1,Unknown,x\n1,2,3,4\n")
+    rows = posts.read_posts(spark, str(tmp_path / "in"), schema, refused="keep")
+    counts = {r["file_name"]: (r["good"], r["refused"]) for r in posts.refusal_counts(rows).collect()}
+    assert counts == {"a.csv": (3, 2), "b.csv": (1, 1)}
+    good = posts.quarantine_posts(rows, str(tmp_path / "bad"))
+    got = sorted(r["account_category"] for r in good.collect())
+    assert got == ["LeftTroll", "NewsFeed", "RightTroll", "Unknown"] and "refused" not in good.columns
+    bad = spark.read.parquet(str(tmp_path / "bad")).collect()
+    assert sorted(map(tuple, bad)) == [
+        ("a.csv", "hello, world,LeftTroll"), ("a.csv", "only"), ("b.csv", "1,2,3,4")
+    ]
+    assert rows.count() == 7 and rows.filter("refused IS NOT NULL").count() == 3
+
+
+def test_headers_of_many_files_are_one_job(spark, tmp_path):
+    for i in range(120):
+        (tmp_path / f"f{i:03d}.csv").write_text(f"c{i % 3},content\nx,y\n")
+    (tmp_path / "empty.csv").write_text("\n\n")
+    (tmp_path / "marked.csv").write_bytes("\ufeffcontent,\"a\nb\",,X,x\r\n1,2,3,4,5".encode())
+    sc = spark.sparkContext
+    sc.setJobGroup("headers", "headers")
+    try:
+        found = posts.read_headers(spark, str(tmp_path))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("headers")) == 1
+    names = {Path(path).name: header for path, header in found.items()}
+    assert len(names) == 121 and names["f004.csv"] == ("c1", "content")
+    assert names["marked.csv"] == ("content", "a\nb", "_c2", "X3", "x4")
+
+
+def test_headers_that_only_spark_can_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(posts, "_opens", lambda uri: False)
+    (tmp_path / "a.csv").write_text("\ncontent,k\nx,y\n")
+    (tmp_path / "b.csv").write_text('k,"content"\nx,y\n')
+    found = posts.read_headers(spark, str(tmp_path))
+    assert sorted(found.values()) == [("content", "k"), ("k", "content")]
+
+
 def test_a_quote_inside_a_plain_cell(spark, tmp_path):
     rows = ['5" nail,LeftTroll', "plain,RightTroll", '7" pipe,Unknown', "last,NewsFeed"]
     (tmp_path / "a.csv").write_text("\n".join(["content,account_category", *rows]) + "\n")

@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from labelcorr.operators import quality as Q
 from labelcorr.operators.splits import mark_split
 from labelcorr.plans import catalog, classify
 from labelcorr.sources import posts as P
+from labelcorr.sources import replay, sinks
 from labelcorr.streaming import job
 
 CATEGORIES = ["LeftTroll", "NewsFeed", "RightTroll", "Elsewhere", None]
@@ -182,3 +184,103 @@ def test_replay_writes_limited_files(spark, tmp_path):
     assert len(list((tmp_path / "replay").glob("part-*"))) == 3
     assert json.loads(lines.first()["value"]).keys() == {"content", "account_category"}
     assert P.replay_stream(spark, path).isStreaming
+
+
+def test_copies_count_once_across_batches_and_restarts(spark, tmp_path):
+    text = lambda i, k: json.dumps({"content": f"post {i}", "account_category": k})
+    first = [text(i % 10, "LeftTroll") for i in range(40)] + ["bad", "bad"]
+    settings = job.StreamSettings(train_fraction=0.0, distinct_within="1 day")
+    path = start(spark, tmp_path, first, settings=settings)
+    total = lambda: job.stream_total(spark, path).first()
+    assert (total()["examples"], total()["corrupt"]) == (10, 2)
+    more = [text(3, "LeftTroll"), text(3, "RightTroll"), text(11, "NewsFeed"), text(11, "NewsFeed"), "bad"]
+    (tmp_path / "feed" / "zz1.txt").write_text("\n".join(more) + "\n")
+    (tmp_path / "feed" / "zz2.txt").write_text("\n".join(more) + "\n")
+    start(spark, tmp_path, [], settings=settings)
+    assert (total()["examples"], total()["corrupt"]) == (12, 4)
+
+
+def test_running_matrix_equals_the_batch_after_each_run(spark, tmp_path, lines):
+    (tmp_path / "feed").mkdir()
+    written, path = [], str(tmp_path / "matrix")
+    for n, part in enumerate((lines[:90], lines[90:], [])):
+        for i in range(0, len(part), 30):
+            (tmp_path / "feed" / f"{n}-{i:03d}.txt").write_text("\n".join(part[i : i + 30]) + "\n")
+        run = job.run_matrix(
+            P.replay_stream(spark, str(tmp_path / "feed")), by_length, path,
+            str(tmp_path / "checkpoint"), trigger={"availableNow": True},
+        )
+        run.awaitTermination()
+        written += part
+        wanted = M.dense_matrix(batch_result(spark, written), range(3), range(3))
+        got = job.running_matrix(spark, path, range(3), range(3))
+        assert sorted(map(tuple, got.collect())) == sorted(
+            map(tuple, M.conditional_distribution(wanted).collect())
+        )
+    # Only the last result is kept, however many batches there were.
+    assert len(list((tmp_path / "matrix" / "batches").glob("batch_id=*"))) == 1
+    with pytest.raises(ValueError, match="distinct"):
+        job.run_matrix(None, by_length, path, path, job.StreamSettings(distinct_within="1 hour"))
+
+
+def test_an_empty_running_matrix(spark, tmp_path):
+    found = job.running_matrix(spark, str(tmp_path / "none"), range(2), range(2))
+    assert [r["n"] for r in found.collect()] == [0] * 4
+
+
+@pytest.mark.parametrize("with_predictions", [False, True])
+def test_observed_metrics_equal_the_counts(spark, tmp_path, lines, with_predictions):
+    weights = [1.0, 2.0, 3.0]
+    extra = {"predictions_path": str(tmp_path / "out")} if with_predictions else {}
+    for part in (lines[:130], None):
+        seen = job.BatchMetrics(spark, str(tmp_path / "metrics"), weights)
+        if part is None:
+            (tmp_path / "feed" / "later.txt").write_text("\n".join(lines[130:]) + "\n")
+        feed = tmp_path / "feed"
+        if not feed.exists():
+            feed.mkdir()
+            for i in range(0, len(part), 60):
+                (feed / f"part{i:04d}.txt").write_text("\n".join(part[i : i + 60]) + "\n")
+        run = job.run_stream(
+            P.replay_stream(spark, str(feed)), by_length, str(tmp_path / "counts"),
+            str(tmp_path / "checkpoint"), trigger={"availableNow": True}, metrics=seen, **extra,
+        )
+        run.awaitTermination()
+        seen.wait(run)
+        got = job.BatchMetrics.stored(spark, str(tmp_path / "metrics")).orderBy("batch_id").collect()
+        wanted = job.stream_metrics(spark, str(tmp_path / "counts"), weights).orderBy("batch_id").collect()
+        assert [r["batch_id"] for r in got] == [r["batch_id"] for r in wanted]
+        for a, b in zip(got, wanted):
+            assert a["examples"] == b["examples"] and a["accuracy"] == pytest.approx(b["accuracy"])
+            assert a["loss"] == pytest.approx(b["loss"])
+    lost = job.stream_total(spark, str(tmp_path / "counts")).first()
+    assert sum(r["corrupt"] for r in got) == lost["corrupt"] == 2
+    assert sum(r["no_text"] for r in got) == lost["no_text"]
+
+
+def replayed(spark, tmp_path, rows_per_trigger, upto=None):
+    lines = replay.replay_at_pace(spark, str(tmp_path / "table"), rows_per_trigger, rows_per_task=4)
+    write = lambda batch, n: sinks.write_batch(batch, str(tmp_path / "lines"), n)
+    writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "c"))
+    run = writer.trigger(processingTime="0 seconds").start()
+    while upto and run.isActive and (run.lastProgress or {"batchId": 0})["batchId"] < upto:
+        time.sleep(0.05)
+    if not upto:
+        run.processAllAvailable()
+    run.stop()
+    rows = sinks.read_batches(spark, str(tmp_path / "lines"), "value string").collect()
+    return {b: [json.loads(r["value"])["content"] for r in rows if r["batch_id"] == b]
+            for b in {r["batch_id"] for r in rows}}
+
+
+def test_replay_keeps_its_pace_and_resumes(spark, tmp_path):
+    rows = [(f"t{i:03d}", "LeftTroll") for i in range(47)]
+    df = spark.createDataFrame(rows, "content string, account_category string").repartition(3)
+    replay.write_replay_table(df, str(tmp_path / "table"), rows_per_file=10)
+    first = replayed(spark, tmp_path, 5, upto=2)
+    whole = replayed(spark, tmp_path, 5)
+    assert all(whole[b] == texts for b, texts in first.items())
+    assert sorted(t for texts in whole.values() for t in texts) == [t for t, _ in rows]
+    assert [len(whole[b]) for b in sorted(whole)] == [5] * 9 + [2]
+    with pytest.raises(ValueError):
+        replay.replay_at_pace(spark, str(tmp_path / "table"), rows_per_trigger=0)
