@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from labelcorr.llm.common import written
@@ -16,19 +16,22 @@ def components(links: DataFrame) -> DataFrame:
     Alternates the large-star and small-star steps: every id links its larger
     neighbours to its smallest one, then its smaller neighbours. Each step is an
     aggregate and a join on the id, folded before the shuffle, so an id with many
-    links is never gathered. Ends when no link changes, which takes a number of
-    rounds logarithmic in the ids. Self links are kept as one-id components.
+    links is never gathered. Ends when a round leaves the links as they were, seen
+    by their number and the sum of their hashes as they are written; that takes a
+    number of rounds logarithmic in the ids. Self links are one-id components,
+    nulls are no links.
     """
-    found = links.select("a", "b")
+    links = links.filter("a IS NOT NULL AND b IS NOT NULL")
+    found, before = _apart(links), None
     for _ in range(MAX_ROUNDS):
-        found = written(_small_star(_large_star(_links(found))), "links")
-        ends = [F.struct(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")),
-                F.struct(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down"))]
-        ids = found.select(F.explode(F.array(*ends)).alias("e")).groupBy("e.id")
-        ids = ids.agg(F.sum("e.up").alias("up"), F.sum("e.down").alias("down"))
-        # Done when each id leads to one other at most, and that one nowhere.
-        if ids.filter("up > 1 OR up > 0 AND down > 0").isEmpty():
+        seen = Observation()
+        after = _small_star(_large_star(found))
+        mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+        found = written(after.observe(seen, F.count("*").alias("n"), mark.alias("mark")), "links")
+        now = seen.get["n"], seen.get["mark"]
+        if now == before or not now[0]:
             break
+        before = now
     else:
         raise RuntimeError("components did not settle")
     stars = found.select(F.col("a").alias("id"), F.col("b").alias("component"))
@@ -38,12 +41,10 @@ def components(links: DataFrame) -> DataFrame:
     return stars.unionByName(selves).groupBy("id").agg(F.min("component").alias("component"))
 
 
-def _links(df: DataFrame) -> DataFrame:
-    """Distinct links as (larger, smaller)."""
-    return (
-        df.filter(F.col("a") != F.col("b"))
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
+def _apart(df: DataFrame) -> DataFrame:
+    """Links of different ids as (larger, smaller); some may stand there twice."""
+    return df.filter(F.col("a") != F.col("b")).select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
 
 
@@ -56,12 +57,13 @@ def _large_star(links: DataFrame) -> DataFrame:
     stars = larger.join(least, F.col("a") == F.col("_a")).select(
         F.col("b").alias("a"), F.col("_m").alias("b")
     )
-    return _links(stars)
+    return _apart(stars)
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     least = links.groupBy("a").agg(F.min("b").alias("_m")).withColumnRenamed("a", "_a")
-    stars = links.join(least, F.col("a") == F.col("_a")).select(
-        F.explode(F.array(F.struct("a", F.col("_m").alias("b")), F.struct(F.col("b").alias("a"), F.col("_m").alias("b")))).alias("l")
+    ends = F.array(
+        F.struct("a", F.col("_m").alias("b")), F.struct(F.col("b").alias("a"), F.col("_m").alias("b"))
     )
-    return _links(stars.select("l.a", "l.b"))
+    stars = links.join(least, F.col("a") == F.col("_a")).select(F.explode(ends).alias("l"))
+    return _apart(stars.select("l.a", "l.b")).distinct()

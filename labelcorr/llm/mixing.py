@@ -21,7 +21,7 @@ log = logging.getLogger(__name__)
 MAX_TRAINING_ROWS = 20_000
 MOST = 4.0  # how often a document may be seen: four epochs
 GRID = 1024
-MAX_STEPS = 100
+MAX_STEPS = 150
 RECENT = 4  # a step may be worse than the last one, but not than so many
 TOLERANCE = 1e-4  # of the wanted tokens
 STILL = 1e-5  # the root mean square of a step that ends the fit

@@ -332,7 +332,7 @@ def verified(
                 ["a", "b"],
             )
 
-    return arrow_rows(stream, compare, "a long, b long").distinct()
+    return arrow_rows(stream, compare, "a long, b long")
 
 
 def near_duplicates(
@@ -367,8 +367,8 @@ def near_duplicates(
         .dropDuplicates(["rep"]),
         "classes",
     )
-    links = _linked(reps, docs, id_col, text_col, shingle, percent)
-    of_rep = components(links).withColumnRenamed("id", "rep")
+    labels = _labelled(reps, docs, id_col, text_col, shingle, percent)
+    of_rep = labels.withColumnRenamed("id", "rep")
     at = one.join(reps.select("n", "digest", "rep"), ["n", "digest"], "left")
     found = at.join(of_rep, "rep", "left").select(
         "id",
@@ -399,39 +399,51 @@ def without_near_duplicates(
     return left.select("_doc.*")
 
 
-def _linked(reps, docs, id_col, text_col, shingle, percent) -> DataFrame:
-    """Links between classes, enough of them to give the same components as all.
+def _labelled(reps, docs, id_col, text_col, shingle, percent) -> DataFrame:
+    """``(id, component)`` of the classes that are linked to another one.
 
     First the members of a list are compared with its hubs, the smallest id in
     each slot of a hash of the id. Lists with several components are then
-    compared in blocks.
+    compared in blocks. Links between classes are enough of them to give the
+    same components as all; those of a later turn join components, not ids.
     """
     threshold = percent / 100
     sets = reps.select(F.col("rep").alias("id"), "n", "sketch")
     entries = list_entries(sets, threshold)
     several = entries.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
     lists = written(entries.join(several, "key"), "lists")
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
-    labels = None
+    labels = docs.sparkSession.createDataFrame([], "id long, component long")
+    first = True
     for slots in HUBS:
-        lists, hubs = _opened(lists, labels, slots)
+        lists, hubs = _opened(lists, None if first else labels, slots)
         likely = estimated(_sized(_hub_pairs(lists, hubs), sets, threshold), threshold)
-        links, labels = _joined(links, labels, likely, docs, reps, id_col, text_col, shingle, percent)
+        labels = _joined(labels, likely, docs, reps, id_col, text_col, shingle, percent, first)
         used = hubs.select("key", F.explode("hubs.id").alias("id")).filter(F.col("id").isNotNull())
-        lists = lists.join(used, ["key", "id"], "left_anti")
-    lists, _ = _opened(lists, labels, 1)
+        lists, first = lists.join(used, ["key", "id"], "left_anti"), False
+    lists, _ = _opened(lists, None if first else labels, 1)
     likely = in_blocks(lists, sets, threshold)
-    return _joined(links, labels, likely, docs, reps, id_col, text_col, shingle, percent)[0]
+    return _joined(labels, likely, docs, reps, id_col, text_col, shingle, percent, first)
 
 
-def _joined(links, labels, likely, docs, reps, id_col, text_col, shingle, percent):
-    """The links with those of the likely pairs that are verified, and their components."""
-    likely = written(likely.distinct(), "likely")
+def _joined(labels, likely, docs, reps, id_col, text_col, shingle, percent, first) -> DataFrame:
+    """The labels after the likely pairs that are verified have joined their components."""
+    likely = written(likely, "likely")
     if likely.isEmpty():
-        return links, labels
+        return labels
     new = verified(likely, docs, reps, id_col, text_col, shingle, percent)
-    links = written(links.unionByName(new).distinct(), "links")
-    return links, written(components(links), "labels")
+    if first:
+        return written(components(new), "labels")
+    for end in ("a", "b"):
+        own = labels.select(F.col("id").alias(end), "component")
+        new = new.join(own, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    joined = components(written(new, "new-links")).select(
+        F.col("id").alias("component"), F.col("component").alias("_whole")
+    )
+    # Ids that had no component yet are components of their own.
+    alone = joined.select(F.col("component").alias("id"), "component")
+    known = labels.unionByName(alone.join(labels.select("id"), "id", "left_anti"))
+    whole = known.join(joined, "component", "left")
+    return written(whole.select("id", F.coalesce("_whole", "component").alias("component")), "labels")
 
 
 def in_blocks(lists: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:

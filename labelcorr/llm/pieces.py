@@ -19,8 +19,8 @@ from labelcorr.llm.common import arrow_rows, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHED_WORDS = 500_000
-CACHED_PAIRS = 1_000_000
+CACHED_WORDS = 200_000
+CACHED_PAIRS = 400_000
 LONG_WORD = 200
 
 

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelcorr.llm.common import arrow_rows, utf8
 
-# Insults and slurs against a person, lower case, one word each.
+# Insults and slurs against a person, lower case, one word each: where no lexicon was learnt.
 LEXICON = frozenset(
     """
     idiot idiots idiotic moron morons moronic loser losers clown clowns scum scumbag
@@ -35,6 +35,39 @@ NAMES = (
     "log_lines", "spaces", "insults", "log_insults", "distinct_insults", "second_person",
     "insults_near_you", "obfuscated", "spelled_out",
 )
+# Added where a lexicon was learnt.
+LEARNT = ("learnt_share", "learnt_weight", "learnt_most")
+SHORTEST, LONGEST = 3, 10  # bytes of the beginnings of words that a lexicon holds
+KNOWN_WORDS = 200_000
+
+
+class Weights(dict):
+    """The weight of a word by a lexicon of words (``=word``) and beginnings; 0 if it has none.
+
+    A dictionary of the words seen so far, of bounded size.
+    """
+
+    def __init__(self, lexicon: dict[bytes, float]):
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        found = max((self.lexicon.get(t, 0.0) for t in terms(word)), default=0.0)
+        if len(word) < 100:
+            self[word] = found
+        return found
+
+
+def terms(word: bytes) -> list[bytes]:
+    """What a lexicon may know of a word: itself, and how it begins."""
+    return [b"=" + word, *[word[:k] for k in range(SHORTEST, min(LONGEST, len(word)) + 1)]]
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Runs of letters, A-Z lower-cased; bytes beyond ASCII count as letters."""
+    return text.translate(PLAIN).split()
 
 
 def _table(keep: bytes, swap: dict[str, str] | None = None) -> bytes:
@@ -62,12 +95,13 @@ INSULTS = frozenset(w.encode() for w in LEXICON)
 YOU = frozenset(w.encode() for w in SECOND_PERSON)
 
 
-def features(text: bytes) -> list[float]:
-    """One number per name in ``NAMES``; all zero for an empty text."""
+def features(text: bytes, weights: Weights | None = None) -> list[float]:
+    """One number per name in ``NAMES``, and with ``weights`` in ``LEARNT``; all zero for an
+    empty text. With ``weights``, insults are the words that have one."""
     words = text.split()
     n = len(words)
     if not n:
-        return [0.0] * len(NAMES)
+        return [0.0] * (len(NAMES) + (len(LEARNT) if weights is not None else 0))
     size = len(text)
     codes = np.frombuffer(text, np.uint8)
     seen = np.bincount(codes, minlength=256)
@@ -75,8 +109,10 @@ def features(text: bytes) -> list[float]:
     hit = IS_MARK[codes]
     runs = int(np.count_nonzero(hit[1:] & hit[:-1]))
     lines = [x for x in text.split(b"\n") if x.strip()]
-    plain = text.translate(PLAIN).split()
-    found = [i for i, hit in enumerate(map(INSULTS.__contains__, plain)) if hit]
+    plain = words_of(text)
+    weigh = INSULTS.__contains__ if weights is None else weights.__getitem__
+    told = list(map(weigh, plain))
+    found = [i for i, hit in enumerate(told) if hit]
     you = [i for i, w in enumerate(plain) if w in YOU] if found else []
     addressed = 0
     if you:
@@ -85,10 +121,14 @@ def features(text: bytes) -> list[float]:
             j = np.searchsorted(at, i)
             gap = min(abs(int(at[k]) - i) for k in (j - 1, j) if 0 <= k < len(at))
             addressed += gap <= NEAR_WORDS
-    masked = sum(map(INSULTS.__contains__, text.translate(LEET, b"*.-_").split()))
+    masked = sum(map(bool, map(weigh, text.translate(LEET, b"*.-_").split())))
     single = np.fromiter(map(len, plain), np.int64, len(plain)) == 1
     spelled = int(np.count_nonzero(single[3:] & single[2:-1] & single[1:-2] & single[:-3]))
     per_word = 1000.0 / n
+    learnt = []
+    if weights is not None:
+        # A few words more than there are: single hits in short texts are worth less.
+        learnt = [len(found) / (n + 5), sum(told) / (n + 5) ** 0.5, max(told, default=0.0)]
     return [
         float(np.log1p(n)),
         size / n,
@@ -112,22 +152,40 @@ def features(text: bytes) -> list[float]:
         addressed * per_word,
         max(0, masked - len(found)) * per_word,
         spelled * per_word,
+        *learnt,
     ]
 
 
-def statistics(docs: DataFrame, id_col: str, text_col: str, *also: str) -> DataFrame:
-    """``(id, *also, *NAMES)`` per row, over whole texts; null counts as empty."""
-    rows = docs.select(utf8(text_col).alias("text"), F.col(id_col).alias("id"), *also)
-    told = [T.StructField(name, T.DoubleType()) for name in NAMES]
-    schema = T.StructType(rows.drop("text").schema.fields + told)
+def statistics(
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    *also: str,
+    lexicons: Sequence[dict[bytes, float]] | None = None,
+    which: Column | None = None,
+) -> DataFrame:
+    """``(id, *also, *NAMES)`` per row, over whole texts; null counts as empty.
+
+    With ``lexicons``, of bounded size, ``LEARNT`` too, by the lexicon whose number
+    ``which`` gives (the first by default). An empty table gives an empty result.
+    """
+    which = F.lit(0) if which is None else which
+    rows = docs.select(
+        utf8(text_col).alias("text"), which.cast("int").alias("_which"), F.col(id_col).alias("id"), *also
+    )
+    names = NAMES if lexicons is None else (*NAMES, *LEARNT)
+    told = [T.StructField(name, T.DoubleType()) for name in names]
+    schema = T.StructType(rows.drop("text", "_which").schema.fields + told)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = None if lexicons is None else [Weights(x) for x in lexicons]
         for batch in batches:
-            found = np.array([features(t.as_py()) for t in batch.column(0)], np.float64)
-            found = found.reshape(-1, len(NAMES))
+            pairs = zip(batch.column(0), batch.column(1).to_pylist())
+            found = [features(t.as_py(), weights and weights[k]) for t, k in pairs]
+            found = np.array(found, np.float64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], *[pa.array(found[:, i]) for i in range(len(NAMES))]],
-                [*batch.schema.names[1:], *NAMES],
+                [*batch.columns[2:], *[pa.array(found[:, i]) for i in range(len(names))]],
+                [*batch.schema.names[2:], *names],
             )
 
     return arrow_rows(rows, run, schema)

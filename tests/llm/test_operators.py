@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from labelcorr.llm import fingerprints as fp
-from labelcorr.llm import mixing, near_dedup, pieces, queries, secrets, text_stats, warc
+from labelcorr.llm import mixing, near_dedup, pieces, queries, secrets, text_stats, toxicity, warc
 from labelcorr.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -268,11 +268,33 @@ def held_out_auc(spark, rows, label):
 @needs_data
 def test_toxicity_on_held_out_rows(spark):
     auc, scored = held_out_auc(spark, queries.op2_toxicity(spark, SF_BIG), "toxic")
-    assert auc > 0.6
+    assert auc > 0.8
     flagged = [r["toxic"] for r in scored if r["score"] >= 0.7]
     assert flagged and sum(flagged) >= 0.9 * len(flagged)
 
 
+@needs_data
+def test_toxicity_is_found_in_every_language(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang")
+    scored = queries.op2_toxicity(spark, folder).filter("held_out").join(labels, "doc_id").join(docs, "doc_id")
+    rows = scored.groupBy("lang", "toxic").agg(F.avg(F.col("predicted")).alias("flagged")).collect()
+    share = {(r["lang"], r["toxic"]): r["flagged"] for r in rows}
+    for lang in ("de", "en", "es", "fr"):
+        assert share[lang, 1] >= 0.8 and share[lang, 0] <= 0.02, share
+
+
+def test_a_lexicon_is_learnt_without_the_part_it_describes(spark):
+    rows = [(i, f"{'bahfoo' if i % 3 == 0 else 'bah'}{'xyz'[i % 3]} other words {i}", int(i % 3 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _label int")
+    whole, *parts = toxicity.learnt_lexicons(df, "doc_id", "text")
+    assert {b"bahf", b"bahfoo", b"=bahfoox"} <= set(whole) and b"bah" not in whole and b"=other" not in whole
+    assert len(parts) == toxicity.PARTS and all(0 < p[b"bahfoo"] < whole[b"bahfoo"] for p in parts)
+    weights = text_stats.Weights(whole)
+    assert weights[b"bahfoolish"] == whole[b"bahfoo"] and weights[b"ba"] == 0
+
+
 @needs_data
 def test_quality_on_held_out_rows(spark):
     auc, scored = held_out_auc(spark, queries.op5_quality(spark, SF_BIG), "quality")
