@@ -16,14 +16,16 @@ from labelcorr.functions import text as X
 from labelcorr.functions import tokens as K
 from labelcorr.functions.scores import argmax
 from labelcorr.operators import counts as C
+from labelcorr.operators import label_tables as LT
 from labelcorr.operators import matrix as M
 from labelcorr.operators import quality as Q
 from labelcorr.operators import rows as R
 from labelcorr.operators import splits as S
 from labelcorr.operators import vocabulary as V
 from labelcorr.plans import classify, jobs
+from labelcorr.plans import multilabel as ML
 from labelcorr.session import scratch_path
-from labelcorr.sources import files, models, posts, replay, sinks
+from labelcorr.sources import files, models, positions, posts, replay, sinks
 from labelcorr.streaming import job
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -930,6 +932,77 @@ def predictions_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("ids bigint, political_bias int").option("header", True).csv(path)
 
 
+@query("""
+SELECT c_custkey, n_regionkey AS code, r_name AS name
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+""")
+def encode_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as raw labels of an axis of regions, which is data."""
+    nations = table(spark, sf_dir, "nation")
+    raw = nations.select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(F.broadcast(raw), "c_nationkey")
+    labels = _region_labels(spark, sf_dir)
+    found = LT.encode_by_table(customers, "n_name", labels, "region", name_col="name")
+    return found.select("c_custkey", "code", "name")
+
+
+@query("""
+SELECT c_custkey, CASE WHEN n_regionkey = 0 THEN -1 ELSE n_regionkey - 1 END AS code
+FROM customer JOIN nation ON c_nationkey = n_nationkey
+""")
+def encode_by_read_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same axis without its first region, read from the table; that region gets the default."""
+    rest = _region_labels(spark, sf_dir).filter("code > 0").withColumn("code", F.col("code") - 1)
+    axis = LT.read_axis(rest, "region")
+    raw = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    customers = table(spark, sf_dir, "customer").join(F.broadcast(raw), "c_nationkey")
+    return customers.select("c_custkey", axis.encode(F.col("n_name"), default=-1).alias("code"))
+
+
+def _region_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    return table(spark, sf_dir, "nation").join(F.broadcast(regions), "n_regionkey").select(
+        F.lit("region").alias("axis"),
+        F.col("n_name").alias("raw"),
+        F.col("n_regionkey").cast("int").alias("code"),
+        F.col("r_name").alias("name"),
+    )
+
+
+@query("""
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id, doc_id, lang, doc_id AS other_id, n_chars FROM documents
+""")
+def join_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables in the same order but files of other sizes, put side by side."""
+    path = scratch_path(spark, "positions")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").orderBy("doc_id")
+    sides = {"left": ("doc_id", "lang"), "right": (F.col("doc_id").alias("other_id"), "n_chars")}
+    for name, columns in sides.items():
+        rows = 97 if name == "left" else 64
+        docs.select(*columns).write.option("maxRecordsPerFile", rows * 100).parquet(f"{path}/{name}")
+    return positions.join_by_position(spark, f"{path}/left", f"{path}/right")
+
+
+@query("""
+WITH e AS (SELECT list_distinct([user_id % 3, 3 + event_id % 2]) AS labels FROM events),
+     u AS (SELECT unnest(labels) AS label FROM e),
+     c AS (SELECT label, count(*) AS n FROM u GROUP BY label)
+SELECT CAST(label AS INTEGER) AS label, n AS both, 0 AS only_predicted, 0 AS only_true, 1.0 AS micro_f1 FROM c
+""")
+def multi_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with two labels each, which their texts tell; models that share one TF-IDF."""
+    codes = [F.pmod("user_id", F.lit(3)), 3 + F.pmod("event_id", F.lit(2))]
+    words = [F.concat(F.lit(w), c) for w, c in zip("ue", codes)]
+    rows = table(spark, sf_dir, "events").select(
+        F.concat_ws(" ", *words).alias("content"),
+        ML.label_sets(codes).cast("array<int>").alias("labels"),
+    )
+    model = ML.train_multi_label(rows, 5, classify.Settings(features=1 << 10, reg=0.001))
+    counters = ML.label_counters(ML.predict_multi_label(rows, model), 5)
+    score = ML.multi_label_scores(counters).first()["micro_f1"]
+    return counters.withColumn("micro_f1", F.lit(score))
+
+
 # Model jobs: no SQL equal.
 
 
