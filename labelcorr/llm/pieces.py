@@ -19,6 +19,7 @@ from labelcorr.llm.common import arrow_rows, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+UNIGRAM, BPE = 1, 2  # fixed values: how a model file names its type
 CACHED_WORDS = 200_000
 CACHED_PAIRS = 400_000
 LONG_WORD = 200
@@ -63,6 +64,8 @@ class Transducer:
                 self.ids[piece] = i
                 self.emitted.append(piece.replace(SPACE, " ").encode())
         spec = normaliser_of(model)
+        if spec["model_type"] != BPE:
+            raise ValueError("the model is no BPE model: merging would give other ids")
         if spec["charsmap"] or spec["remove_extra_spaces"] or not spec["escape_spaces"]:
             raise ValueError("this model rewrites characters: not supported")
         self.prefix = SPACE if spec["dummy_prefix"] else ""
@@ -186,7 +189,8 @@ class Transducer:
 
 
 def normaliser_of(model: bytes) -> dict:
-    """The normaliser part of a serialised model (field 3 of its message)."""
+    """The normaliser part of a serialised model (field 3 of its message), and the model's
+    type, which stands in its trainer part (field 2)."""
 
     def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at = 0
@@ -212,8 +216,11 @@ def normaliser_of(model: bytes) -> dict:
                 yield key >> 3, data[at : at + size]
                 at += size
 
-    spec = dict(fields(next((v for k, v in fields(model) if k == 3), b"")))
+    trained, spec = (
+        dict(fields(next((v for k, v in fields(model) if k == part), b""))) for part in (2, 3)
+    )
     return {
+        "model_type": trained.get(3, UNIGRAM),
         "charsmap": spec.get(2, b""),
         "dummy_prefix": bool(spec.get(3, 1)),
         "remove_extra_spaces": bool(spec.get(4, 1)),
