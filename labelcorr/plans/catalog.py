@@ -1372,6 +1372,26 @@ def select_best_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(FOLD_SQL + """
+SELECT CAST(c AS INTEGER) AS candidate, 1.0 AS score,
+       (SELECT count(*) FROM folds) AS examples, (SELECT count(DISTINCT fold) FROM folds) AS folds
+FROM range(0, 2) r(c)
+""")
+def cross_validate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five stratified folds, each scored by models of the other four, which tell all events apart."""
+    folds = _event_folds(spark, sf_dir).withColumn("content", F.col("event_type"))
+    rows = folds.withColumn("label", EVENTS.encode(F.col("event_type")))
+    rows = rows.select("content", "label", "fold")
+    model, scores = classify.cross_validate(rows, EVENTS.classes, [0.001, 0.01], 5, EVENT_MODEL)
+    sizes = rows.agg(F.count("*").alias("examples"), F.count_distinct("fold").alias("folds"))
+    # The model of all rows is that of the better candidate.
+    told = jobs.predicted_matrix(rows, model, "label", EVENTS, EVENTS)
+    assert told.filter("given <> pred AND n > 0").isEmpty()
+    scored = [F.struct(F.lit(i).alias("candidate"), F.lit(x).alias("score")) for i, x in enumerate(scores)]
+    candidates = F.inline(F.array(*scored))
+    return sizes.select(candidates, "examples", "folds")
+
+
 @query("""
 WITH c AS (SELECT CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END AS given, count(*) AS n
            FROM conversations WHERE text IS NOT NULL GROUP BY 1),
