@@ -9,7 +9,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -177,7 +176,11 @@ def token_counts(
     result; other columns are not looked at. ``model`` is a path on the driver:
     tasks get the vocabulary, which has a fixed size, as a broadcast.
     """
-    vocabulary, whole = _prepared(model or public_tokenizers.path(MODEL))
+    if model is None:
+        import public_tokenizers  # only where its file is asked for
+
+        model = public_tokenizers.path(MODEL)
+    vocabulary, whole = _prepared(model)
     told = {k: vocabulary[k] for k in ("bytes", "merges", "added")}
     shared = docs.sparkSession.sparkContext.broadcast((told, whole))
 
