@@ -17,10 +17,12 @@ The job, all on Spark tables:
 3. In each list members are first compared with a few hubs. Pairs pass a size
    filter, the union-sketch estimate, and then the exact similarity of the full
    sets. The links are joined to components, which leaves few lists with several
-   components. Those are compared in blocks: common values of two blocks of
-   members are counted at once, only pairs that may pass the estimate leave the
-   task, each from one of the lists that hold it. So every pair of a list is
-   compared or already connected.
+   components. Short ones are compared whole. The members of a very common one
+   are listed anew by the rarest values of their sketches, as many as a likely
+   partner must share one of, so that what they all have in common makes no
+   pairs. Common values of a list's members are counted at once, only pairs that
+   may pass the estimate leave the task, each from one of the lists that hold it.
+   So every pair of a list is compared, cannot be likely or is already connected.
 4. The exact check streams pairs sorted by hub, so a task holds one set of a hub
    and one batch of members, however many copies a group has.
 
@@ -54,6 +56,7 @@ SIGMAS = 6
 LONGEST_RUN = 4
 HUBS = (4,)  # per list and turn
 BLOCK = 256
+COUNTERS = 1 << 18  # of values in very common lists; 2 MB
 CHUNK = 512
 WANTED_MAPS = 512  # 2 MB
 
@@ -446,26 +449,104 @@ def _joined(labels, likely, docs, reps, id_col, text_col, shingle, percent, firs
     return written(whole.select("id", F.coalesce("_whole", "component").alias("component")), "labels")
 
 
+def _least_common(n: int, threshold: float) -> int:
+    """How many values of a sketch of a set of ``n`` a likely partner's sketch has at least."""
+    whole = math.ceil(threshold * n - 1e-6)
+    if n < threshold * (SKETCH + 1) - 1e-6:
+        return whole  # neither set is cut
+    return min(whole, math.ceil((threshold - _slack(threshold, SKETCH)) * SKETCH - 1e-6))
+
+
+def rare_lists(crowd: DataFrame, threshold: float) -> DataFrame:
+    """``(key, id, component, rare)``: lists of single values for members of very common lists.
+
+    ``crowd`` is ``(id, component, n, sketch)``. Values are put in one order for
+    all, rare ones first. Two sketches that have at least ``c`` values in common
+    share one of the first ``len - c + 1`` values of each, so a member is listed
+    under these only: what is common to the crowd comes last and makes no lists.
+    ``rare`` are all the values that a member is listed under. How common a value
+    is, is counted over the crowd in ``COUNTERS`` cells; values that share a cell
+    count together, which changes the order for all sketches alike and loses no
+    pair. A cell that was met once holds a value of one member, with no partner.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for sketch in batch.column(0):
+                seen += np.bincount(_cells(sketch.as_py()), minlength=COUNTERS)
+        cells = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(seen[cells])], ["cell", "n"])
+
+    counted = arrow_rows(crowd.select("sketch"), count, "cell long, n long")
+    cells = counted.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    common = crowd.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = []
+            for n, sketch in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                values = np.unique(np.frombuffer(sketch, "<u4"))
+                met = common.value[_cells(values.tobytes())]
+                # One more than needed, should two shingles have the same value.
+                places = len(sketch) // 4 - _least_common(n, threshold) + 2
+                first = np.lexsort((values, met))[:places]
+                lists.append(np.sort(values[first[met[first] > 1]]))
+            times = np.array([len(x) for x in lists], np.int64)
+            at = pa.array(np.repeat(np.arange(len(lists)), times))
+            rare = pa.array([x.tobytes() for x in lists], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([*lists, np.empty(0, "<u4")]).astype(np.int64)),
+                    batch.column(0).take(at),
+                    batch.column(1).take(at),
+                    rare.take(at),
+                ],
+                ["key", "id", "component", "rare"],
+            )
+
+    rows = crowd.select("id", "component", "n", "sketch")
+    return arrow_rows(rows, run, "key long, id long, component long, rare binary")
+
+
+def _cells(sketch: bytes) -> np.ndarray:
+    return np.frombuffer(sketch, "<u4").astype(np.int64) % COUNTERS
+
+
 def in_blocks(lists: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Likely pairs ``(a, b)`` of different components in the same list ``(key, id, component)``.
 
-    The members of a list are dealt to blocks of about ``BLOCK``; a task holds
-    two blocks at a time and counts the values that their sketches share.
+    Members of lists longer than ``BLOCK`` are listed anew by their rare values.
+    A list that is long even then is dealt to blocks; a task holds a list, or two
+    blocks of one, at a time and counts the values that their sketches share.
     """
     sizes = lists.groupBy("key").agg(F.count("*").alias("_n"))
-    rows = lists.join(sizes, "key").withColumn("_blocks", F.expr(f"int((_n + {BLOCK - 1}) div {BLOCK})"))
+    long = sizes.filter(F.col("_n") > BLOCK).select("key")
+    members = lists.join(long, "key", "left_semi").select("id", "component").distinct()
+    crowd = written(members.join(sets, "id"), "crowd")
+    rows = lists.join(long, "key", "left_anti") if (several := not crowd.isEmpty()) else lists
+    rows = rows.select("key", "id", "component", F.lit(None).cast("binary").alias("rare"), F.lit(1).alias("_blocks"))
+    if several:
+        anew = written(rare_lists(crowd, threshold), "rare")
+        sizes = anew.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1")
+        anew = anew.join(sizes, "key").withColumn("_blocks", F.expr(f"int((_n + {BLOCK - 1}) div {BLOCK})"))
+        rows = rows.unionByName(anew.drop("_n"))
     rows = rows.withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
     rows = rows.join(sets, "id").withColumn("_other", F.explode(F.expr("sequence(0, _blocks - 1)")))
     cells = rows.select(
+        F.col("rare").isNull().alias("by_run"),
         "key",
         F.least("_block", "_other").alias("x"),
         F.greatest("_block", "_other").alias("y"),
         (F.col("_block") > F.col("_other")).alias("right"),
-        "id", "component", "n", "sketch",
+        "id", "component", "n", "sketch", "rare",
     )
     # Little data but much work: as many tasks as there are shuffle partitions.
     tasks = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = cells.repartition(tasks, "key", "x", "y").sortWithinPartitions("key", "x", "y")
+    place = ["by_run", "key", "x", "y"]
+    cells = cells.repartition(tasks, *place).sortWithinPartitions(*place)
 
     bands = run_bands(threshold)
 
@@ -490,7 +571,10 @@ def in_blocks(lists: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             return []
         # A pair that shares a smaller key is compared in that list.
         mine = np.uint64(key % (1 << 64))
-        keys = [_keys(r[3], r[4], threshold, bands) for r in rows]
+        keys = [
+            _keys(r[3], r[4], threshold, bands) if r[5] is None else np.frombuffer(r[5], "<u4").astype(np.uint64)
+            for r in rows
+        ]
         good &= shared([k[: np.searchsorted(k, mine)] for k in keys]) == 0
         if not good.any():
             return []
@@ -509,16 +593,17 @@ def in_blocks(lists: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         at, held = None, []
         for batch in batches:
             found = []
-            for key, x, y, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if at != (key, x, y):
+            for by_run, key, x, y, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != (by_run, key, x, y):
                     if len(held) > 1:
-                        found += compare(at[0], held)
-                    at, held = (key, x, y), []
-                held.append(row)  # right, id, component, n, sketch
+                        found += compare(at[1], held)
+                    at, held = (by_run, key, x, y), []
+                held.append(row)  # right, id, component, n, sketch, rare
             yield _pairs(found)
-        yield _pairs(compare(at[0], held) if len(held) > 1 else [])
+        yield _pairs(compare(at[1], held) if len(held) > 1 else [])
 
-    return arrow_rows(cells, run, "a long, b long")
+    # A pair may be on lists of both kinds.
+    return arrow_rows(cells, run, "a long, b long").distinct()
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
