@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
@@ -20,7 +20,7 @@ from labelcorr.functions.scores import class_weight
 from labelcorr.functions.tokens import WORD_GAPS
 from labelcorr.operators.counts import weight_list
 from labelcorr.operators.quality import evaluate, score_counts
-from labelcorr.session import kept
+from labelcorr.session import kept, remove, scratch_path
 
 
 @dataclass(frozen=True)
@@ -77,6 +77,24 @@ def classifier(settings: Settings, label: str = "label") -> LogisticRegression:
     )
 
 
+def fitted_on(rows: DataFrame, estimator: LogisticRegression) -> LogisticRegressionModel:
+    """The fitted model as a saved one is loaded, without its training summary.
+
+    The summary of a model of two classes holds the session, which would travel
+    with every task that scores; whether it can be serialised depends on what
+    the session did before.
+    """
+    model = estimator.fit(rows)
+    if model.numClasses > 2:
+        return model
+    path = scratch_path(rows.sparkSession, "fitted")
+    model.save(path)
+    try:
+        return LogisticRegressionModel.load(path)
+    finally:
+        remove(rows.sparkSession, path)
+
+
 def hashed(df: DataFrame, stages: list, *columns: str) -> DataFrame:
     """Term counts of the texts, the form in which a training set is kept."""
     tokenizer, counter, _ = stages
@@ -103,7 +121,7 @@ def train_classifier(
     with kept(hashed(df, stages, label)) as counts:
         idf = stages[2].fit(counts)
         rows = weighted(idf.transform(counts), label, weight_list(counts, label, classes))
-        fitted = classifier(settings, label).fit(rows)
+        fitted = fitted_on(rows, classifier(settings, label))
     return PipelineModel([*stages[:2], idf, fitted])
 
 
@@ -133,7 +151,7 @@ def select_best(
             rows = weighted(idf.transform(train_counts), label, weights)
             checked = idf.transform(holdout_counts)
             for i, settings in same:
-                fitted = classifier(settings, label).fit(rows)
+                fitted = fitted_on(rows, classifier(settings, label))
                 scored = with_logits(fitted.transform(checked), len(classes))
                 found = evaluate(score_counts(scored, label), weights).first()
                 scores = {

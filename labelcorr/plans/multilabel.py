@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import PipelineModel
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelcorr.functions.parse import unpacked
-from labelcorr.plans.classify import Settings, classifier, hashed, tfidf_features
+from labelcorr.plans.classify import Settings, classifier, fitted_on, hashed, tfidf_features
 from labelcorr.session import kept
 
 
@@ -56,8 +56,7 @@ def train_multi_label(
 def _fitted(rows: DataFrame, has: Column, share: float, settings: Settings):
     weight = F.when(has, 0.5 / share).otherwise(0.5 / (1 - share))
     told = rows.withColumns({"label": has.cast("double"), "_weight": weight})
-    model = classifier(replace(settings)).setFamily("binomial").fit(told)
-    return model
+    return fitted_on(told, classifier(settings).setFamily("binomial"))
 
 
 def predict_multi_label(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from labelcorr.functions.labels import POLITICAL_BIAS, SENTIMENT
 from labelcorr.operators import splits as S
 from labelcorr.operators.quality import evaluate, prediction_table, score_counts
-from labelcorr.plans import classify, jobs
+from labelcorr.plans import classify, jobs, multilabel
 from labelcorr.sources import models
 
 SMALL = classify.Settings(features=256, max_iter=10)
@@ -147,3 +147,17 @@ def test_save_and_load(spark, tmp_path, prepared, model):
     listed = models.list_models(spark, str(tmp_path)).collect()
     assert [r["f1"] for r in listed] == [0.9, 0.68149]
     assert listed[1]["path"].endswith("political_bias-fold-0-candidate-5")
+
+
+def test_models_of_two_classes_take_no_session_to_the_tasks(spark):
+    rows = spark.createDataFrame([("left", 0), ("right", 1)] * 10, "content string, label int")
+    settings = classify.Settings(features=1 << 6)
+    one = classify.train_classifier(rows, [0, 1], settings)
+    best = classify.select_best(rows, rows, [0, 1], [settings]).model
+    arrays = rows.selectExpr("content", "array(label) AS labels")
+    several = multilabel.train_multi_label(arrays, 2, settings)
+    for model in (one.stages[-1], best.stages[-1], *several.labels):
+        data = spark._jvm.java.io.ByteArrayOutputStream()
+        spark._jvm.java.io.ObjectOutputStream(data).writeObject(model._java_obj)
+        assert b"sql.classic.SparkSession" not in bytes(data.toByteArray())
+        assert model.numClasses == 2
