@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from labelcorr.session import scratch_path
+from labelcorr.session import bounded_batches, written  # noqa: F401
 
-BATCH_BYTES = 16 * 1024 * 1024
 BITS_PER_MAP = 32_768
 
 
@@ -19,16 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, so later passes and retries read it."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def arrow_rows(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with batches bounded in bytes, whatever the length of the texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelcorr.functions import tokens as K
-from labelcorr.session import checkpointed
+from labelcorr.session import bounded_batches, kept, written
 
 MAX_BROADCAST_TOKENS = 1_000_000
-OPEN = -(2**31)  # marks a token the shipped part of the vocabulary does not have
+OPEN = -(2**31)  # from here on: places of tokens the shipped part of the vocabulary does not have
 
 
 def max_tokens(df: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -73,39 +74,37 @@ def encode_tokens(
 
     A NULL list stays NULL, an empty one empty. The first ``max_broadcast``
     tokens of the vocabulary, which are its most frequent, are shipped to the
-    tasks and looked up in Arrow batches. Only if there are more, the tokens that
-    this left open are joined with the rest of the vocabulary: they are rare, so
-    the join has no hot key and needs no salt. Rows are told apart by a
-    number given here.
+    tasks and looked up in Arrow batches bounded in bytes. Only if there are more,
+    the tokens that this left open, each once per row, are joined with the rest
+    of the vocabulary: they are rare, so the join has no hot key and needs no
+    salt. Rows are told apart by a number given here. The vocabulary is computed
+    once, and each row is looked up once and written with what it left open.
     """
-    pairs = vocabulary.select("token", F.col("token_id").cast("int").alias("token_id"))
-    ordered = pairs.orderBy("token_id")
-    head = ordered.limit(max_broadcast).toArrow() if max_broadcast else None
-    size = head.num_rows if head is not None else 0
-    if size < max_broadcast or pairs.count() == size:
-        return df.withColumn(output, _looked_up(df.sparkSession, head, unknown_id)(F.col(tokens)))
-
-    rows = checkpointed(df.withColumn("_row", F.monotonically_increasing_id()))
-    if size:
-        found = _looked_up(df.sparkSession, head, OPEN)(F.col(tokens))
-        last = head["token_id"].to_pylist()[-1]
-        pairs = pairs.filter(F.col("token_id") > last)
-    else:
-        found = F.transform(tokens, lambda t: F.lit(OPEN))
-    rows = rows.withColumn("_ids", found)
-    cut = rows.filter(F.size(tokens) > 0)
-    rare = cut.select("_row", "_ids", F.posexplode(tokens).alias("_pos", "token"))
-    rare = rare.filter((F.get("_ids", F.col("_pos")) == OPEN) & F.col("token").isNotNull())
-    joined = rare.select("_row", "_pos", "token").join(pairs, "token")
-    entries = F.map_from_entries(F.collect_list(F.struct("_pos", "token_id")))
-    of_row = joined.groupBy("_row").agg(entries.alias("_rare"))
+    bounded_batches(df.sparkSession)
+    with kept(vocabulary.select("token", F.col("token_id").cast("int").alias("token_id"))) as pairs:
+        head = pairs.orderBy("token_id").limit(max_broadcast + 1).toArrow()
+        if head.num_rows <= max_broadcast:
+            return df.withColumn(output, _looked_up(df.sparkSession, head, unknown_id)(F.col(tokens)))
+        first_open = head["token_id"][max_broadcast].as_py()
+        rest = written(pairs.filter(F.col("token_id") >= first_open), "vocabulary")
+
+    found = _left_open(df.sparkSession, head.slice(0, max_broadcast), unknown_id)(F.col(tokens))
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    rows = written(numbered.withColumn("_coded", found), "coded")
+    open_tokens = rows.select("_row", F.posexplode("_coded.open").alias("_at", "token"))
+    joined = open_tokens.join(rest, "token", "left")
+    # Place and id in one number, so the sorted list of a row holds its ids by place.
+    token_id = F.coalesce("token_id", F.lit(unknown_id)).cast("long")
+    placed = F.shiftleft(F.col("_at").cast("long"), 32) + (token_id - OPEN)
+    of_row = joined.groupBy("_row").agg(F.array_sort(F.collect_list(placed)).alias("_placed"))
+    end = F.coalesce(F.size("_coded.open"), F.lit(0)) + OPEN
     known = F.transform(
-        "_ids",
-        lambda i, at: F.when(i != OPEN, i).otherwise(
-            F.coalesce(F.element_at("_rare", at), F.lit(unknown_id))
+        "_coded.ids",
+        lambda i: F.when(i >= end, i).otherwise(
+            (F.get("_placed", i - OPEN).bitwiseAND(F.lit(2**32 - 1)) + OPEN).cast("int")
         ),
     )
-    return rows.join(of_row, "_row", "left").withColumn(output, known).drop("_row", "_ids", "_rare")
+    return rows.join(of_row, "_row", "left").withColumn(output, known).drop("_row", "_coded", "_placed")
 
 
 class _Lookup:
@@ -135,14 +134,53 @@ def _looked_up(spark: SparkSession, table: pa.Table, missing: int):
     @F.arrow_udf("array<int>")
     def ids(lists: pa.Array) -> pa.Array:
         flat = lookup.value(lists.flatten().cast(pa.string()), missing)
-        lengths = pc.fill_null(pc.list_value_length(lists), 0)
-        ends = pc.cumulative_sum(lengths.cast(pa.int32()))
-        offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
-        return pa.ListArray.from_arrays(offsets, flat.cast(pa.int32()), mask=lists.is_null())
+        return pa.ListArray.from_arrays(_offsets(lists), flat.cast(pa.int32()), mask=lists.is_null())
 
     return ids
 
 
+def _left_open(spark: SparkSession, table: pa.Table, missing: int):
+    """An Arrow function from token lists to ids and the distinct tokens that are not in ``table``.
+
+    The id of such a token is ``OPEN`` plus its place among those of its row;
+    NULL tokens get ``missing``.
+    """
+    lookup = spark.sparkContext.broadcast(_Lookup(table))
+
+    @F.arrow_udf("struct<ids array<int>, open array<string>>")
+    def codes(lists: pa.Array) -> pa.Array:
+        offsets = _offsets(lists)
+        words = lists.flatten().cast(pa.string())
+        ids = lookup.value(words, OPEN).to_numpy(zero_copy_only=False).copy()
+        coded = words.dictionary_encode()
+        ids[words.is_null().to_numpy(zero_copy_only=False)] = missing
+        at = np.flatnonzero(ids == OPEN)
+        row = np.repeat(np.arange(len(lists)), np.diff(offsets.to_numpy()))[at]
+        n = max(1, len(coded.dictionary))
+        word = pc.fill_null(coded.indices, 0).to_numpy(zero_copy_only=False)[at]
+        seen, which = np.unique(row * n + word, return_inverse=True)
+        starts = np.searchsorted(seen // n, np.arange(len(lists) + 1))
+        ids[at] = OPEN + (which - starts[row])
+        left = coded.dictionary.take(pa.array(seen % n))
+        gone = lists.is_null()
+        return pa.StructArray.from_arrays(
+            [
+                pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()), mask=gone),
+                pa.ListArray.from_arrays(pa.array(starts, pa.int32()), left, mask=gone),
+            ],
+            ["ids", "open"],
+        )
+
+    return codes
+
+
+def _offsets(lists: pa.Array) -> pa.Array:
+    """Where each list starts in the flat values, and where the last one ends."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0)
+    ends = pc.cumulative_sum(lengths.cast(pa.int32()))
+    return pa.concat_arrays([pa.array([0], pa.int32()), ends])
+
+
 def batch_tokenize(
     df: DataFrame,
     vocabulary: DataFrame,

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_BYTES = 16 * 1024 * 1024
+
 _SCOPE: ContextVar[str] = ContextVar("_SCOPE", default="")
 
 
@@ -61,6 +63,18 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, so later passes and retries read it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches bounded in bytes, whatever the length of the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably, so later stages and retries read fixed rows."""
     checkpoint_dir(df.sparkSession)

@@ -90,6 +90,31 @@ def test_encode_tokens_with_nulls_and_equal_keys(spark, docs, max_broadcast):
     ]
 
 
+def test_a_row_joins_a_token_once(spark):
+    rows = spark.createDataFrame([(["a"] * 9 + ["b"] * 4 + ["q", None] * 3,)], "tokens array<string>")
+    vocabulary = V.build_vocabulary(rows.selectExpr("slice(tokens, 1, 13) AS tokens"), 2)
+    lookup = V._left_open(spark, vocabulary.orderBy("token_id").limit(1).toArrow(), -1)
+    coded = rows.select(lookup("tokens").alias("c")).first()["c"]
+    assert coded["open"] == ["b", "q"]
+    assert coded["ids"] == [0] * 9 + [V.OPEN] * 4 + [V.OPEN + 1, -1] * 3
+
+
+def test_lookups_take_batches_bounded_in_bytes(spark, tmp_path):
+    folder = str(tmp_path / "tokens")
+    words = F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda i: F.concat(F.lit("w"), i % 40))
+    spark.range(2000, numPartitions=1).select("id", words.alias("tokens")).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    vocabulary = V.build_vocabulary(rows, 30)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    for shipped in (100, 5):
+        found = V.encode_tokens(rows, vocabulary, -1, max_broadcast=shipped)
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 1 << 24
+        told = F.aggregate("token_ids", F.lit(0), lambda a, x: a + x)
+        ids = {r["token"]: r["token_id"] for r in vocabulary.collect()}
+        wanted = 25 * sum(ids.get(f"w{i}", -1) for i in range(40))
+        assert [tuple(r) for r in found.groupBy(told).count().collect()] == [(wanted, 2000)]
+
+
 def test_words_are_cut_once_per_scan(spark, plan):
     rows = spark.createDataFrame([(1, "a b")], "id int, t string")
     tokens = rows.select("id", K.tokenize(F.col("t")).alias("tokens"))
