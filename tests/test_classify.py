@@ -161,3 +161,14 @@ def test_models_of_two_classes_take_no_session_to_the_tasks(spark):
         spark._jvm.java.io.ObjectOutputStream(data).writeObject(model._java_obj)
         assert b"sql.classic.SparkSession" not in bytes(data.toByteArray())
         assert model.numClasses == 2
+
+
+def test_cross_validation_keeps_rows_and_session_out_of_python_and_tasks(spark):
+    texts = [("union care", 0), ("guns flag", 1)]
+    rows = spark.createDataFrame([(*t, i % 2) for i in range(8) for t in texts], "content string, label int, fold int")
+    settings = classify.Settings(features=1 << 10)
+    model, scores = classify.cross_validate(rows, [0, 1], [0.01, 0.001], 2, settings)
+    assert scores == [1.0, 1.0] and not model.stages[-1].hasSummary
+    for bad, folds, message in [("NULL", 2, "16 rows are in no fold"), ("0", 1, "fold 0 holds 16 of 16"), ("2", 2, "no fold")]:
+        with pytest.raises(ValueError, match=message):
+            classify.cross_validate(rows.selectExpr("content", "label", f"int({bad}) AS fold"), [0, 1], [0.01], folds, settings)
