@@ -21,6 +21,8 @@ log = logging.getLogger(__name__)
 MAX_TRAINING_ROWS = 20_000
 MOST = 4.0  # how often a document may be seen: four epochs
 GRID = 1024
+MAX_CELLS = 1 << 20  # the grid is coarser where there are so many domains that it had more cells
+FEW_FILES = 8  # of the training rows
 MAX_STEPS = 150
 RECENT = 4  # a step may be worse than the last one, but not than so many
 TOLERANCE = 1e-4  # of the wanted tokens
@@ -97,7 +99,7 @@ def fit_domains(
         docs.select(id_col, text_col), labelled, domain, max_rows, id_col, range(size)
     )
     rows = signals(some, text_col).select(F.col("_label").cast("int").alias("_label"), *SIGNALS)
-    rows = written(rows, "domain-rows")
+    rows = written(rows.repartition(FEW_FILES), "domain-rows")
     present = sorted(r["_label"] for r in rows.select("_label").distinct().collect())
     if len(present) < 2:
         flat = tuple([0.0] * len(SIGNALS) for _ in present)
@@ -133,25 +135,21 @@ class Mixture:
     missed: tuple[float, ...] = field(default=())
 
     def rate(self, posteriors: Sequence[Column]) -> Column:
-        return self.course(posteriors)["rate"]
-
-    def course(self, posteriors: Sequence[Column]) -> Column:
-        """``(rate, before)``: the rate after all steps and after all but the last.
-
-        A step has a number per domain: go down the gradient, then back into the bounds.
-        """
-        start = F.lit(float(min(self.most, max(1.0, self.least))))
-        first = F.struct(start.alias("rate"), start.alias("before"))
+        """A step has a number per domain: go down the gradient, then back into the bounds."""
+        start = F.lit(self.start)
         if not self.steps:
-            return first
+            return start
 
-        def moved(at: Column, step: Column) -> Column:
+        def moved(rate: Column, step: Column) -> Column:
             change = reduce(add, [step[k] * p for k, p in enumerate(posteriors)])
-            bounded = F.greatest(F.lit(self.least), F.least(F.lit(self.most), at["rate"] - change))
-            return F.struct(bounded.alias("rate"), at["rate"].alias("before"))
+            return F.greatest(F.lit(self.least), F.least(F.lit(self.most), rate - change))
 
         told = (f"array({', '.join(f'{float(x)!r}D' for x in step)})" for step in self.steps)
-        return F.aggregate(F.expr(f"array({', '.join(told)})"), first, moved)
+        return F.aggregate(F.expr(f"array({', '.join(told)})"), start, moved)
+
+    @property
+    def start(self) -> float:
+        return float(min(self.most, max(1.0, self.least)))
 
 
 def fit_rates(
@@ -172,8 +170,10 @@ def fit_rates(
     ``sum(tokens p p')``; the others are by the curvature that the last step met
     (Barzilai and Borwein). Distances are weighted by tokens, so a step changes a
     rate by its posteriors alone, and documents whose posteriors agree to
-    1 / ``GRID`` are one row of the fit, with their mean posteriors; each step is
-    one aggregate over these rows. The fit ends when ``s`` is within
+    1 / ``GRID`` are one cell of the fit, with their mean posteriors. One aggregate
+    over the documents gives the cells, of which there are at most ``MAX_CELLS``
+    however many documents there are; the steps are taken on them without further
+    jobs. The fit ends when ``s`` is within
     ``TOLERANCE`` of ``b``, when a plain step would no longer move the rates, or
     after ``MAX_STEPS`` steps, and tells in ``missed`` how far it came; it never
     raises for a target out of reach. Domains with a target of 0 are wanted to
@@ -186,33 +186,24 @@ def fit_rates(
     size = len(posteriors)
     share = np.array(target, float) / sum(target)
     tokens = F.col("_tokens").cast("double")
+    grid = grid_of(size)
     cells = members.filter("_tokens > 0").groupBy(
-        *[F.round(F.col(c) * GRID).alias(f"_at{k}") for k, c in enumerate(posteriors[:-1])]
+        *[F.round(F.col(c) * grid).alias(f"_at{k}") for k, c in enumerate(posteriors[:-1])]
     )
-    weighted = [(F.sum(tokens * F.col(c)) / F.sum(tokens)).alias(c) for c in posteriors]
-    cells = written(cells.agg(F.sum(tokens).alias("_w"), *weighted), "cells")
-    p = [F.col(c) for c in posteriors]
-    pairs = [(i, j) for i in range(size) for j in range(i + 1)]
-    sums = cells.agg(
-        *[F.sum(F.col("_w") * p[i] * p[j]) for i, j in pairs], F.sum("_w")
-    ).first()
-    gram = np.zeros((size, size))
-    for (i, j), v in zip(pairs, sums):
-        gram[i, j] = gram[j, i] = v or 0.0
-    weight = sums[-1] or 0.0
-    steepest = float(np.linalg.eigvalsh(gram)[-1])
-
-    def measured(steps: list) -> tuple[np.ndarray, float]:
-        """The expected tokens per domain, and the squared length of the last step."""
-        at = cells.withColumn("_c", Mixture(least, most, tuple(steps)).course(p))
-        gone = F.col("_c.before") - F.col("_c.rate")
-        *found, moved = at.agg(
-            *[F.sum(F.col("_w") * F.col("_c.rate") * c) for c in p],
-            F.sum(F.col("_w") * gone * gone),
-        ).first()
-        return np.array([v or 0.0 for v in found]), moved or 0.0
-
-    now, _ = measured([])
+    weighted = [(F.sum(tokens * F.col(c)) / F.sum(tokens)).alias(f"_p{k}") for k, c in enumerate(posteriors)]
+    found = cells.agg(F.sum(tokens).alias("_w"), *weighted).filter("_w > 0")
+    found = found.select("_w", *[f"_p{k}" for k in range(size)]).toArrow()
+    w, *p = (np.asarray(column, float) for column in found.columns)
+    p = np.stack(p, axis=1)
+    weight = float(w.sum())
+    steepest = float(np.linalg.eigvalsh((p.T * w) @ p)[-1])
+
+    def tokens_at(rates: np.ndarray) -> np.ndarray:
+        """The expected tokens per domain."""
+        return (w * rates) @ p
+
+    rates = np.full(len(w), Mixture(least, most).start)
+    now = tokens_at(rates)
     if total is None:
         wants = share > 0
         total = float((now[wants] / share[wants]).max()) if least >= 1 else float(now.sum())
@@ -220,32 +211,38 @@ def fit_rates(
     close = TOLERANCE * max(1.0, total)
     height = lambda s: float(((s - wanted) ** 2).sum())
     steps: list[tuple[float, ...]] = []
-    best, heights = (steps, now), [height(now)]
+    best, heights = (steps, now, rates), [height(now)]
     careful = True  # is the next step by the largest eigenvalue?
     width = 0.0
     while np.abs(now - wanted).max() > close and len(heights) <= MAX_STEPS and steepest > 0:
         by = 1 / steepest if careful else width
-        tried = [*steps, tuple(map(float, by * (now - wanted)))]
-        new, moved = measured(tried)
+        step = by * (now - wanted)
+        gone = np.clip(rates - p @ step, least, most)
+        new, moved = tokens_at(gone), float((w * (gone - rates) ** 2).sum())
         still = moved <= STILL**2 * weight
         if careful and still:
             break
         heights.append(height(new))
         if heights[-1] > max(heights[-RECENT - 1 : -1]):
-            (steps, now), careful = best, True
+            (steps, now, rates), careful = best, True
             continue
         bent = float(((new - now) ** 2).sum())
         careful, width = still or bent == 0, moved / bent if bent else 0.0
-        steps, now = tried, new
+        steps, now, rates = [*steps, tuple(map(float, step))], new, gone
         if heights[-1] < height(best[1]):
-            best = (steps, now)
-    steps, now = best
+            best = (steps, now, rates)
+    steps, now, _ = best
     missed = tuple(float(v) for v in (now - wanted) / max(1.0, total))
     if np.abs(now - wanted).max() > close:
         log.warning("the mix misses its target by %s of all tokens", missed)
     return Mixture(least, most, tuple(steps), missed)
 
 
+def grid_of(size: int) -> int:
+    """Cells per unit of a posterior, so that ``size`` domains have at most ``MAX_CELLS``."""
+    return min(GRID, int(MAX_CELLS ** (1 / max(1, size - 1))))
+
+
 def document_rates(
     docs: DataFrame,
     labelled: DataFrame,

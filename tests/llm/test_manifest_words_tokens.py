@@ -275,6 +275,27 @@ def test_rates_are_bounded_least_squares(spark, least, most, target):
     assert np.allclose(found.missed, (got - wanted) / total, atol=2e-3)
 
 
+def test_steps_of_the_fit_run_no_jobs(spark):
+    rng = np.random.default_rng(5)
+    p, tokens = rng.dirichlet([2, 1, 0.3], 3000), rng.integers(1, 500, 3000)
+    rows = [(int(t), *map(float, x)) for t, x in zip(tokens, p)]
+    df = spark.createDataFrame(rows, "_tokens long, a double, b double, c double")
+    sc = spark.sparkContext
+    sc.setJobGroup("steps of the fit", "")
+    try:
+        found = mixing.fit_rates(df, ["a", "b", "c"], (0.85, 0.1, 0.05), 1, 4)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(found.steps) > 5
+    assert len(sc.statusTracker().getJobIdsForGroup("steps of the fit")) <= 3
+
+
+def test_cells_of_the_fit_are_bounded():
+    for size in range(1, 6):
+        assert (mixing.grid_of(size) + 1) ** (size - 1) < 2 * mixing.MAX_CELLS
+    assert mixing.grid_of(len(mixing.DOMAINS)) == mixing.GRID
+
+
 def test_rates_refuse_bad_bounds(spark):
     df = spark.createDataFrame([], "_tokens long, a double, b double")
     for bounds in ({"target": (0, 0)}, {"target": (-1, 2)}, {"target": (1, 1), "least": 3, "most": 2}):
