@@ -71,9 +71,14 @@ class Transducer:
         self.prefix = SPACE if spec["dummy_prefix"] else ""
         if any(re.search(f"[^{SPACE}]{SPACE}|[\n\t]", p) for p in self.ids):
             raise ValueError("a piece crosses the border of a word")
-        self.starts = {p[:i] for p in self.ids for i in range(1, len(p) + 1)}
+        # Of every beginning of a piece, the piece it is itself, or -1.
+        self.starts = {p[:i]: -1 for p in self.ids for i in range(1, len(p) + 1)} | self.ids
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.lengths = [len(p) for p in self.texts]
+        self.courses: dict[int, tuple[list[float], list[str], list[str]] | None] = {}
+        # Words seen of late, and those seen before them: the latter go when the former are many.
         self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.cut = re.compile(f"{SPACE}*[^{SPACE}\n\t]+|{SPACE}+|[\n\t]").findall
 
     def merged(self, text: str) -> list[str]:
@@ -95,38 +100,141 @@ class Transducer:
             if at < len(of):
                 of[at] = ids.get(parts[at] + parts[at + 1])
 
+    def course(self, piece: int) -> tuple[list[float], list[str], list[str]] | None:
+        """How merging makes a piece of its characters: the score of each merge, and what
+        stands first and last before it. None if merging does not give the piece.
+
+        Kept per piece; there are no more of them than the model has.
+        """
+        if piece in self.courses:
+            return self.courses[piece]
+        ids, scores = self.ids, self.scores
+        parts = list(self.texts[piece])
+        taken: list[float] = []
+        firsts, lasts = [parts[0]], [parts[-1]]
+        while len(parts) > 1:
+            best, at = -math.inf, -1
+            for i in range(len(parts) - 1):
+                found = ids.get(parts[i] + parts[i + 1])
+                if found is not None and scores[found] > best:
+                    best, at = scores[found], i
+            if at < 0:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            taken.append(best)
+            firsts.append(parts[0])
+            lasts.append(parts[-1])
+        made = (taken, firsts, lasts) if len(parts) == 1 else None
+        self.courses[piece] = made
+        return made
+
     def may_follow(self, a: int, b: int) -> bool:
         """Is the weight of the arc for piece ``b`` after ``a`` finite? ``a`` is -1 at a start."""
         known = self.pairs.get((a, b))
         if known is None:
-            parts = [self.texts[b]] if a < 0 else [self.texts[a], self.texts[b]]
-            known = self.merged("".join(parts)) == parts
+            known = self._apart(a, b)
             if len(self.pairs) >= CACHED_PAIRS:
                 self.pairs.clear()
             self.pairs[a, b] = known
         return known
 
+    def _apart(self, a: int, b: int) -> bool:
+        """Does merging the characters of both pieces give just the two?
+
+        While nothing is merged across their border, each is made as if it stood
+        alone; so the two courses are gone through together, the higher score first,
+        of equal ones the leftmost, until a merge across the border would be next.
+        """
+        right = self.course(b)
+        if a < 0 or right is None:
+            return right is not None
+        left = self.course(a)
+        if left is None:
+            return False
+        ids, scores = self.ids, self.scores
+        if self.texts[a] + self.texts[b] in ids:
+            return False
+        (before, _, ends), (after, starts, _) = left, right
+        i, j, n, m = 0, 0, len(before), len(after)
+        across = ids.get(ends[0] + starts[0])
+        while i < n or j < m:
+            one = before[i] if i < n else -math.inf
+            two = after[j] if j < m else -math.inf
+            if across is not None and one < scores[across] >= two:
+                return False
+            if one >= two and i < n:
+                i += 1
+                moved = ends[i] is not ends[i - 1]
+            else:
+                j += 1
+                moved = starts[j] is not starts[j - 1]
+            if moved:
+                across = ids.get(ends[i] + starts[j])
+        return True
+
     def _arcs(self, word: str, at: int) -> list[tuple[int, int]]:
         """``(end, piece)`` of the arcs that read ``word`` from ``at``, shortest first.
 
         A character without a piece has one arc, for its bytes, with piece -1.
         """
-        found, n, ids, starts = [], len(word), self.ids, self.starts
-        end = at + 1
-        while end <= n:
-            part = word[at:end]
-            if part not in starts:
+        found, begun = [], self.starts.get
+        for end in range(at + 1, len(word) + 1):
+            piece = begun(word[at:end])
+            if piece is None:
                 break
-            piece = ids.get(part)
-            if piece is not None:
+            if piece >= 0:
                 found.append((end, piece))
-            end += 1
         if not found or found[0][0] > at + 1:
             found.insert(0, (at + 1, -1))
         return found
 
     def shortest_path(self, word: str) -> tuple[int, ...]:
-        """The pieces on the path of finite weight through the composition with ``word``."""
+        """The pieces on the path of finite weight through the composition with ``word``.
+
+        The longest arc is tried first; where none goes on, the last one is taken back.
+        Words with characters that have no piece are searched with arcs for their bytes.
+        """
+        n, begun, follows, lengths = len(word), self.starts.get, self.pairs.get, self.lengths
+        ids: list[int] = []
+        open_arcs: list[list[int]] = []
+        dead: set[tuple[int, int]] = set()
+        at, last = 0, -1
+        while at < n:
+            found, end = [], at + 1
+            piece = begun(word[at:end])
+            while piece is not None:
+                if piece >= 0:
+                    found.append(piece)
+                end += 1
+                if end > n:
+                    break
+                piece = begun(word[at:end])
+            while True:
+                if found:
+                    piece = found.pop()
+                    if dead and (at, piece) in dead:
+                        continue
+                    known = follows((last, piece))
+                    if known is None:
+                        known = self.may_follow(last, piece)
+                    if known:
+                        break
+                elif ids:
+                    gone = ids.pop()
+                    at -= lengths[gone]
+                    found = open_arcs.pop()
+                    dead.add((at, gone))
+                    last = ids[-1] if ids else -1
+                else:
+                    return self._searched(word)
+            open_arcs.append(found)
+            ids.append(piece)
+            at += lengths[piece]
+            last = piece
+        return tuple(ids)
+
+    def _searched(self, word: str) -> tuple[int, ...]:
+        """The same by a search with ways back, also for characters without a piece."""
         n, pairs = len(word), self.pairs
         path: list[tuple[int, int]] = []
         open_arcs = [self._arcs(word, 0)]
@@ -137,7 +245,7 @@ class Transducer:
             while arcs:
                 arc = arcs.pop()
                 piece = arc[1]
-                if arc in dead:
+                if dead and arc in dead:
                     continue
                 if piece >= 0:
                     known = pairs.get((last, piece))
@@ -169,15 +277,18 @@ class Transducer:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        words, known = self.words, self.words.get
+        words, known, before = self.words, self.words.get, self.older.get
         found = []
         for word in self.cut(self.prefix + text.replace(" ", SPACE)):
             ids = known(word)
             if ids is None:
-                ids = self.shortest_path(word)
+                ids = before(word)
+                if ids is None:
+                    ids = self.shortest_path(word)
                 if len(word) <= LONG_WORD:
-                    if len(words) >= CACHED_WORDS:
-                        words.clear()
+                    if len(words) >= CACHED_WORDS // 2:
+                        self.older, self.words = words, {}
+                        words, known, before = self.words, self.words.get, self.older.get
                     words[word] = ids
             found.append(ids)
         return list(chain.from_iterable(found))

@@ -8,10 +8,11 @@ from hashlib import sha256
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from labelcorr.llm import merkle, mixing, spelling, token_counts
+from labelcorr.llm import merkle, mixing, pieces, spelling, token_counts
 
 
 def h(*parts):
@@ -302,3 +303,28 @@ def test_rates_refuse_bad_bounds(spark):
         with pytest.raises(ValueError):
             mixing.fit_rates(df, ["a", "b"], **bounds)
     assert mixing.fit_rates(df, ["a", "b"], (1, 1)).steps == ()
+
+
+def test_pieces_apart_as_by_merging_anew():
+    machine = pieces.Transducer(pieces.read_model(pieces.MODEL))
+    rng = np.random.default_rng(11)
+    ids = np.array(list(machine.ids.values()))
+    short = ids[[len(machine.texts[i]) <= 3 for i in ids]]
+    found = set()
+    for a, b in [*rng.choice(short, (3000, 2)).tolist(), *rng.choice(ids, (1000, 2)).tolist()]:
+        parts = [machine.texts[a], machine.texts[b]]
+        found.add(apart := machine.may_follow(a, b))
+        assert apart == (machine.merged("".join(parts)) == parts)
+    assert found == {True, False}
+
+
+def test_frequent_words_stay_known(monkeypatch):
+    monkeypatch.setattr(pieces, "CACHED_WORDS", 20)
+    machine = pieces.Transducer(pieces.read_model(pieces.MODEL))
+    composed, path = [], machine.shortest_path
+    monkeypatch.setattr(machine, "shortest_path", lambda word: composed.append(word) or path(word))
+    words = " ".join(f"the w{i}q" for i in range(200))
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    assert machine.encode(words) == library.encode(words)
+    assert composed.count(f"{pieces.SPACE}the") == 1
+    assert len(machine.words) + len(machine.older) <= 20
