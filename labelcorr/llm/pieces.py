@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
@@ -23,6 +23,7 @@ UNIGRAM, BPE = 1, 2  # fixed values: how a model file names its type
 CACHED_WORDS = 200_000
 CACHED_PAIRS = 400_000
 LONG_WORD = 200
+OWN_CLASSES = 8  # largest groups of characters at whose borders texts are cut
 
 
 class Transducer:
@@ -39,7 +40,9 @@ class Transducer:
     first.
 
     A text is composed word by word: no piece holds a space mark after another
-    character, nor a line break or tab, so arcs never cross those borders.
+    character, nor a line break or tab, so arcs never cross those borders, nor
+    those between characters that stand next to each other in no piece, as letters
+    and punctuation (``cuts``).
     """
 
     def __init__(self, model: bytes):
@@ -79,7 +82,7 @@ class Transducer:
         # Words seen of late, and those seen before them: the latter go when the former are many.
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
-        self.cut = re.compile(f"{SPACE}*[^{SPACE}\n\t]+|{SPACE}+|[\n\t]").findall
+        self.cut = re.compile(cuts(self.ids)).findall
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging by score gives; of equal scores the leftmost first."""
@@ -299,6 +302,31 @@ class Transducer:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+def joined_characters(pieces: Iterable[str]) -> list[set[str]]:
+    """The characters of pieces, largest group first: what stands side by side in a piece is in
+    one group. Space marks at the beginning of a piece belong to none."""
+    group_of: dict[str, set[str]] = {}
+    for piece in pieces:
+        own = set(piece.lstrip(SPACE))
+        known = {id(g): g for g in map(group_of.get, own) if g}
+        if len(known) == 1 and own <= next(iter(known.values())):
+            continue
+        own.update(*known.values())
+        group_of.update(dict.fromkeys(own, own))
+    groups = {id(g): g for g in group_of.values()}.values()
+    return sorted(groups, key=lambda g: (-len(g), min(g)))
+
+
+def cuts(pieces: Iterable[str]) -> str:
+    """The pattern of the words of a text: runs of characters that pieces may join, with the
+    space marks before them. A character that no piece joins to another is a word."""
+    several = [g for g in joined_characters(pieces) if len(g) > 1]
+    classes = [*several[:OWN_CLASSES], set().union(*several[OWN_CLASSES:])]
+    told = ["".join(map(re.escape, sorted(g))) for g in classes if g]
+    runs = "|".join([f"[{g}]+" for g in told] + [f"[^{SPACE}\n\t{''.join(told)}]"])
+    return f"{SPACE}*(?:{runs})|{SPACE}+|[\n\t]"
+
+
 def normaliser_of(model: bytes) -> dict:
     """The normaliser part of a serialised model (field 3 of its message), and the model's
     type, which stands in its trainer part (field 2)."""

@@ -328,3 +328,25 @@ def test_frequent_words_stay_known(monkeypatch):
     assert machine.encode(words) == library.encode(words)
     assert composed.count(f"{pieces.SPACE}the") == 1
     assert len(machine.words) + len(machine.older) <= 20
+
+
+def test_words_are_cut_where_no_piece_joins(monkeypatch):
+    machine = pieces.Transducer(pieces.read_model(pieces.MODEL))
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    composed, path = [], machine.shortest_path
+    monkeypatch.setattr(machine, "shortest_path", lambda word: composed.append(word) or path(word))
+    text = "harbour, harbour. harbour! harbour"
+    assert machine.encode(text) == library.encode(text)
+    assert composed.count(f"{pieces.SPACE}harbour") == 1
+    assert not [w for w in composed if "harbour" in w and w != f"{pieces.SPACE}harbour"]
+    joined = {p[i : i + 2] for p in machine.ids for i in range(len(p) - 1)}
+    odd = "a1b2,c  (d) naïve…«x»日本語据数据 一个\t\n  ½\u2581\u2581,\U0001f600\r\0é\u0301 الЖzЖ ¶¶ 10,000.50 "
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "".join(rng.choices(odd, k=40))
+        words = machine.cut(machine.prefix + text.replace(" ", pieces.SPACE))
+        assert "".join(words) == machine.prefix + text.replace(" ", pieces.SPACE)
+        assert not [w for w, v in zip(words, words[1:]) if w[-1] + v[0] in joined]
+        assert machine.encode(text) == library.encode(text)
+    groups = pieces.joined_characters(["ab", "bc", "de", "f", f"{pieces.SPACE}g"])
+    assert [sorted(g) for g in groups] == [["a", "b", "c"], ["d", "e"], ["f"], ["g"]]
