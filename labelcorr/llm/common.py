@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -19,9 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_rows(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with batches bounded in bytes, whatever the length of the texts."""
+    """``mapInArrow`` with batches bounded in bytes, whatever the length of the texts.
+
+    What Arrow keeps of a task's batches goes back when the task ends: workers
+    stay, also while later stages run without them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+
     bounded_batches(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(run, schema)
 
 
 def utf8(text: str) -> Column:

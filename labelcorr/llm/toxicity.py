@@ -6,10 +6,12 @@ words and beginnings of words whose documents are toxic far more often than othe
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -110,12 +112,12 @@ def learnt_lexicons(rows: DataFrame, id_col: str, text_col: str) -> list[dict[by
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: defaultdict[int, Counter] = defaultdict(Counter)
         for batch in batches:
             for text, at in zip(batch.column(0), batch.column(1).to_pylist()):
                 words = set(words_of(text.as_py()))
-                seen.update((term, at) for term in {t for w in words for t in terms(w)})
-                if len(seen) >= HELD:
+                seen[at].update({t for w in words for t in terms(w)})
+                if sum(map(len, seen.values())) >= HELD:
                     yield _counted(seen)
                     seen.clear()
         yield _counted(seen)
@@ -137,12 +139,12 @@ def _part(id_col: str) -> Column:
     return F.pmod(F.xxhash64(F.col(id_col), F.lit("lexicon")), F.lit(PARTS))
 
 
-def _counted(seen: Counter) -> pa.RecordBatch:
+def _counted(seen: dict[int, Counter]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([term for term, _ in seen], pa.binary()),
-            pa.array([at for _, at in seen], pa.int32()),
-            pa.array(list(seen.values()), pa.int64()),
+            pa.array(chain.from_iterable(seen.values()), pa.binary()),
+            pa.array(np.repeat(np.array([*seen], np.int32), [len(own) for own in seen.values()])),
+            pa.array(chain.from_iterable(own.values() for own in seen.values()), pa.int64()),
         ],
         ["term", "at", "n"],
     )

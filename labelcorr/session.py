@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
-BATCH_BYTES = 16 * 1024 * 1024
+BATCH_BYTES = 4 * 1024 * 1024  # an executor holds several of a batch's size per task
 
 _SCOPE: ContextVar[str] = ContextVar("_SCOPE", default="")
 

@@ -1,10 +1,11 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from labelcorr.llm import chat, exact_dedup, mixing, near_dedup, pieces, quality, secrets, toxicity
+from labelcorr.llm import chat, common, exact_dedup, mixing, near_dedup, pieces, quality, secrets, toxicity
 from labelcorr.llm import fingerprints as fp
 from labelcorr.llm import warc
 
@@ -184,3 +185,24 @@ def test_pipeline_of_odd_rows(spark, stored, labels, tmp_path):
     none_of(stored).write.parquet(f"{empty}/documents.parquet")
     none_of(labels).write.parquet(f"{empty}/labels.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_batches_and_what_is_kept_of_them_are_small(spark):
+    rows = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    found = [r["n"] for r in common.arrow_rows(rows, sizes, "n long").collect()]
+    assert sum(found) > 30_000_000 and max(found) <= 5_000_000
+
+
+def test_terms_are_handed_on_by_group(spark):
+    texts = ["Toxic words", "plain words", None, ""]
+    rows = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(texts * 40)], "doc_id long, text string, _label int")
+    lexicons = toxicity.learnt_lexicons(rows.withColumn("_label", (F.lower("text").contains("toxic")).cast("int")).na.fill(0), "doc_id", "text")
+    assert len(lexicons) == 1 + toxicity.PARTS
+    assert all(b"=toxic" in x and b"=plain" not in x for x in lexicons)
+    counted = toxicity._counted({2: {b"a": 2, b"b": 1}, 5: {b"a": 1}})
+    assert counted.to_pydict() == {"term": [b"a", b"b", b"a"], "at": [2, 2, 5], "n": [2, 1, 1]}
