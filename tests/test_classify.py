@@ -172,3 +172,23 @@ def test_cross_validation_keeps_rows_and_session_out_of_python_and_tasks(spark):
     for bad, folds, message in [("NULL", 2, "16 rows are in no fold"), ("0", 1, "fold 0 holds 16 of 16"), ("2", 2, "no fold")]:
         with pytest.raises(ValueError, match=message):
             classify.cross_validate(rows.selectExpr("content", "label", f"int({bad}) AS fold"), [0, 1], [0.01], folds, settings)
+
+
+def test_steps_of_a_fit_take_few_tasks_whatever_the_partitions(spark, monkeypatch):
+    seen = []
+    fit = classify.LogisticRegression.fit
+
+    def spied(self, rows, *args):
+        seen.append(rows.rdd.getNumPartitions())
+        return fit(self, rows, *args)
+
+    monkeypatch.setattr(classify.LogisticRegression, "fit", spied)
+    rows = spark.range(0, 600, 1, 96).selectExpr("IF(id % 3 = 0, 'left a', 'right b') AS content", "int(id % 3 = 0) AS label")
+    candidates = [classify.Settings(features=1 << 6, reg=r) for r in (0.1, 0.01, 0.001)]
+    choice = classify.select_best(rows, rows, [0, 1], candidates)
+    assert choice.candidate == 0 and [t["examples"] for t in choice.tried] == [600] * 3
+    assert seen == [max(spark.sparkContext.defaultParallelism, 6)] * 3
+    # All rows are still in the model, which is that of one fit after another over any partitions.
+    again = classify.select_best(rows.coalesce(1), rows, [0, 1], candidates, parallelism=1)
+    assert [t["loss"] for t in again.tried] == pytest.approx([t["loss"] for t in choice.tried])
+    assert seen[3:] == [1] * 3
