@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import binascii
 import hashlib
 from collections.abc import Iterator
 
@@ -13,12 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelcorr.llm.common import arrow_rows, utf8
+from labelcorr.session import BATCH_BYTES
 
 SHINGLE = 12
 FRACTION = 2  # one hash in so many is retained; a power of two, small enough for short texts
 ROWS_PER_RUN = 4_000
 MAX_RUNS = 50_000
 PART_CHARS = 1_000_000  # of texts whose results are returned together
+PACKED = 65_536  # hashes whose bits are held as bytes while they are packed; a multiple of 8
 
 
 def _finish(h: np.ndarray) -> np.ndarray:
@@ -70,9 +73,56 @@ def likeness(a: np.ndarray, b: np.ndarray, same: bool) -> float:
     return common / union if union else float(same)
 
 
+def _low_bits(n: int) -> int:
+    """Bits of each of ``n`` hashes that are stored as they are: of about the mean gap."""
+    return max(0, ((1 << 32) // n).bit_length() - 1)
+
+
+def packed(found: np.ndarray) -> bytes:
+    """Different sorted 32-bit hashes in close to the fewest bits that tell such sets apart.
+
+    The low bits of each are stored as they are. Of the rest, which rises slowly,
+    hash number ``i`` sets bit ``i + rest`` of a bitmap. Nothing is lost (``unpacked``).
+    """
+    n = len(found)
+    if not n:
+        return b""
+    low = _low_bits(n)
+    parts = []
+    for at in range(0, n, PACKED):
+        whole = found[at : at + PACKED].astype(">u4").view(np.uint8).reshape(-1, 4)
+        parts.append(np.packbits(np.unpackbits(whole, axis=1)[:, 32 - low :]).tobytes())
+    rest = np.zeros(n + (1 << (32 - low)), np.bool_)
+    rest[(found.astype(np.int64) >> low) + np.arange(n)] = True
+    return b"".join([*parts, np.packbits(rest).tobytes()])
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    """The ``n`` hashes that ``packed`` stored."""
+    if not n:
+        return np.empty(0, np.uint32)
+    low = _low_bits(n)
+    size = (n * low + 7) // 8
+    raw = np.frombuffer(data, np.uint8)
+    whole = np.zeros((n, 32), np.uint8)
+    whole[:, 32 - low :] = np.unpackbits(raw[:size], count=n * low).reshape(n, low)
+    rest = np.flatnonzero(np.unpackbits(raw[size:])) - np.arange(n)
+    own = np.packbits(whole, axis=1).view(">u4").ravel()
+    return (own.astype(np.int64) + (rest << low)).astype(np.uint32)
+
+
 def as_text(codes: np.ndarray, found: np.ndarray) -> str:
-    """Digest of the text and the retained hashes, in hexadecimal."""
-    return "".join([xxhash.xxh3_64_hexdigest(codes.tobytes()), ":", found.astype(">u4").tobytes().hex()])
+    """Digest of the text in hexadecimal, the number of retained hashes, these in base64."""
+    own = f"{xxhash.xxh3_64_hexdigest(codes.tobytes())}:"
+    if not len(found):
+        return own
+    return f"{own}{len(found)}:{binascii.b2a_base64(packed(found), newline=False).decode()}"
+
+
+def retained(fingerprint: str) -> np.ndarray:
+    """The hashes of a fingerprint, as ``sketch`` gave them."""
+    _, n, data = [*fingerprint.split(":"), ""][:3]
+    return unpacked(binascii.a2b_base64(data), int(n or 0))
 
 
 def edited(codes: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -124,6 +174,34 @@ def in_runs(docs: DataFrame, id_col: str, text_col: str, rows_per_run: int) -> D
     )
 
 
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text compressed, with its number of bytes."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        *keys, texts = batch.columns
+        texts = [t.as_buffer() for t in texts]
+        sizes = pa.array([t.size for t in texts], pa.int64())
+        texts = pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())
+        yield pa.RecordBatch.from_arrays([*keys, sizes, texts], ["run", "last", "id", "size", "text"])
+
+
+def _unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What ``_zipped`` was given, in batches of bounded size, whatever a text shrank to."""
+    codec = pa.Codec("zstd")
+    names = ["run", "last", "id", "text"]
+    for batch in batches:
+        *keys, sizes, texts = batch.columns
+        found: list[bytes] = []
+        start = held = 0
+        for at, (size, text) in enumerate(zip(sizes.to_pylist(), texts), 1):
+            found.append(codec.decompress(text.as_buffer(), size, asbytes=True))
+            held += size
+            if held >= BATCH_BYTES or at == len(batch):
+                part = [k.slice(start, at - start) for k in keys]
+                yield pa.RecordBatch.from_arrays([*part, pa.array(found, pa.binary())], names)
+                found, start, held = [], at, 0
+
+
 def fingerprints(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -142,11 +220,13 @@ def fingerprints(
     fingerprint of an empty text has no hashes; an empty table gives an empty
     result. Other columns are not looked at.
 
-    The texts are shuffled once, by run; within a task rows stream by in order
-    and only two are held at a time.
+    The texts are shuffled once, compressed, by run; within a task rows stream by
+    in order and only two are held at a time.
     """
     rows = in_runs(docs, id_col, text_col, rows_per_run)
-    rows = rows.repartition("run").sortWithinPartitions("run", "last", "id", "text")
+    rows = arrow_rows(rows, _zipped, "run double, last int, id long, size long, text binary")
+    rows = arrow_rows(rows.repartition("run"), _unzipped, "run double, last int, id long, text binary")
+    rows = rows.sortWithinPartitions("run", "last", "id", "text")
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
              "near_next"]
 

@@ -8,6 +8,7 @@ from itertools import combinations
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -231,6 +232,45 @@ def test_sketches_merge():
     assert fp.containment(fp.sketch(a[:600], fraction=2), whole) == 1.0
 
 
+def test_fingerprints_hold_their_hashes_in_few_characters(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcdefgh ", k=k)) for k in (0, 1, 12, 40, 900, 2500, 2500, 150_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["id"]: r for r in fp.fingerprints(docs).collect()}
+    for i, text in enumerate(texts):
+        own = fp.sketch(np.frombuffer(text.encode("utf-32-le"), "<u4"))
+        assert np.array_equal(fp.retained(rows[i]["fingerprint"]), own)
+    # Two fingerprints of a hash for every second code point; eight digits for each hash were 8 times the text.
+    size = sum(len(r["fingerprint"]) + len(r["edited_fingerprint"]) for r in rows.values())
+    assert size < 4 * sum(map(len, texts))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 9, 1000, fp.SHINGLE * 9000])
+def test_packed_hashes_come_back(n):
+    rng = np.random.default_rng(n)
+    for most in (1 << 32, 2 * n + 1):
+        found = np.unique(rng.integers(0, most, n, dtype=np.uint64)).astype(np.uint32)
+        assert np.array_equal(fp.unpacked(fp.packed(found), len(found)), found)
+    ends = np.array([0, (1 << 32) - 2, (1 << 32) - 1], np.uint32)
+    assert np.array_equal(fp.unpacked(fp.packed(ends), 3), ends)
+
+
+def test_texts_are_shuffled_compressed(spark):
+    texts = [("ab" * 1_500_000).encode(), b"", "é 中 plain".encode()] * 4
+    batch = pa.RecordBatch.from_pydict(
+        {"run": [0.0] * 12, "last": [0] * 12, "id": [*range(11), None], "text": texts}
+    )
+    small = list(fp._zipped(iter([batch])))
+    assert sum(b.nbytes for b in small) < batch.nbytes / 100
+    parts = list(fp._unzipped(iter(small)))
+    assert max(p.nbytes for p in parts) < 8_000_000
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    plan = fp.fingerprints(docs)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("RepartitionByExpression")
+    assert above.count("MapInArrow") == 2 and below.count("MapInArrow") == 1
+
+
 @needs_data
 def test_pieces_equal_the_library(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
