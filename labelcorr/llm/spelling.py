@@ -15,6 +15,10 @@ below which a single word is left holds that word, and the rest is compared at o
 
 A node has at most one edge per letter, so a join makes at most as many rows of a
 state as there are letters, also where many words share a beginning.
+
+Spark takes a table with a row per place of a word for as small as the words, and
+a compressed file for the size of its rows, and would send both to the driver.
+Joins are therefore merges, but for states whose size was measured.
 """
 
 from __future__ import annotations
@@ -36,6 +40,7 @@ MIN_LETTERS = 6
 MIN_COUNT = 5
 MORE = 5  # times as frequent as the word: its form
 NOISE = 199  # a run loses a letter where this divides its hash
+SMALL = 8_000_000  # bytes of states that are broadcast to the edges
 
 
 def word_counts(
@@ -118,15 +123,16 @@ def near_words(words: DataFrame) -> DataFrame:
     moved = _moved(states, edges)
     # Another letter instead, larger than the own one.
     other = edges.select("node", "child", "only", "depth", F.col("letter").alias("_letter"))
-    replaced = starts.join(other, "node").filter(F.col("_letter") > F.col("letter"))
+    replaced = starts.join(other.hint("merge"), "node").filter(F.col("_letter") > F.col("letter"))
     moved = written(moved.unionByName(_entered(replaced)), "states")
     pairs = []
     while True:
         pairs.append(moved.filter("near IS NOT NULL").select("back", "text", "near"))
         alive = moved.filter("near IS NULL").select("back", "text", "at", "node")
-        if alive.isEmpty():
+        size = alive.agg(F.sum(F.octet_length("text") + 64)).first()[0]
+        if size is None:
             break
-        moved = written(_moved(alive, edges), "states")
+        moved = written(_moved(alive, edges, size <= SMALL), "states")
     found = pairs[0]
     for more in pairs[1:]:
         found = found.unionByName(more)
@@ -166,9 +172,9 @@ def _edges(places: DataFrame) -> DataFrame:
     )
 
 
-def _moved(states: DataFrame, edges: DataFrame) -> DataFrame:
+def _moved(states: DataFrame, edges: DataFrame, few: bool = False) -> DataFrame:
     """The states one letter further, or the neighbours they have come to."""
-    states = states.withColumn("letter", _letter("text", F.col("at")))
+    states = states.withColumn("letter", _letter("text", F.col("at"))).hint("broadcast" if few else "merge")
     return _entered(states.join(edges, ["node", "letter"]).drop("node"))
 
 
@@ -195,7 +201,7 @@ def spelling_variants(words: DataFrame, more: int = MORE) -> DataFrame:
     near = written(near_words(words), "near")
     of_near = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
     best = (
-        near.join(of_near, "near")
+        near.join(of_near.hint("merge"), "near")
         .groupBy("word")
         .agg(
             F.count("*").alias("n_near"),
@@ -203,7 +209,7 @@ def spelling_variants(words: DataFrame, more: int = MORE) -> DataFrame:
         )
     )
     form = F.when(-F.col("best.less") >= more * F.col("n"), F.col("best.near"))
-    told = words.join(best, "word", "left").select(
+    told = words.join(best.hint("merge"), "word", "left").select(
         "word",
         "n",
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
@@ -211,7 +217,7 @@ def spelling_variants(words: DataFrame, more: int = MORE) -> DataFrame:
         F.when(form.isNotNull(), -F.col("best.less")).alias("form_n"),
     )
     told = written(told, "forms")
-    found = told.join(_roots(told), "word", "left")
+    found = told.join(_roots(told).hint("merge"), "word", "left")
     return found.select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"
     )
@@ -224,7 +230,7 @@ def _roots(told: DataFrame) -> DataFrame:
     found = written(found, "roots")
     while True:
         after = found.select(F.col("word").alias("root"), F.col("root").alias("_next"))
-        moved = found.join(after, "root", "left").select(
+        moved = found.join(after.hint("merge"), "root", "left").select(
             "word",
             F.coalesce("_next", "root").alias("root"),
             F.col("_next").isNotNull().alias("_moved"),

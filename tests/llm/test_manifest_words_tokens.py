@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from labelcorr.llm import merkle, mixing, pieces, spelling, token_counts
+from labelcorr.llm import common, merkle, mixing, pieces, spelling, token_counts
 
 
 def h(*parts):
@@ -211,6 +211,29 @@ def test_forms_and_roots(spark):
     assert spelling.spelling_variants(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("small", [0, 2_000, 1_000_000])
+def test_only_measured_states_are_broadcast(spark, plan, monkeypatch, small):
+    """These tables are far below the size up to which Spark broadcasts on its own."""
+    plans = []
+
+    def written(df, name):
+        plans.append((name, plan(df)))
+        return common.written(df, name)
+
+    monkeypatch.setattr(spelling, "written", written)
+    monkeypatch.setattr(spelling, "SMALL", small, raising=False)
+    words = words_like(3, 200)
+    df = spark.createDataFrame([(w, 5 * 7 ** (i % 4)) for i, w in enumerate(words)], "word string, n long")
+    told = spelling.spelling_variants(df)
+    plans.append(("told", plan(told)))
+    assert sum(r["n_near"] for r in told.collect()) == sum(one_edit(a, b) for a in words for b in words)
+    sent = [name for name, text in plans if "Broadcast" in text.partition("== Physical Plan ==")[2]]
+    # The first states come from all places of all words; neither these nor words are sent.
+    steps = [name for name, _ in plans].count("states") - 1
+    assert steps > 2 and sent == ["states"] * len(sent)
+    assert len(sent) == {0: 0, 1_000_000: steps}.get(small, len(sent)) and (small != 2_000 or len(sent) < steps)
+
+
 @pytest.fixture(scope="module")
 def library():
     return Tokenizer.from_file(public_tokenizers.path(token_counts.MODEL))
